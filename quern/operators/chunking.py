@@ -324,7 +324,7 @@ def density(c) -> Column:
 
 def scored(chunks: DataFrame) -> DataFrame:
     out = chunks.withColumns({"coherence": coherence("content"), "completeness": completeness("content"), "density": density("content")})
-    return out.withColumn("quality", F.round(0.4 * F.col("coherence") + 0.3 * F.col("completeness") + 0.3 * F.col("density"), 4))
+    return out.withColumn("quality", F.round(0.4 * F.col("coherence") + 0.3 * F.col("completeness") + 0.3 * F.col("density"), 6))
 
 
 def enriched(chunks: DataFrame) -> DataFrame:
@@ -350,7 +350,7 @@ def capped(chunks: DataFrame, most: int, score: str) -> DataFrame:
 
 def importance(quality: Column, position: Column, size: Column) -> Column:
     score = 0.4 * quality + F.when(position < 0.1, 0.2).when(position > 0.9, 0.1).otherwise(0.0) + F.when(size.between(500, 2000), 0.1).when((size < 200) | (size > 3000), -0.1).otherwise(0.0)
-    return F.round(F.least(score, F.lit(1.0)), 4)
+    return F.round(F.least(score, F.lit(1.0)), 8)
 
 
 def top_keywords(df: DataFrame, keys: list[str], column: str, k: int = 10) -> DataFrame:
