@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chunk_queries, text_queries
+from . import chunk_queries, search_queries, text_queries
 
-_MODULES = [text_queries, chunk_queries]
+_MODULES = [text_queries, chunk_queries, search_queries]
+
+flagship = search_queries.flagship
 
 
 def queries() -> dict:
