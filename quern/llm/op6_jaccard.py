@@ -3,14 +3,16 @@
 A document's set is its distinct 3-word shingles (64-bit hashes). Sets whose Jaccard similarity reaches 90 % share at least
 T = ceil(0.9 * size) shingles, so in any common order of shingles they share one among the first size - T + 1: these are the short
 inverted lists of DivideSkip, the other T - 1 shingles are the long lists that are probed and never merged. The order is rare first:
-shingles that many documents have are tallied in every task and the most frequent of all (a fixed bound) go last.
+shingles that many documents have are tallied in every task and the most frequent of all (a fixed bound) go last; the others go by
+the product of their words' counts, from a count sketch of fixed size, so that shingles which texts share by chance come late.
 
 1. Documents with equal sets become one node.
 2. The short lists are dealt by shingle. Every list compares its most central member (most of whose shingles are frequent) with the
    others: a star, not all pairs. Stars are merged by member pair, and each centre searches its members in chunks.
 3. Linked nodes are merged into components. A list whose members are in one component is done. In other lists, members outside the
    list's largest component are searched against all members, both in chunks, so that no pair within a large group is ever listed;
-   a search reports a link only if it joins what earlier ones have not.
+   a search reports a link only if it joins what earlier ones have not. Before sets are sent to a search, bitmaps of them (some bits
+   for each shingle) bound every overlap from above; members that can have no partner, such as documents that share a passage, go.
 4. Components are merged again.
 
 A search (`divide_skip`) builds the inverted lists of a chunk, merges the short lists of the query with a heap, probes the long ones
@@ -27,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections import defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,8 @@ from .common import materialize, slices, small, triples, word_hashes
 PERCENT = 90
 #: Frequent shingles that go last in the order: in all, offered by one task, tallied at a time.
 FREQUENT, OFFERED, TALLIED = 100_000, 20_000, 4_000_000
+#: Cells of the sketch of word counts.
+CELLS_LOG2, CELL_BLOCK = 18, 1 << 14
 #: Members of one search chunk.
 CHUNK = 512
 
@@ -55,12 +60,34 @@ def threshold(n: int, percent: int = PERCENT) -> int:
 # ---- passes over the texts ------------------------------------------------------------------------------------------
 
 
-def frequent_shingles(docs: DataFrame, top: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of about the `top` most frequent shingles by documents."""
+@dataclass
+class Order:
+    """What puts shingles in order: the most frequent ones with their counts, and the logarithms of word counts by cell."""
+
+    frequent: np.ndarray
+    counts: np.ndarray
+    words: np.ndarray
+
+    def ranks(self, s: np.ndarray) -> np.ndarray:
+        """How often each shingle was tallied; 0 if it isn't among the frequent."""
+        if not len(self.frequent):
+            return np.zeros(len(s), np.int64)
+        at = np.minimum(np.searchsorted(self.frequent, s), len(self.frequent) - 1)
+        return np.where(self.frequent[at] == s, self.counts[at], 0)
+
+    def weights(self, h: np.ndarray) -> np.ndarray:
+        """Rounded logarithms of the product of the word counts of each window of three words."""
+        w = self.words[h >> np.uint64(64 - CELLS_LOG2)]
+        return np.round(4 * (w[:-2] + w[1:-1] + w[2:])).astype(np.int32) if len(h) > 2 else np.zeros(min(len(h), 1), np.int32)
+
+
+def shingle_order(docs: DataFrame, top: int = FREQUENT) -> Order:
+    """Tallies of all texts."""
 
     def tally(batches):
         held: list[np.ndarray] = []
         kept_h, kept_n, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        cells = np.zeros(1 << CELLS_LOG2, np.int64)
 
         def merge():
             every, counts = np.unique(np.concatenate([kept_h, *held]), return_counts=True)
@@ -74,55 +101,68 @@ def frequent_shingles(docs: DataFrame, top: int = FREQUENT) -> tuple[np.ndarray,
             return every, counts
 
         for batch in slices(batches):
+            words = []
             for t in batch.column(0).to_pylist():
-                s = shingles(t)
-                held.append(s)
-                size += len(s)
+                h = word_hashes(t.encode().lower().split())
+                words.append(h)
+                held.append(np.unique(triples(h)))
+                size += len(held[-1])
+            cells += np.bincount((np.concatenate(words) >> np.uint64(64 - CELLS_LOG2)).astype(np.int64), minlength=len(cells))
             if size > TALLIED:
                 (kept_h, kept_n), held, size = merge(), [], 0
-        kept_h, kept_n = merge()
+        if held or len(kept_h):
+            kept_h, kept_n = merge()
         if len(kept_h) > OFFERED:
             best = np.argpartition(kept_n, -OFFERED)[-OFFERED:]
             kept_h, kept_n = kept_h[best], kept_n[best]
-        yield pa.RecordBatch.from_arrays([pa.array(kept_h.view(np.int64)), pa.array(kept_n)], ["h", "n"])
-
-    offered = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(tally, "h long, n long")
-    best = offered.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(top).toArrow()
+        blocks = [(k, cells[k : k + CELL_BLOCK].astype(np.uint32).tobytes()) for k in range(0, len(cells), CELL_BLOCK)] if cells.any() else []
+        m, n = len(kept_h), len(blocks)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([*kept_h.view(np.int64).tolist(), *[None] * n], pa.int64()), pa.array([*kept_n.tolist(), *[None] * n], pa.int64()),
+            pa.array([*[None] * m, *(k for k, _ in blocks)], pa.int32()), pa.array([*[None] * m, *(v for _, v in blocks)], pa.binary()),
+        ], ["h", "n", "k", "v"])
+
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                totals[k] = totals.get(k, 0) + np.frombuffer(v, np.uint32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([v.tobytes() for v in totals.values()], pa.binary())], ["k", "v"])
+
+    told = materialize(docs.where(F.col("text").isNotNull()).select("text").mapInArrow(tally, "h long, n long, k int, v binary"), "tallies")
+    best = told.where("h is not null").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(top).toArrow()
+    cells = np.zeros(1 << CELLS_LOG2)
+    for r in told.where("k is not null").select("k", "v").repartition("k").mapInArrow(add, "k int, v binary").collect():  # as many cells, whatever the input
+        cells[r["k"] : r["k"] + CELL_BLOCK] = np.frombuffer(r["v"], np.int64)
     h, n = best["h"].to_numpy().view(np.uint64), best["n"].to_numpy()
     order = np.argsort(h)
-    return h[order], n[order]
+    return Order(h[order], n[order], np.log1p(cells).astype(np.float32))
 
 
-def _ranks(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """How often each shingle was tallied; 0 if it isn't among the frequent."""
-    if not len(frequent):
-        return np.zeros(len(s), np.int64)
-    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-    return np.where(frequent[at] == s, counts[at], 0)
-
-
-def signatures(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n, node (fingerprint of the set; null if empty), central (millionths of the shingles that are frequent), prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def signatures(docs: DataFrame, order: Order) -> DataFrame:
+    """doc_id, n, node (fingerprint of the set; null if empty), central (millionths of the shingles that are frequent), bits, prefix."""
+    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
-        hashes, counts = shared.value
+        order = shared.value
         for batch in slices(batches):
-            n, node, central, prefix = [], [], [], []
+            n, node, central, bits, prefix = [], [], [], [], []
             for t in batch.column(1).to_pylist():
-                s = shingles(t)
+                h = word_hashes((t or "").encode().lower().split())
+                s, first = np.unique(triples(h), return_index=True)
                 n.append(len(s))
                 if not len(s):
-                    node.append(None), central.append(0), prefix.append(None)
+                    node.append(None), central.append(0), bits.append(None), prefix.append(None)
                     continue
-                rank = _ranks(s, hashes, counts)
+                rank, weight = order.ranks(s), order.weights(h)[first]
                 node.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 central.append(int(1e6 * np.count_nonzero(rank) / len(s)))
-                first = np.lexsort((s, rank))[: len(s) - threshold(len(s)) + 1]
-                prefix.append(s[first].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(node, pa.binary()), pa.array(central, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "node", "central", "prefix"])
+                bits.append(bitmap(s))
+                rare = np.lexsort((s, weight, rank))[: len(s) - threshold(len(s)) + 1]
+                prefix.append(s[rare].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(node, pa.binary()), pa.array(central, pa.int32()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "node", "central", "bits", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, node binary, central int, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, node binary, central int, bits binary, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -140,6 +180,65 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(small(wanted), "doc_id").select("node", "text").mapInArrow(run, "node binary, set binary")
 
 
+# ---- bounds from bitmaps ----------------------------------------------------------------------------------------------
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """A set's hashes by their low bits, two to four bits for each."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    flags = np.zeros(bits, np.uint8)
+    flags[s & np.uint64(bits - 1)] = 1
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def _folded(rows: np.ndarray, words: int) -> np.ndarray:
+    while rows.shape[-1] > words:
+        half = rows.shape[-1] // 2
+        rows = rows[..., :half] | rows[..., half:]
+    return rows
+
+
+def may_link(n: int, own: bytes, sizes: np.ndarray, others: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Which of the others (bitmaps of one length) may reach the similarity: a bit that one side lacks is a shingle that it lacks."""
+    mine = np.frombuffer(own, np.uint64)
+    words = min(len(mine), others.shape[1])
+    mine, others = _folded(mine, words), _folded(others, words)
+    most = np.minimum(n - np.bitwise_count(mine & ~others).sum(1, dtype=np.int64), sizes - np.bitwise_count(others & ~mine).sum(1, dtype=np.int64))
+    return (most > 0) & (100 * most >= percent * (n + sizes - most))
+
+
+def _sift(batches):
+    """Rows (job, query, h, node, comp, n, bits), sorted by job. Yields (h, node) of those that may have a partner in another component."""
+    for rows in _jobs(batches):
+        by_length: dict[int, list] = defaultdict(list)
+        for r in rows:
+            if not r[0]:
+                by_length[len(r[5])].append(r)
+        groups = [(g, np.array([r[4] for r in g]), np.array([np.frombuffer(r[5], np.uint64) for r in g]), np.array([r[3] for r in g], object)) for g in by_length.values()]
+        kept = set()
+        for query, h, node, comp, n, bits in rows:
+            for g, sizes, maps, comps in groups if query else ():
+                for m in np.flatnonzero(may_link(n, bits, sizes, maps) & (comps != comp)):
+                    kept.add((h, g[m][2]))
+                    kept.add((h, node))
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.binary())], ["h", "node"])
+
+
+def _jobs(batches):
+    """The rows of each job, without it."""
+    job, rows = None, []
+    for batch in slices(batches, 256):
+        for now, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now != job:
+                if rows:
+                    yield rows
+                job, rows = now, []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
 # ---- the search within a task -----------------------------------------------------------------------------------------
 
 
@@ -207,13 +306,11 @@ class Forest:
 
 def _search(batches):
     """Rows (job, query, node, comp, set), sorted by job: all rows of a job are together. Yields the links (a, b) that join components."""
-    job, rows = None, []
-
-    def solve():
+    for rows in _jobs(batches):
         members = [r for r in rows if not r[0]]
         queries = [r for r in rows if r[0]]
         if not members or not queries:
-            return []
+            continue
         sets = [np.frombuffer(r[3], np.uint64) for r in members]
         lists, sizes, forest, links = inverted(sets), [len(s) for s in sets], Forest(), []
         arrays = {h: np.array(x) if len(x) > 64 else x for h, x in lists.items()}
@@ -221,20 +318,8 @@ def _search(batches):
             for m in divide_skip(np.frombuffer(own, np.uint64), arrays, sizes):
                 if members[m][1] != node and forest.join(comp, members[m][2]):
                     links.append((node, members[m][1]))
-        return links
-
-    def table(links):
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], ["a", "b"])
-
-    for batch in slices(batches, 256):
-        for now, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if now != job:
-                if rows and (links := solve()):
-                    yield table(links)
-                job, rows = now, []
-            rows.append(row)
-    if rows and (links := solve()):
-        yield table(links)
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], ["a", "b"])
 
 
 def search(jobs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -268,52 +353,73 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
 # ---- the join -----------------------------------------------------------------------------------------------------------
 
 
+def open_jobs(rows: DataFrame) -> DataFrame:
+    """Jobs (job, query, h, node, comp) for lists of rows(h, node, comp) with several components: members outside the largest one are
+    the queries, all members the index, both in chunks. Of lists with the same members, one is enough."""
+    by_comp = rows.groupBy("h", "comp").agg(F.count("*").alias("k"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"))
+    lists = by_comp.groupBy("h").agg(F.sum("k").alias("size"), F.sum("s").alias("s"), F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("main")).where("comps > 1")
+    one = lists.groupBy("s", "size").agg(F.max(F.struct("h", "main")).alias("x"))
+    some = one.select("x.h", F.col("x.main.comp").alias("main"), F.ceil(F.col("size") / CHUNK).alias("m"), F.ceil((F.col("size") - F.col("x.main.k")) / CHUNK).alias("q"))
+    full = rows.join(some, "h")
+    part = lambda k: F.pmod(F.xxhash64("node"), F.col(k))
+    job = F.xxhash64("h", "mi", "qi").alias("job")  # jobs that share a number are one job: more work, no other links
+    index = full.withColumn("mi", part("m")).withColumn("qi", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+    asked = full.where("comp != main").withColumn("qi", part("q")).withColumn("mi", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    return index.select(job, F.lit(False).alias("query"), "h", "node", "comp").union(asked.select(job, F.lit(True), "h", "node", "comp"))
+
+
+def _pairs_that_may_link(batches):
+    """Of rows (a, b, n, bits, n, bits), the pairs (a, b)."""
+    for batch in slices(batches, 2000):
+        a, b, na, xa, nb, xb = (c.to_pylist() for c in batch.columns)
+        kept = [may_link(na[i], xa[i], np.array([nb[i]]), np.frombuffer(xb[i], np.uint64)[None])[0] for i in range(len(a))]
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(kept)), batch.column(1).filter(pa.array(kept))], ["centre", "node"])
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
-    signed = materialize(signatures(docs, frequent_shingles(docs)), "signatures")
+    signed = materialize(signatures(docs, shingle_order(docs)), "signatures")
     own = signed.where(F.col("node").isNotNull())
     nodes = own.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    heads = materialize(own.groupBy("node", "n", "central").agg(F.min("prefix").alias("prefix")), "heads")
-    lists = heads.select("node", F.explode("prefix").alias("h"))
+    first = own.join(nodes.withColumnRenamed("doc_id", "head"), "node").where(F.col("doc_id").eqNullSafe(F.col("head")))
+    heads = materialize(first.dropDuplicates(["node"]).select("node", "n", "central", "bits", "doc_id", "prefix"), "heads")
+    # A list holds short ids of its members; nodes that share one are both looked at.
+    short = F.xxhash64("node").alias("short")
+    lists = heads.select(short, F.explode("prefix").alias("h"))
 
     # Lists of two or more: each with its centre.
     counts = lists.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
     shared = materialize(lists.join(counts, "h"), "shared")
-    shared = shared.join(small(heads.select("node", "n", "central").join(shared.select("node").distinct(), "node", "left_semi")), "node")
-    centres = shared.groupBy("h").agg(F.max(F.struct("central", "node", "n")).alias("c"))
-    shared = materialize(shared.join(centres, "h").select("h", "size", "node", "n", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")), "lists")
+    members = materialize(heads.select(short, "node", "n", "central", "bits", "doc_id").join(shared.select("short").distinct(), "short", "left_semi"), "members")
+    known = members.count()
+    about = small(members.select("node", "n", "bits"), known)
+    shared = shared.join(small(members.select("short", "node", "n", "central"), known), "short").select("h", "size", "node", "n", "central")
+    centres = shared.groupBy("h").agg(F.max(F.struct("central", "node", "n")).alias("c")).select("h", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
+    shared = materialize(shared.join(centres, "h").select("h", "size", "node", "n", "centre", "centre_n"), "lists")
     near = 100 * F.least("n", "centre_n") >= PERCENT * F.greatest("n", "centre_n")
     stars = shared.where((F.col("node") != F.col("centre")) & near).select("centre", "node").distinct()
-    stars = materialize(stars, "stars")
+    stars = stars.join(about, "node").join(about.select(F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("bits").alias("cb")), "centre")
+    stars = materialize(stars.select("centre", "node", "cn", "cb", "n", "bits").mapInArrow(_pairs_that_may_link, "centre binary, node binary"), "stars")
     sizes = stars.groupBy("centre").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
-    members = stars.join(sizes, "centre").select(F.xxhash64("centre", chunk).alias("job"), F.lit(False).alias("query"), "node", F.col("node").alias("comp"), "centre")
-    centres = members.select("job", F.lit(True), F.col("centre"), F.col("centre")).distinct()
-    jobs = members.drop("centre").union(centres)
+    spokes = stars.join(sizes, "centre").select(F.xxhash64("centre", chunk).alias("job"), F.lit(False).alias("query"), "node", F.col("node").alias("comp"), "centre")
+    jobs = spokes.drop("centre").union(spokes.select("job", F.lit(True), F.col("centre"), F.col("centre")).distinct())
+
+    def found(jobs: DataFrame) -> DataFrame:
+        wanted = members.select("doc_id", "node").join(small(materialize(jobs.select("node").distinct(), "wanted")), "node", "left_semi")
+        sets = materialize(sets_of(docs, materialize(wanted.where(F.col("doc_id").isNotNull()), "heads")), "sets").dropDuplicates(["node"])
+        return materialize(search(jobs, sets), "links")
 
-    wanted = shared.select("node").distinct().join(nodes, "node")
-    sets = materialize(sets_of(docs, materialize(wanted.where(F.col("doc_id").isNotNull()), "wanted")), "sets").dropDuplicates(["node"])
-    first = materialize(search(jobs, sets), "links")
-    comp = materialize(components(first), "components")
+    links = found(jobs)
+    comp = materialize(components(links), "components")
 
     # What the stars have not settled: members other than the centre, of lists with several components.
-    known = lambda df: df.join(small(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rest = known(shared.where((F.col("node") != F.col("centre")) & (F.col("size") > 2)).select("h", "node", "n"))
-    by_comp = rest.groupBy("h", "comp").agg(F.count("*").alias("k"))
-    open_lists = by_comp.groupBy("h").agg(F.sum("k").alias("size"), F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("main")).where("comps > 1")
-    open_rows = materialize(rest.join(open_lists, "h").select("h", "node", "comp", F.col("main.comp").alias("main"), F.ceil(F.col("size") / CHUNK).alias("m"), F.ceil((F.col("size") - F.col("main.k")) / CHUNK).alias("q")), "open")
-    # One list of each set of members is enough.
-    one = open_rows.groupBy("h").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("k")).groupBy("sum", "k").agg(F.min("h").alias("h"))
-    open_rows = open_rows.join(one.select("h"), "h", "left_semi")
-    part = lambda k: F.pmod(F.xxhash64("node"), F.col(k))
-    job = F.xxhash64("h", "mi", "qi").alias("job")  # jobs that share a number are one job: more work, no other links
-    index = open_rows.withColumn("mi", part("m")).withColumn("qi", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-    asked = open_rows.where("comp != main").withColumn("qi", part("q")).withColumn("mi", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    again = index.select(job, F.lit(False).alias("query"), "node", "comp").union(asked.select(job, F.lit(True), "node", "comp"))
-    second = materialize(search(again, sets), "links")
-    # Links among components that exist already: few.
-    every = first.union(second)
-    final = materialize(components(every), "components")
+    rest = shared.where((F.col("node") != F.col("centre")) & (F.col("size") > 2)).select("h", "node")
+    rest = rest.join(small(comp), "node", "left").select("h", "node", F.coalesce("comp", "node").alias("comp"))
+    sifted = open_jobs(rest).join(about, "node").select("job", "query", "h", "node", "comp", "n", "bits").repartition("job").sortWithinPartitions("job")
+    kept = materialize(sifted.mapInArrow(_sift, "h long, node binary").distinct(), "kept")
+    again = materialize(open_jobs(rest.join(kept, ["h", "node"], "left_semi")).drop("h"), "jobs")
+    final = materialize(components(links.union(found(again))), "components")
 
     label = nodes.join(small(final), "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     smallest = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
