@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chunk_queries, metric_queries, search_queries, text_queries
+from . import chunk_queries, metric_queries, search_queries, table_queries, text_queries
 
-_MODULES = [text_queries, chunk_queries, search_queries, metric_queries]
+_MODULES = [text_queries, chunk_queries, search_queries, metric_queries, table_queries]
 
 flagship = search_queries.flagship
 
