@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quern.shipping import shipped
+
 from . import chunk_queries, metric_queries, search_queries, table_queries, text_queries
 
 _MODULES = [text_queries, chunk_queries, search_queries, metric_queries, table_queries]
@@ -10,7 +12,7 @@ flagship = search_queries.flagship
 
 
 def queries() -> dict:
-    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+    return {name: shipped(f) for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
