@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import common, op2_bpe, op4_secrets, op5_decontaminate, op6_jaccard, op9_quality
+from quern.shipping import shipped
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +42,11 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality rules", quality_rules),
-    ("n-gram Jaccard join", jaccard_join),
-    ("benchmark decontamination", decontamination),
-    ("secret scans", secret_scan),
-    ("byte-level BPE", byte_bpe),
+    ("quality rules", shipped(quality_rules)),
+    ("n-gram Jaccard join", shipped(jaccard_join)),
+    ("benchmark decontamination", shipped(decontamination)),
+    ("secret scans", shipped(secret_scan)),
+    ("byte-level BPE", shipped(byte_bpe)),
 ]
 #: Digests of token ids have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None

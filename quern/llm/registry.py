@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quern.shipping import shipped
+
 from . import op1_language, op2_bpe, op3_token_counts, op4_secrets, op5_decontaminate, op6_jaccard, op7_html, op8_importance, op9_quality, op10_sharding
 
 
@@ -12,7 +14,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {
+    found = {
         "op1_language_id": op1_language.query,
         "op2_byte_bpe": op2_bpe.query,
         "op3_token_counts": op3_token_counts.query,
@@ -25,6 +27,7 @@ def queries() -> dict:
         "op10_sharding": op10_sharding.query,
         "pipeline": pipeline,
     }
+    return {name: shipped(f) for name, f in found.items()}
 
 
 def oracle_sql() -> dict:
