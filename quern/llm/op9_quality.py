@@ -31,7 +31,8 @@ MIN_WORDS, MAX_REPEATED = 50, 50
 FLOOR = 1e-4
 RATIOS = ("word_length", "symbols", "dup_lines", "repeated")
 #: Least spread of the fence, in the ratio's unit: groups of nearly equal values get no narrow fence.
-LEAST_SPREAD = {"word_length": 0.25, "symbols": 0.02, "dup_lines": 0.05, "repeated": 0.05}
+#: A line or two that repeat in a short text are no fault.
+LEAST_SPREAD = {"word_length": 0.25, "symbols": 0.02, "dup_lines": 0.1, "repeated": 0.05}
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 _SPACE = " \t\n\x0b\x0c\r"
 _NO_SPACE = str.maketrans("", "", _SPACE)
