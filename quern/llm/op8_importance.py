@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import KEY, materialize, row_key, slices, small, word_hashes
 
 BUCKETS = 1 << 14
-FRACTION = 0.5
+FRACTION = 0.8
 SEED = 7
 _SPLIT = np.uint64(0x9E3779B97F4A7C15)
 
