@@ -285,7 +285,7 @@ def test_jaccard(spark, docs, edges, monkeypatch):
     same(op6_jaccard.jaccard_components(alone), brute_components(texts_of(alone)), columns)
     monkeypatch.setattr(op6_jaccard, "CHUNK", 16)
     for top in (1, 100_000):
-        monkeypatch.setattr(op6_jaccard.frequent_shingles, "__defaults__", (top,))
+        monkeypatch.setattr(op6_jaccard.shingle_order, "__defaults__", (top,))
         made = near_copies(150, seed=top)
         same(op6_jaccard.jaccard_components(spark.createDataFrame(made, "doc_id long, text string")), brute_components(made), columns)
     assert op6_jaccard.jaccard_components(docs.where("false")).count() == 0
@@ -511,3 +511,14 @@ def test_common(spark, docs):
     assert kept.count() == 5
     rejected = common.materialize(docs.where("doc_id < 10").select(*common.row_key()), "y")
     assert common.without_rows(docs, rejected).count() == docs.count() - 10
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=90), st.sets(st.integers(0, 2**64 - 1), max_size=4), st.sets(st.integers(0, 2**64 - 1), max_size=40))
+def test_bitmaps_never_lose_a_link(x, extra, other):
+    import numpy as np
+
+    a, b = sorted(x), sorted(set(sorted(x)[: len(x) - len(x) // 25]) | extra | (other if len(other) % 2 else set()))
+    map_b = np.frombuffer(op6_jaccard.bitmap(np.array(b, np.uint64)), np.uint64)[None]
+    told = op6_jaccard.may_link(len(a), op6_jaccard.bitmap(np.array(a, np.uint64)), np.array([len(b)]), map_b)[0]
+    assert told or 100 * len(set(a) & set(b)) < 90 * len(set(a) | set(b))
