@@ -212,15 +212,15 @@ def _(spark, d):
     return _lists(spark, d).groupBy("item_id", "doc_id").pivot("strategy", ["keyword", "semantic"]).agg(F.max("rank"))
 
 
-@query("f15_rank_fusion", f"WITH {_FUSED} SELECT item_id, doc_id, round(score, 6) AS score, n_strategies FROM fu")
+@query("f15_rank_fusion", f"WITH {_FUSED} SELECT item_id, doc_id, round(score, 9) AS score, n_strategies FROM fu")
 def _(spark, d):
-    return S.fuse(_lists(spark, d)).withColumn("score", F.round("score", 6))
+    return S.fuse(_lists(spark, d)).withColumn("score", F.round("score", 9))
 
 
-@query("f16_ranking_factors", f"WITH {_FUSED} SELECT item_id, doc_id, round(score * CASE WHEN n_strategies > 1 THEN 1.3::DOUBLE ELSE 1 END * CASE WHEN doc_id % 20 <= 10 THEN 1.1::DOUBLE ELSE 1 END, 6) AS score FROM fu WHERE score >= 0.1")
+@query("f16_ranking_factors", f"WITH {_FUSED} SELECT item_id, doc_id, round(score * CASE WHEN n_strategies > 1 THEN 1.3::DOUBLE ELSE 1 END * CASE WHEN doc_id % 20 <= 10 THEN 1.1::DOUBLE ELSE 1 END, 9) AS score FROM fu WHERE score >= 0.1")
 def _(spark, d):
     f = S.fuse(_lists(spark, d)).where("score >= 0.1")
-    return f.select("item_id", "doc_id", F.round(F.col("score") * F.when(F.col("n_strategies") > 1, 1.3).otherwise(1.0) * F.when(F.col("doc_id") % 20 <= 10, 1.1).otherwise(1.0), 6).alias("score"))
+    return f.select("item_id", "doc_id", F.round(F.col("score") * F.when(F.col("n_strategies") > 1, 1.3).otherwise(1.0) * F.when(F.col("doc_id") % 20 <= 10, 1.1).otherwise(1.0), 9).alias("score"))
 
 
 @query("f17_diversity_filter")
@@ -336,9 +336,9 @@ def _(spark, d):
     return full.groupBy("item_id", "source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")), ",").alias("cited"), F.min("rank").alias("best"))
 
 
-@query("f33_fusion_stats", f"WITH {_FUSED} SELECT n_strategies, count(*) AS n, round(avg(score), 4) AS mean, round(min(score), 6) AS least, round(max(score), 6) AS most FROM fu GROUP BY 1")
+@query("f33_fusion_stats", f"WITH {_FUSED} SELECT n_strategies, count(*) AS n, round(avg(score), 4) AS mean, round(min(score), 9) AS least, round(max(score), 9) AS most FROM fu GROUP BY 1")
 def _(spark, d):
-    return S.fuse(_lists(spark, d)).groupBy("n_strategies").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean"), F.round(F.min("score"), 6).alias("least"), F.round(F.max("score"), 6).alias("most"))
+    return S.fuse(_lists(spark, d)).groupBy("n_strategies").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean"), F.round(F.min("score"), 9).alias("least"), F.round(F.max("score"), 9).alias("most"))
 
 
 @query("f34_format_prompt_context", f"WITH {Q}, {_bm25_sql('documents', 'doc_id', 'text', 3)} SELECT item_id, string_agg('[' || rank || '] ' || source || ': ' || text[1:100], chr(10) ORDER BY rank) AS context FROM bm JOIN documents USING (doc_id) GROUP BY 1")
