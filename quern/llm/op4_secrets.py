@@ -36,7 +36,6 @@ WEAK = (
     ("secret", re.compile(r"(?a)\b(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}")),
     ("endpoint", re.compile(r"""(?ai)\bhttps?://[^\s"'<>]+|\b(?:host(?:name)?|endpoint|server)["']?\x20*[:=]\x20*["']?[a-z0-9.-]{4,}|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5}\b""")),
 )
-_HINT = re.compile(r"(?i)[=:][ \"']|https?:|=")
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
@@ -66,7 +65,11 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH
             covered[-1] = (covered[-1][0], max(b, covered[-1][1]))
         else:
             covered.append((a, b))
-    weak = [(m.start(), m.end(), part) for part, find in WEAK for m in find.finditer(text) if not _touching(covered, *m.span())]
+    weak: list[tuple[int, int, str]] = []
+    for part, find in WEAK:  # identifiers first: without one, no weak part has its complements
+        weak += [(*m.span(), part) for m in find.finditer(text) if not _touching(covered, *m.span())]
+        if not weak and not any(kind == "access" for _, _, kind in base):
+            return []
     if not weak:
         return []
     parts = {"access": [], "secret": [], "endpoint": []}
@@ -95,7 +98,7 @@ def spans_of(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[i
     """Base spans, and all spans, by start, then kind."""
     text = text or ""
     base = base_spans(text)
-    more = linked_spans(text, base) if _HINT.search(text) else []
+    more = linked_spans(text, base)
     return base, sorted([*base, *more], key=lambda s: (s[0], KINDS.index(s[2])))
 
 
