@@ -100,7 +100,7 @@ def match_items(index: DataFrame, items: DataFrame, terms: DataFrame, window: in
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", slop: int = 0) -> DataFrame:
     """KEY, doc_id, n_words, n_hit, items (sorted array of item ids as strings), contaminated; n_near (items by proximity) if slop."""
     items = materialize(item_words(benchmark), "items")
-    distinct = items.select("word").distinct().union(docs.sparkSession.createDataFrame([(END,)], "word string"))
+    distinct = items.select("word").distinct().union(docs.sparkSession.range(1).select(F.lit(END).alias("word")))
     terms = materialize(distinct.select("word", F.when(F.col("word") == END, 0).otherwise(F.xxhash64("word")).alias("term")), "terms")
     index = materialize(build_index(docs, terms, text, doc_id), "postings")
     phrases, close = match_items(index, items, terms, window, slop)
