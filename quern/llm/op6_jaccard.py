@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, small, triples, word_hashes
+from .common import KEY, materialize, row_key, slices, small, triples, word_hashes
 
 PERCENT = 90
 #: Frequent shingles that go last in the order: in all, offered by one task, tallied at a time.
@@ -140,14 +140,14 @@ def shingle_order(docs: DataFrame, top: int = FREQUENT) -> Order:
 
 
 def signatures(docs: DataFrame, order: Order) -> DataFrame:
-    """doc_id, n, node (fingerprint of the set; null if empty), central (millionths of the shingles that are frequent), bits, prefix."""
+    """KEY, doc_id, n, node (fingerprint of the set; null if empty), central (millionths of the shingles that are frequent), bits, prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
         order = shared.value
         for batch in slices(batches):
             n, node, central, bits, prefix = [], [], [], [], []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(3).to_pylist():
                 h = word_hashes((t or "").encode().lower().split())
                 s, first = np.unique(triples(h), return_index=True)
                 n.append(len(s))
@@ -160,9 +160,9 @@ def signatures(docs: DataFrame, order: Order) -> DataFrame:
                 bits.append(bitmap(s))
                 rare = np.lexsort((s, weight, rank))[: len(s) - threshold(len(s)) + 1]
                 prefix.append(s[rare].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(node, pa.binary()), pa.array(central, pa.int32()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "node", "central", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int32()), pa.array(node, pa.binary()), pa.array(central, pa.int32()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], [*KEY, "doc_id", "n", "node", "central", "bits", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, node binary, central int, bits binary, prefix array<long>")
+    return docs.select(*row_key(), "doc_id", "text").mapInArrow(run, "__k1 long, __k2 long, doc_id long, n int, node binary, central int, bits binary, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -377,7 +377,7 @@ def _pairs_that_may_link(batches):
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
+    """KEY, doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
     signed = materialize(signatures(docs, shingle_order(docs)), "signatures")
     own = signed.where(F.col("node").isNotNull())
     nodes = own.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -424,11 +424,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     label = nodes.join(small(final), "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     smallest = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     by_node = label.join(smallest, "comp").select("node", "component_id")
-    return signed.join(by_node, "node", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return signed.join(by_node, "node", "left").select(*KEY, "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop(*KEY)
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
