@@ -12,8 +12,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table is broadcast only if it was counted and has at most so many narrow rows (about 32 MB); else Spark shuffles.
-BROADCAST_ROWS = 1_000_000
+#: A table is broadcast only if it was counted and has at most so many narrow rows (under 10 MB), or so many rows of a few hundred
+#: bytes; else Spark shuffles.
+BROADCAST_ROWS, BROADCAST_WIDE_ROWS = 200_000, 20_000
 KEY = ["__k1", "__k2"]
 
 
@@ -43,10 +44,10 @@ def row_key(text: str = "text", doc_id: str = "doc_id") -> list[Column]:
     return [F.xxhash64(F.lit(i), F.col(doc_id), F.col(text)).alias(k) for i, k in enumerate(KEY, 1)]
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within BROADCAST_ROWS; else as it is. Call it on materialized tables."""
+def small(df: DataFrame, rows: int | None = None, wide: bool = False) -> DataFrame:
+    """df with a broadcast hint if its counted rows are within the bound; else as it is. Call it on materialized tables."""
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    return F.broadcast(df) if n <= (BROADCAST_WIDE_ROWS if wide else BROADCAST_ROWS) else df
 
 
 def without_rows(docs: DataFrame, rejected: DataFrame) -> DataFrame:

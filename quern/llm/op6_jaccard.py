@@ -392,7 +392,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     shared = materialize(lists.join(counts, "h"), "shared")
     members = materialize(heads.select(short, "node", "n", "central", "bits", "doc_id").join(shared.select("short").distinct(), "short", "left_semi"), "members")
     known = members.count()
-    about = small(members.select("node", "n", "bits"), known)
+    about = small(members.select("node", "n", "bits"), known, wide=True)
     shared = shared.join(small(members.select("short", "node", "n", "central"), known), "short").select("h", "size", "node", "n", "central")
     centres = shared.groupBy("h").agg(F.max(F.struct("central", "node", "n")).alias("c")).select("h", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
     shared = materialize(shared.join(centres, "h").select("h", "size", "node", "n", "centre", "centre_n"), "lists")
