@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: bytes; else Spark shuffles.
 BROADCAST_ROWS, BROADCAST_WIDE_ROWS = 200_000, 20_000
 KEY = ["__k1", "__k2"]
+#: Bytes of a row group of intermediate tables: what each writing task holds in memory.
+ROW_GROUP = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +37,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,7 +66,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 
 def per_row(df: DataFrame, carry: list[str], column: str, schema: str, make: Callable[[], Callable[[str | None], tuple]]) -> DataFrame:
-    """One output row for each input row: the columns carry, then what make()'s function gives for the text. make runs once in each task."""
+    """One output row for each input row: the columns carry, then what make()'s function gives for the text. make runs once in each task;
+    if the function has an attribute close, that is called at the task's end."""
     base = df.select(*carry, column)
     out = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in base.schema.fields[:-1])}, {schema}"
     width = len(carry)
@@ -75,6 +78,7 @@ def per_row(df: DataFrame, carry: list[str], column: str, schema: str, make: Cal
             rows = [f(t) for t in batch.column(width).to_pylist()]
             if rows:
                 yield [batch.columns[:width], rows]
+        getattr(f, "close", int)()
 
     target = base.sparkSession.createDataFrame([], out).schema
     arrow = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in target.fields])

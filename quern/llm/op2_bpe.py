@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from .common import per_row
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pieces whose ids are kept at a time, and longest piece that is kept.
-MEMO_PIECES, MEMO_LENGTH = 300_000, 64
+#: Pieces whose ids are kept at a time, longest piece that is kept, and pairs of tokens whose compatibility is kept.
+MEMO_PIECES, MEMO_LENGTH, MEMO_PAIRS = 250_000, 64, 200_000
 BLOCK = 1 << 16
 
 
@@ -40,7 +40,7 @@ class Codec:
             self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
         self.automaton.make_automaton()
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
 
     def split(self, i: int) -> tuple[int, int] | None:
@@ -58,7 +58,8 @@ class Codec:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging by rank leaves a boundary between a and b: undo their merges from the latest, looking at the pair that meets there."""
-        known = self.fits.get((a, b))
+        pair = a << 20 | b
+        known = self.fits.get(pair)
         if known is None:
             left, right, before, known = a, b, len(self.ranks) + 1, True
             while True:
@@ -74,9 +75,9 @@ class Codec:
                     before, left = left, older_left[1]
                 else:
                     before, right = right + 1, older_right[0]
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) >= MEMO_PAIRS:
                 self.fits.clear()
-            self.fits[a, b] = known
+            self.fits[pair] = known
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -147,7 +148,12 @@ def encode(df: DataFrame, path: str, pattern: str, carry: list[str], text: str =
 
     def make():
         c = codec(path, pattern)
-        return lambda t: (c.encode(t),)
+
+        def one(t):
+            return (c.encode(t),)
+
+        one.close = c.memo.clear  # workers outlive tasks
+        return one
 
     return per_row(df, carry, text, "ids array<int>", make)
 
@@ -177,6 +183,7 @@ def digests(df: DataFrame, path: str, pattern: str, carry: list[str], text: str
                 decoded.update(c.decode(got))
             return n, ids.hexdigest(), decoded.hexdigest()
 
+        one.close = c.memo.clear  # workers outlive tasks
         return one
 
     return per_row(df, carry, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)

@@ -40,7 +40,7 @@ from .common import KEY, materialize, row_key, slices, small, triples, word_hash
 
 PERCENT = 90
 #: Frequent shingles that go last in the order: in all, offered by one task, tallied at a time.
-FREQUENT, OFFERED, TALLIED = 100_000, 20_000, 4_000_000
+FREQUENT, OFFERED, TALLIED = 100_000, 20_000, 1_500_000
 #: Cells of the sketch of word counts.
 CELLS_LOG2, CELL_BLOCK = 18, 1 << 14
 #: Members of one search chunk.
@@ -95,8 +95,8 @@ def shingle_order(docs: DataFrame, top: int = FREQUENT) -> Order:
                 counts[np.searchsorted(every, kept_h)] += kept_n - 1
             some = counts > 1
             every, counts = every[some], counts[some]
-            if len(every) > TALLIED // 8:
-                best = np.sort(np.argpartition(counts, -TALLIED // 16)[-TALLIED // 16 :])
+            if len(every) > TALLIED // 4:
+                best = np.sort(np.argpartition(counts, -TALLIED // 8)[-TALLIED // 8 :])
                 every, counts = every[best], counts[best]
             return every, counts
 
