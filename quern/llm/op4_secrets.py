@@ -33,9 +33,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 WEAK = (
     ("access", re.compile(r"""(?ai)\b(?:user(?:name)?|login|client_?id|account(?:_?id)?)["']?\x20*[:=]\x20*["']?[a-z0-9_.@+-]{3,}|\bA[KSR][IO]A[A-Z0-9]{8,}""")),
-    ("secret", re.compile(r"(?a)\b(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}")),
+    ("secret", re.compile(r"[A-Za-z0-9+/_-]{20,}")),
     ("endpoint", re.compile(r"""(?ai)\bhttps?://[^\s"'<>]+|\b(?:host(?:name)?|endpoint|server)["']?\x20*[:=]\x20*["']?[a-z0-9.-]{4,}|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5}\b""")),
 )
+_DIGIT, _CAPITAL = re.compile("[0-9]"), re.compile("[A-Z]")
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
@@ -51,6 +52,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def weak_spans(part: str, find: re.Pattern, text: str) -> list[tuple[int, int]]:
+    """Candidates of one part. Of a run of blob characters, what starts with a letter or digit counts, if it mixes capitals and digits."""
+    if part != "secret":
+        return [m.span() for m in find.finditer(text)]
+    found = []
+    for m in find.finditer(text):
+        own = m[0].lstrip("+/-")
+        if len(own) >= 20 and _DIGIT.search(own) and _CAPITAL.search(own):
+            found.append((m.end() - len(own), m.end()))
+    return found
+
+
 def _touching(spans: list[tuple[int, int]], start: int, end: int) -> bool:
     """spans: sorted, merged."""
     k = bisect_left(spans, (start, start))
@@ -67,7 +80,7 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH
             covered.append((a, b))
     weak: list[tuple[int, int, str]] = []
     for part, find in WEAK:  # identifiers first: without one, no weak part has its complements
-        weak += [(*m.span(), part) for m in find.finditer(text) if not _touching(covered, *m.span())]
+        weak += [(*span, part) for span in weak_spans(part, find, text) if not _touching(covered, *span)]
         if not weak and not any(kind == "access" for _, _, kind in base):
             return []
     if not weak:
