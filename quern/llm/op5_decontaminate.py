@@ -12,7 +12,7 @@ in a shuffle, and identical alignments met through several anchors are merged be
 
 Cases: null or wordless texts have no words and no hits. Items without words match nothing. Items shorter than a window are one
 window. Repeated documents (equal id and text) each keep their row; equal ids with other texts are told apart by the key. Equal items
-both match. Words are runs of characters outside ASCII other than digits and letters, after A-Z are lower-cased.
+both match. An item without an id marks words as hit, but has no id to be listed. Words are runs of characters outside ASCII other than digits and letters, after A-Z are lower-cased.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ def words(text: str) -> Column:
 
 
 def item_words(benchmark: DataFrame) -> DataFrame:
-    """(item_id, j, word, n) of every distinct item."""
-    split = benchmark.select("item_id", words("text").alias("w")).distinct()
+    """(item_id, item, n, j, word) of every distinct item; item_id is a string, empty where it is null."""
+    split = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words("text").alias("w")).distinct()
     split = split.withColumn("item", F.xxhash64("item_id", "w"))
     return split.select("item_id", "item", F.size("w").alias("n"), F.posexplode("w").alias("j", "word"))
 
@@ -108,9 +108,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     places = found.select(*KEY, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length").cast("int") - 1)).alias("pos")).distinct()
     n_hit = places.groupBy(*KEY).agg(F.count("*").alias("n_hit"))
     # Ids as strings in the order of their bytes.
-    by_doc = found.select(*KEY, F.col("item_id").cast("string").alias("i")).distinct().groupBy(*KEY).agg(F.array_sort(F.collect_list("i")).alias("items"))
+    by_doc = found.where("item_id != ''").select(*KEY, F.col("item_id").alias("i")).distinct().groupBy(*KEY).agg(F.array_sort(F.collect_list("i")).alias("items"))
     ends = index.where(F.col("term") == 0).select("doc_id", *KEY, F.col("pos").cast("long").alias("n_words"))
-    out = ends.join(n_hit.join(by_doc, KEY), KEY, "left")
+    out = ends.join(n_hit.join(by_doc, KEY, "left"), KEY, "left")
     if slop:
         out = out.join(close.select(*KEY, "item_id").distinct().groupBy(*KEY).agg(F.count("*").alias("n_near")), KEY, "left").fillna(0, ["n_near"])
     out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>"))})
