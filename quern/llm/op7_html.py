@@ -5,7 +5,8 @@ visibility rules drop what a browser never paints (head, script, style, template
 renderer then emits all visible text: blocks on lines of their own with a blank line round paragraphs and headings, list items with
 bullets or numbers, indented by depth, table cells padded to aligned columns, pre text as it stands, br as a line break.
 
-Cases: null and empty html give an empty text. Unclosed and stray tags never lose text. Deep nesting is cut flat at MAX_DEPTH (text
+Cases: null and empty html give an empty text. Unclosed and stray tags never lose text; quotes only
+hold a tag open after an equals sign. Deep nesting is cut flat at MAX_DEPTH (text
 stays). Work is linear in the page. Repeated rows get equal rows.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from .common import per_row
 
 MAX_DEPTH = 400
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=(?:\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)))?)*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 _HIDDEN = re.compile(r"""(?i)\bhidden\b(?!\s*=\s*["']?(?:until-found|false))|\bstyle\s*=\s*(?:"[^"]*(?:display\s*:\s*none|visibility\s*:\s*hidden)|'[^']*(?:display\s*:\s*none|visibility\s*:\s*hidden))|\baria-hidden\s*=\s*["']?true""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 # Names of HTML elements by how they are laid out.
