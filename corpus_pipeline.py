@@ -17,9 +17,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near and exact copies stays: the one with the smallest id. Documents without words stay."""
+    """One document of each group of near and exact copies stays: the one with the smallest id, rows without an id last. Documents without words stay."""
     grouped = common.materialize(op6_jaccard.jaccard_components(docs.select("doc_id", "text")), "grouped")
-    gone = grouped.where(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(*common.KEY).distinct()
+    gone = grouped.where(~F.col("head")).select(*common.KEY).distinct()
     kept = common.without_rows(docs, common.materialize(gone, "copies"))
     # Rows that repeat id and text share a key and a group: of each such key one row stays. Keys that do not repeat are not shuffled.
     again = grouped.where(F.col("n_shingles") > 0).groupBy(*common.KEY).agg(F.count("*").alias("n")).where("n > 1").select(*common.KEY)

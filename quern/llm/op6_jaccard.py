@@ -166,18 +166,18 @@ def signatures(docs: DataFrame, order: Order) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and set (sorted hashes as bytes) of the documents in wanted(doc_id, node), materialized, one document for each node."""
+    """node and set (sorted hashes as bytes) of the documents in wanted(KEY, node), materialized, one document for each node."""
 
     def run(batches):
         for batch in slices(batches):
             nodes, sets = [], []
             for node, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = shingles(t).tobytes()
-                if hashlib.blake2b(own, digest_size=16).digest() == node:  # else another text under the same id
+                if hashlib.blake2b(own, digest_size=16).digest() == node:  # else another text under the same key
                     nodes.append(node), sets.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], ["node", "set"])
 
-    return docs.select("doc_id", "text").join(small(wanted), "doc_id").select("node", "text").mapInArrow(run, "node binary, set binary")
+    return docs.select(*row_key(), "text").join(small(wanted), KEY).select("node", "text").mapInArrow(run, "node binary, set binary")
 
 
 # ---- bounds from bitmaps ----------------------------------------------------------------------------------------------
@@ -377,12 +377,13 @@ def _pairs_that_may_link(batches):
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """KEY, doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
+    """KEY, doc_id, n_shingles, component_id (smallest doc_id reachable by links, null if none of them has an id) and head (whether the
+    row has the key of its component's first row, by id, then key; null for empty sets) of every row."""
     signed = materialize(signatures(docs, shingle_order(docs)), "signatures")
     own = signed.where(F.col("node").isNotNull())
-    nodes = own.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    first = own.join(nodes.withColumnRenamed("doc_id", "head"), "node").where(F.col("doc_id").eqNullSafe(F.col("head")))
-    heads = materialize(first.dropDuplicates(["node"]).select("node", "n", "central", "bits", "doc_id", "prefix"), "heads")
+    nodes = own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)).alias("head"))
+    first = own.join(nodes, "node").where(" and ".join(f"{k} = head.{k}" for k in KEY))
+    heads = materialize(first.dropDuplicates(["node"]).select("node", "n", "central", "bits", *KEY, "prefix"), "heads")
     # A list holds short ids of its members; nodes that share one are both looked at.
     short = F.xxhash64("node").alias("short")
     lists = heads.select(short, F.explode("prefix").alias("h"))
@@ -390,7 +391,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # Lists of two or more: each with its centre.
     counts = lists.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
     shared = materialize(lists.join(counts, "h"), "shared")
-    members = materialize(heads.select(short, "node", "n", "central", "bits", "doc_id").join(shared.select("short").distinct(), "short", "left_semi"), "members")
+    members = materialize(heads.select(short, "node", "n", "central", "bits", *KEY).join(shared.select("short").distinct(), "short", "left_semi"), "members")
     known = members.count()
     about = small(members.select("node", "n", "bits"), known, wide=True)
     shared = shared.join(small(members.select("short", "node", "n", "central"), known), "short").select("h", "size", "node", "n", "central")
@@ -406,8 +407,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     jobs = spokes.drop("centre").union(spokes.select("job", F.lit(True), F.col("centre"), F.col("centre")).distinct())
 
     def found(jobs: DataFrame) -> DataFrame:
-        wanted = members.select("doc_id", "node").join(small(materialize(jobs.select("node").distinct(), "wanted")), "node", "left_semi")
-        sets = materialize(sets_of(docs, materialize(wanted.where(F.col("doc_id").isNotNull()), "heads")), "sets").dropDuplicates(["node"])
+        wanted = members.select(*KEY, "node").join(small(materialize(jobs.select("node").distinct(), "wanted")), "node", "left_semi")
+        sets = materialize(sets_of(docs, materialize(wanted, "heads")), "sets").dropDuplicates(["node"])
         return materialize(search(jobs, sets), "links")
 
     links = found(jobs)
@@ -421,14 +422,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     again = materialize(open_jobs(rest.join(kept, ["h", "node"], "left_semi")).drop("h"), "jobs")
     final = materialize(components(links.union(found(again))), "components")
 
-    label = nodes.join(small(final), "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
-    smallest = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    by_node = label.join(smallest, "comp").select("node", "component_id")
-    return signed.join(by_node, "node", "left").select(*KEY, "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    label = nodes.join(small(final), "node", "left").select("node", "head", F.coalesce("comp", "node").alias("comp"))
+    leads = label.groupBy("comp").agg(F.min("head").alias("lead"))
+    by_node = label.join(leads, "comp").select("node", "lead")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("lead.doc_id"))
+    head = F.expr(" and ".join(f"{k} = lead.{k}" for k in KEY))
+    return signed.join(by_node, "node", "left").select(*KEY, "doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), head.alias("head"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop(*KEY)
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop(*KEY, "head")
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
