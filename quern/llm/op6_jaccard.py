@@ -20,8 +20,7 @@ by binary search, and keeps members that reach the overlap. All lists are resolv
 whatever the size of a group; the order and the choice of centres only affect the work.
 
 Cases: null, empty and wordless texts have empty sets and link with nothing. Texts of one or two words are one shingle. Rows are
-nodes: repeated rows and equal texts are in one component. A null doc_id is never the smallest id of a component with other ids; a
-set that only rows without an id have links with equal sets alone.
+nodes: repeated rows and equal texts are in one component. A null doc_id is never the smallest id of a component with other ids.
 """
 
 from __future__ import annotations
