@@ -150,8 +150,8 @@ def _(spark, d):
 
 @query("d22_chunk_word_window", f"SELECT doc_id, chunk_index, md5(content) AS content_md5 FROM ({_pack_sql(chr(67) + 'ASE WHEN length(text) <= 256 THEN [text] ELSE list_filter(regexp_split_to_array(text, ' + chr(39) + chr(92) + 's+' + chr(39) + '), lambda s: length(s) > 0) END', '(SELECT * FROM documents WHERE length(text) < 3000)', 256, 1, ' ', 6)})")
 def _(spark, d):
-    """By words; the SQL's recursion is over every word, so it looks at texts under 3000 characters, and so does this query."""
-    return C.by_words(D.table(spark, d, "documents").where(F.length("text") < 3000), "text").select("doc_id", "chunk_index", F.md5("content").alias("content_md5"))
+    """By words, all texts; the SQL's recursion is over every word, so it looks at texts under 3000 characters only."""
+    return C.by_words(D.table(spark, d, "documents"), "text").select("doc_id", "chunk_index", F.md5("content").alias("content_md5"))
 
 
 @query("d18_chunk_markdown", f"WITH {D.MARKDOWN_SQL}, ln AS (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(md, chr(10)) AS l FROM md)), s AS (SELECT *, sum(regexp_matches(line, '^#{{1,6}}\\s+\\S')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM ln), g AS (SELECT doc_id, s, string_agg(line, chr(10) ORDER BY i) AS c FROM s GROUP BY 1, 2) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS chunk_index, md5(c) AS content_md5 FROM g WHERE trim(c, ' ' || chr(10)) <> ''")
