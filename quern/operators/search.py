@@ -87,12 +87,13 @@ def boosted(scores: DataFrame, docs: DataFrame) -> DataFrame:
     return scores.join(docs, "doc_id").select("item_id", "doc_id", F.round(F.col("score") * kind * F.when(F.length("text") < 50, 0.7).otherwise(1.0) * 1.1, 6).alias("score"))
 
 
-def word_overlap(queries: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """item_id, doc_id, similarity over `least`: Jaccard of word sets through an equi-join on words."""
+def word_overlap(queries: DataFrame, docs: DataFrame, least: float, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """item_id, keys, similarity over `least`: Jaccard of word sets through an equi-join on words. Rows already dealt out by one of the keys
+    are not shuffled again."""
     a = queries.select("item_id", F.array_distinct(T.words("query")).alias("a")).select("item_id", F.size("a").alias("n"), F.explode("a").alias("w"))
-    b = docs.select("doc_id", F.array_distinct(T.words("text")).alias("b")).select("doc_id", F.size("b").alias("m"), F.explode("b").alias("w"))
-    both = a.join(b, "w").groupBy("item_id", "n", "doc_id", "m").agg(F.count("*").alias("k"))
-    return both.select("item_id", "doc_id", F.round(F.col("k") / (F.col("n") + F.col("m") - F.col("k")), 6).alias("similarity")).where(F.col("similarity") > least)
+    b = docs.select(*keys, F.array_distinct(T.words("text")).alias("b")).select(*keys, F.size("b").alias("m"), F.explode("b").alias("w"))
+    both = a.join(b, "w").groupBy("item_id", "n", *keys, "m").agg(F.count("*").alias("k"))
+    return both.select("item_id", *keys, F.round(F.col("k") / (F.col("n") + F.col("m") - F.col("k")), 6).alias("similarity")).where(F.col("similarity") > least)
 
 
 # ---- vectors ----------------------------------------------------------------------------------------------------------
