@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A table is broadcast only if it was counted and has at most so many narrow rows (under 10 MB), or so many rows of a few hundred
 #: bytes; else Spark shuffles.
@@ -18,6 +19,8 @@ BROADCAST_ROWS, BROADCAST_WIDE_ROWS = 200_000, 20_000
 KEY = ["__k1", "__k2"]
 #: Bytes of a row group of intermediate tables: what each writing task holds in memory.
 ROW_GROUP = 16 << 20
+#: Shares into which the rows of one key are dealt before their last sum.
+SALTS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir; where it is unset (tests), a new local one."""
+    """The folder that all executors see: spark.checkpoint.dir. Where it is unset, a session in one process gets a new local one; a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="quern-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,12 +43,38 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{tag}-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
-def row_key(text: str = "text", doc_id: str = "doc_id") -> list[Column]:
+def discard(*written: DataFrame) -> None:
+    """Delete what materialize wrote. Only for tables that nothing still to be computed reads."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def quoted(names: Iterable[str]) -> list[Column]:
+    """Columns of these names, whatever characters they hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of df has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_key(text: str = "text", doc_id: str = "doc_id", names: list[str] = KEY) -> list[Column]:
     """A 128-bit key of a row's id and text, never null. Rows with equal id and text share it; all results kept under it depend on the text alone."""
-    return [F.xxhash64(F.lit(i), F.col(doc_id), F.col(text)).alias(k) for i, k in enumerate(KEY, 1)]
+    return [F.xxhash64(F.lit(i), F.col(doc_id), F.col(text)).alias(k) for i, k in enumerate(names, 1)]
 
 
 def small(df: DataFrame, rows: int | None = None, wide: bool = False) -> DataFrame:
@@ -53,9 +84,26 @@ def small(df: DataFrame, rows: int | None = None, wide: bool = False) -> DataFra
 
 
 def without_rows(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs without the rows whose key (see row_key) is in rejected, a materialized table with the columns KEY."""
-    keyed = docs.select("*", *row_key())
-    return keyed.join(small(rejected.select(*KEY)), KEY, "left_anti").drop(*KEY)
+    """docs without the rows whose key (see row_key) is in rejected, a materialized table with the columns KEY. docs may have any other columns."""
+    names = fresh(docs, *KEY)
+    gone = small(rejected.select(*KEY)).toDF(*names)
+    return docs.select("*", *row_key(names=names)).join(gone, names, "left_anti").select(*quoted(docs.columns))
+
+
+def summed(parts: DataFrame) -> DataFrame:
+    """parts(k int, v binary: int64 arrays of one length for each k), one row a task and k, to one row for each k. Added in two levels,
+    so that the rows of a key, as many as there are tasks, are not all one task's."""
+
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in slices(batches, 64):
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                v = np.frombuffer(v, np.int64)
+                totals[k] = totals[k] + v if k in totals else v
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([v.tobytes() for v in totals.values()], pa.binary())], ["k", "v"])
+
+    some = parts.withColumn("s", F.spark_partition_id() % SALTS).repartition("k", "s").select("k", "v").mapInArrow(add, "k int, v binary")
+    return some.repartition("k").mapInArrow(add, "k int, v binary")
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -68,8 +116,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 def per_row(df: DataFrame, carry: list[str], column: str, schema: str, make: Callable[[], Callable[[str | None], tuple]]) -> DataFrame:
     """One output row for each input row: the columns carry, then what make()'s function gives for the text. make runs once in each task;
     if the function has an attribute close, that is called at the task's end."""
-    base = df.select(*carry, column)
-    out = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in base.schema.fields[:-1])}, {schema}"
+    base = df.select(*quoted([*carry, column]))
     width = len(carry)
 
     def run(batches):
@@ -80,7 +127,7 @@ def per_row(df: DataFrame, carry: list[str], column: str, schema: str, make: Cal
                 yield [batch.columns[:width], rows]
         getattr(f, "close", int)()
 
-    target = base.sparkSession.createDataFrame([], out).schema
+    target = StructType([*base.schema.fields[:-1], *StructType.fromDDL(schema).fields])
     arrow = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in target.fields])
 
     def arrays(batches):
