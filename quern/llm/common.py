@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: A table is broadcast only if it was counted and has at most so many narrow rows (under 10 MB), or so many rows of a few hundred
 #: bytes; else Spark shuffles.
@@ -116,8 +116,9 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 def per_row(df: DataFrame, carry: list[str], column: str, schema: str, make: Callable[[], Callable[[str | None], tuple]]) -> DataFrame:
     """One output row for each input row: the columns carry, then what make()'s function gives for the text. make runs once in each task;
     if the function has an attribute close, that is called at the task's end."""
-    base = df.select(*quoted([*carry, column]))
-    width = len(carry)
+    width, added = len(carry), StructType.fromDDL(schema).fields
+    # Plain names on the way, for mapInArrow takes no others.
+    base = df.select(*(c.alias(f"c{i}") for i, c in enumerate(quoted([*carry, column]))))
 
     def run(batches):
         f = make()
@@ -127,7 +128,7 @@ def per_row(df: DataFrame, carry: list[str], column: str, schema: str, make: Cal
                 yield [batch.columns[:width], rows]
         getattr(f, "close", int)()
 
-    target = StructType([*base.schema.fields[:-1], *StructType.fromDDL(schema).fields])
+    target = StructType([*base.schema.fields[:-1], *(StructField(f"n{i}", f.dataType) for i, f in enumerate(added))])
     arrow = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in target.fields])
 
     def arrays(batches):
@@ -135,7 +136,7 @@ def per_row(df: DataFrame, carry: list[str], column: str, schema: str, make: Cal
             columns = [pa.array(c, arrow.field(width + i).type) for i, c in enumerate(zip(*rows, strict=True))]
             yield pa.RecordBatch.from_arrays([*kept, *columns], schema=pa.schema([*(pa.field(n, c.type) for n, c in zip(arrow.names, kept)), *list(arrow)[width:]]))
 
-    return base.mapInArrow(arrays, target)
+    return base.mapInArrow(arrays, target).toDF(*carry, *(f.name for f in added))
 
 
 def _arrow(kind) -> pa.DataType:

@@ -35,8 +35,9 @@ class Branch:
 
 
 def topology(shards: int, per_rack: int = 2, racks: int = 2, base: int = 16) -> Branch:
-    """Shards 0 to base - 1 fill regions of `racks` racks of `per_rack` shards; every later shard opens a region of its own, so that the
-    tree for one more shard differs only by a new subtree."""
+    """Shards 0 to base - 1, those the store began with, fill regions of `racks` racks of `per_rack` shards; every later shard opens a
+    region of its own, so that the tree for one more shard differs only by a new subtree. The law `key` therefore holds between trees
+    of `base` shards or more; a store that begins with fewer names its own base and keeps it."""
     leaves = [Branch(f"s{i}", 1.0, shard=i) for i in range(shards)]
 
     def group(kind: str, items: list[Branch], size: int) -> list[Branch]:

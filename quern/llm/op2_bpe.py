@@ -5,14 +5,16 @@ byte of a piece. The encoder takes the longest first and backtracks where two ne
 side by side only if merging by rank would not have joined across their boundary, which is read off the merge history of both and
 memoised by pair. A dead position is never tried again, so the work is linear, and the ids are those of rank-order merging.
 
-Cases: null and empty text have no ids. Long texts are cut by the pattern into pieces of their own, handled a block at a time;
-a piece of any length is scanned once. Repeated rows get equal rows.
+Cases: null and empty text have no ids. Long texts are cut by the pattern into pieces of their own, handled a block at a time. A long
+piece is scanned by windows: only the matches of the window in hand are held, beside some ten bytes for each byte of the piece, and a
+window is scanned again only if backtracking returns to it. Repeated rows get equal rows; other columns play no part.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import lru_cache
 from itertools import islice
 
@@ -25,8 +27,10 @@ from .common import per_row
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces whose ids are kept at a time, longest piece that is kept, and pairs of tokens whose compatibility is kept.
-MEMO_PIECES, MEMO_LENGTH, MEMO_PAIRS = 250_000, 64, 200_000
+MEMO_PIECES, MEMO_LENGTH, MEMO_PAIRS = 250_000, 64, 400_000
 BLOCK = 1 << 16
+#: Bytes of a piece whose matches are held at a time.
+SPAN = 1 << 15
 
 
 class Codec:
@@ -39,6 +43,7 @@ class Codec:
         for token, i in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
         self.automaton.make_automaton()
+        self.longest = max(map(len, self.ranks))
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.fits: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
@@ -80,35 +85,49 @@ class Codec:
             self.fits[pair] = known
         return known
 
-    def encode_piece(self, piece: bytes) -> list[int]:
+    def matches(self, source: str, low: int, high: int) -> list[list[tuple[int, int]]]:
+        """For each place from low to high the tokens that start there, as (id, size), shortest first."""
+        starts: list[list[tuple[int, int]]] = [[] for _ in range(high - low)]
+        for end, (i, size) in self.automaton.iter(source, low, min(len(source), high + self.longest - 1)):
+            if end - size + 1 < high:
+                starts[end - size + 1 - low].append((i, size))  # ends ascend, so lengths ascend
+        return starts
+
+    def encode_piece(self, piece: bytes, span: int = SPAN) -> array:
         whole = self.ranks.get(piece)
         if whole is not None:
-            return [whole]
-        n = len(piece)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (i, size) in self.automaton.iter(piece.decode("latin-1")):
-            starts[end - size + 1].append((i, size))  # ends ascend, so lengths ascend
-        ids: list[int] = []
-        sizes: list[int] = []
-        at, dead = 0, bytearray(n + 1)
+            return array("I", [whole])
+        n, source = len(piece), piece.decode("latin-1")
+        ids, sizes, left = array("I"), array("H"), array("H")  # left: how many choices of a place are still open
+        at, dead, low, high = 0, bytearray(n + 1), 0, min(n, span)
+        starts = self.matches(source, low, high)
         while at < n:
-            choices = starts[at]
+            if not low <= at < high:
+                low = at - at % span
+                high = min(n, low + span)
+                starts = self.matches(source, low, high)
+            choices = starts[at - low]
             taken = False
             while choices:
                 i, size = choices.pop()  # what fails here is never tried at this place again
                 if not dead[at + size] and (not ids or self.compatible(ids[-1], i)):
-                    choices.append((i, size))
                     ids.append(i)
                     sizes.append(size)
+                    left.append(len(choices))
                     at += size
                     taken = True
                     break
             if not taken:
-                # No token fits after the one before: take that back. Its place gets its other choices, this one is closed.
+                # No token fits after the one before: take that back. Its place has its other choices, this one is closed.
                 dead[at] = 1
                 ids.pop()
                 at -= sizes.pop()
-                starts[at].pop()
+                open_ = left.pop()
+                if not low <= at < high:
+                    low = at - at % span
+                    high = min(n, low + span)
+                    starts = self.matches(source, low, high)
+                del starts[at - low][open_:]
         return ids
 
     def ids_of(self, text: str):
@@ -123,7 +142,7 @@ class Codec:
                         piece = block[k]
                         ids = memo.get(piece)
                         if ids is None:
-                            ids = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
+                            ids = np.asarray(self.encode_piece(piece.encode()), "<u4").tobytes()
                             if len(piece) <= MEMO_LENGTH:
                                 if len(memo) >= MEMO_PIECES:
                                     memo.clear()
@@ -178,9 +197,9 @@ def digests(df: DataFrame, path: str, pattern: str, carry: list[str], text: str
             n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
             for block in c.ids_of(t or ""):
                 ids.update(block)
-                got = np.frombuffer(block, "<u4").tolist()
-                n += len(got)
-                decoded.update(c.decode(got))
+                n += len(block) // 4
+                for at in range(0, len(block), 4 * BLOCK):
+                    decoded.update(c.decode(np.frombuffer(block[at : at + 4 * BLOCK], "<u4").tolist()))
             return n, ids.hexdigest(), decoded.hexdigest()
 
         one.close = c.memo.clear  # workers outlive tasks

@@ -1,16 +1,18 @@
 """Secret scans with multipart credential linking.
 
 Three base patterns give spans that are always reported. Weak candidates, which alone prove nothing, are access identifiers (account
-names, short key ids), secrets (mixed blobs without a keyword) and endpoints (URLs, host settings, addresses with a port). An
-interval join decides about them: every part owns the interval of REACH characters round it, cut at the blank lines that bound its
-scope, and a weak part is reported only where complementary parts fall into its interval:
+names, short key ids), secrets (mixed blobs without a keyword) and endpoints (URLs, host settings, addresses with a port). A scope is
+the text between two blank lines. An interval join decides about the candidates: a weak part is reported only where complementary
+parts, as intervals, meet its scope (or, with `reach`, what of its scope lies at most so many characters before or after it):
 
 * a weak identifier next to any secret, a weak secret next to any identifier (base spans count as parts),
 * an endpoint next to both an identifier and a secret.
 
-The join runs in each task over the sorted part positions of a batch of documents (binary searches, no pairs), so it needs no shuffle
-and its memory follows the batch. Null text counts as empty. Spans are code points, end exclusive. Weak spans that touch a base span
-are not reported again. Repeated rows get equal rows.
+Parts that overlap are one string and don't complete each other. The join runs in each task over the sorted part positions of a batch
+of documents (binary searches, no pairs), so it needs no shuffle and its memory follows the batch.
+
+Cases: null text counts as empty. Spans are code points, end exclusive. Weak spans that touch a base span are not reported again, and
+of weak spans that overlap the first stays. Repeated rows get equal rows; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -23,11 +25,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_row
+from .common import fresh, per_row, quoted
 
 #: Order of the kinds where spans start at one place.
 KINDS = ("assign", "access", "hex", "link_access", "link_secret", "link_endpoint")
-REACH = 400
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
@@ -70,7 +71,7 @@ def _touching(spans: list[tuple[int, int]], start: int, end: int) -> bool:
     return (k < len(spans) and spans[k][0] < end) or (k > 0 and spans[k - 1][1] > start)
 
 
-def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH) -> list[tuple[int, int, str]]:
+def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int | None = None) -> list[tuple[int, int, str]]:
     """The weak candidates that complementary parts support."""
     covered: list[tuple[int, int]] = []
     for a, b, _ in base:
@@ -93,11 +94,15 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH
     cuts = np.array([0, *(m.end() for m in _BLANK.finditer(text)), len(text) + 1])
     starts, ends = (np.array([w[i] for w in weak]) for i in (0, 1))
     scope = np.searchsorted(cuts, starts, "right")
-    low, high = np.maximum(starts - reach, cuts[scope - 1]), np.minimum(ends + reach, cuts[scope])
+    low, high = cuts[scope - 1], cuts[scope]
+    if reach is not None:
+        low, high = np.maximum(starts - reach, low), np.minimum(ends + reach, high)
     near = {}
     for part, own in parts.items():
-        at = np.sort(np.array([a for a, _ in own], np.int64))
-        near[part] = np.searchsorted(at, high, "left") > np.searchsorted(at, low, "left")
+        first, last = (np.sort(np.array([p[i] for p in own], np.int64)) for i in (0, 1))
+        # Intervals that start before an end, less those that end before a start: how many meet it.
+        meet = lambda a, b: np.searchsorted(first, b, "left") - np.searchsorted(last, a, "right")  # noqa: B023, E731
+        near[part] = meet(low, high) > meet(starts, ends)
     needs = {"access": near["secret"], "secret": near["access"], "endpoint": near["access"] & near["secret"]}
     out, last = [], -1
     for k, (a, b, part) in sorted(enumerate(weak), key=lambda x: x[1][:2]):
@@ -107,11 +112,11 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH
     return out
 
 
-def spans_of(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def spans_of(text: str | None, reach: int | None = None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans, by start, then kind."""
     text = text or ""
     base = base_spans(text)
-    more = linked_spans(text, base)
+    more = linked_spans(text, base, reach)
     return base, sorted([*base, *more], key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -126,8 +131,6 @@ def find_secrets(df: DataFrame, carry: list[str], text: str = "text") -> DataFra
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of its text replaced by mark; other columns stay as they are."""
-    names = docs.columns
-
     def clean(t):
         if t is None:
             return (None,)
@@ -138,9 +141,10 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
             last = max(last, b)
         return ("".join([*out, t[last:]]),)
 
-    others = [c for c in names if c != text]
-    done = per_row(docs, others, text, "__redacted string", lambda: clean)
-    return done.select(*(F.col("__redacted").alias(text) if c == text else F.col(f"`{c}`") for c in names))
+    others = [c for c in docs.columns if c != text]
+    (new,) = fresh(docs, "redacted")
+    done = per_row(docs, others, text, f"{new} string", lambda: clean)
+    return done.select(*(F.col(new).alias(text) if c == text else quoted([c])[0] for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

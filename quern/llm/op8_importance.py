@@ -5,18 +5,19 @@ on documents labelled good, the raw model on all documents. A document's weight
 n-grams. Gumbel noise, drawn by a hash of the document, is added, and the documents with the largest keys are the sample: a draw
 without replacement in proportion to the ratio. The top k is found by counting keys in nested ranges, never by sorting all of them.
 
-Cases: null and wordless texts have log ratio 0 and still take part. Ties at the cut are broken by the row key; repeated rows share a
-key and a fate, so the sample may exceed k by copies of its last row. Without good labels the ratio is that of two equal models' prior.
+Cases: null and wordless texts have log ratio 0 and still take part. Ties at the cut are broken by the row key, found by the same
+counting; repeated rows share a key and a fate, so the sample may exceed k by copies of its last row. Without good labels the ratio is
+that of a uniform target. Other columns play no part.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, materialize, row_key, slices, small, word_hashes
+from .common import KEY, materialize, row_key, slices, small, summed, word_hashes
 
 BUCKETS = 1 << 14
 FRACTION = 0.8
@@ -45,23 +46,13 @@ def fit(docs: DataFrame, good: DataFrame) -> tuple[np.ndarray, int]:
                 totals[0] += n
                 if g:
                     totals[1] += n
-        rows = [(k, b, totals[k, b : b + 2048].tobytes()) for k in (0, 1) for b in range(0, BUCKETS, 2048)] if totals.any() else []
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["k", "b", "v"])
-
-    def add(batches):
-        totals: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for k, b, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                v = np.frombuffer(v, np.int64)
-                totals[k, b] = totals[k, b] + v if (k, b) in totals else v
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in totals], pa.int32()), pa.array([b for _, b in totals], pa.int32()), pa.array([v.tobytes() for v in totals.values()], pa.binary())], ["k", "b", "v"])
-
-    parts = marked.mapInArrow(count, "k int, b int, v binary")
-    summed = parts.repartition("k", "b").mapInArrow(add, "k int, b int, v binary")
+        rows = [(k << 16 | b, totals[k, b : b + 2048].tobytes()) for k in (0, 1) for b in range(0, BUCKETS, 2048)] if totals.any() else []
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary()))], ["k", "v"])
+
     totals = np.ones((2, BUCKETS))
-    for r in summed.collect():  # two rows of BUCKETS numbers in all
-        v = np.frombuffer(r["v"], np.int64)
-        totals[r["k"], r["b"] : r["b"] + len(v)] += v
+    for r in summed(marked.mapInArrow(count, "k int, v binary")).collect():  # two rows of BUCKETS numbers in all
+        v, k, b = np.frombuffer(r["v"], np.int64), r["k"] >> 16, r["k"] & 0xFFFF
+        totals[k, b : b + len(v)] += v
     p = np.log(totals / totals.sum(1, keepdims=True))
     return p[1] - p[0], good.count()
 
@@ -81,31 +72,38 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
     return scored.withColumn("key", F.col("log_ratio") - F.log(-F.log(uniform)))
 
 
-def top_k(weighed: DataFrame, k: int, width: int = 4096) -> DataFrame:
-    """weighed (materialized) with `selected`: whether the row's key is among the k largest. Ranges round the cut are counted and
-    narrowed until few rows share one; those few are ranked."""
-    low, high, total = weighed.agg(F.min("key"), F.max("key"), F.count("*")).first()
+def nth(df: DataFrame, value: Column, k: int, width: int = 4096) -> tuple:
+    """The k-th largest value (from 1), and how many rows have larger ones. Counts rows in ranges round it and narrows them until it is
+    alone; each round is one pass that counts at most `width` ranges."""
+    rows = df.select(value.alias("x"))
+    low, high = rows.agg(F.min("x"), F.max("x")).first()
+    above = 0
+    while low != high:
+        step = (float(high) - float(low)) / width
+        if step:
+            cell = F.least(F.floor((F.col("x").cast("double") - float(low)) / step), F.lit(width - 1))
+        else:  # neighbouring numbers
+            cell = F.when(F.col("x") == high, 1).otherwise(0)
+        counts = rows.where((F.col("x") >= low) & (F.col("x") <= high)).groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        for r in sorted(counts.collect(), key=lambda r: -r["c"]):
+            if above + r["n"] >= k:
+                low, high = r["lo"], r["hi"]
+                break
+            above += r["n"]
+    return low, above
+
+
+def top_k(weighed: DataFrame, k: int) -> DataFrame:
+    """weighed (materialized) with `selected`: whether the row is among the k with the largest key, ties by the smaller row key."""
+    total = weighed.count()
     if not total or k >= total or k <= 0:
         return weighed.withColumn("selected", F.lit(bool(total) and k >= total))
-    above, inside = 0, total
-    while inside > 10_000 and high - low > 1e-12 * max(abs(low), abs(high), 1):
-        step = (high - low) / width
-        cell = F.least(F.floor((F.col("key") - low) / step), F.lit(width - 1))
-        counts = {r["c"]: (r["n"], r["lo"], r["hi"]) for r in weighed.where((F.col("key") >= low) & (F.col("key") <= high)).groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()}
-        for c in sorted(counts, reverse=True):
-            n, lo, hi = counts[c]
-            if above + n >= k:
-                if n == inside:
-                    high = low  # one value
-                inside, low, high = n, lo, hi if high != low else lo
-                break
-            above += n
-    edge = weighed.where((F.col("key") >= low) & (F.col("key") <= high)).select("key", *KEY).orderBy(F.desc("key"), *KEY).limit(k - above)
-    last = edge.orderBy("key", *(F.desc(c) for c in KEY)).first() if inside <= 1_000_000 else None
-    if last is None:  # more than a million equal keys: all of them
-        return weighed.withColumn("selected", F.col("key") >= low)
-    order = F.struct((-F.col("key")).alias("x"), *KEY)
-    return weighed.withColumn("selected", order <= F.struct(F.lit(-last["key"]).alias("x"), F.lit(last[KEY[0]]).alias(KEY[0]), F.lit(last[KEY[1]]).alias(KEY[1])))
+    chosen, tied = F.lit(False), F.lit(True)
+    for value in (F.col("key"), *(F.bitwise_not(c) for c in KEY)):  # ~x orders as -x does, without overflow
+        cut, above = nth(weighed.where(tied), value, k)
+        k -= above
+        chosen, tied = chosen | (tied & (value > F.lit(cut))), tied & (value == F.lit(cut))
+    return weighed.withColumn("selected", chosen | tied)
 
 
 def resample(docs: DataFrame, labels: DataFrame, fraction: float = FRACTION, seed: int = SEED) -> DataFrame:

@@ -3,8 +3,9 @@
 Fixed base rules are joined by thresholds that follow each language and source: the ratios below are kept as mergeable quantile
 sketches (logarithmic buckets with counts, relative error EPS; merging adds counts, so the sketch of any union is exact to the
 bucket and does not depend on the order of rows). A value fails if it is beyond a fence round the quartiles of its group, by FENCE
-times their spread, and beyond the same fence of its language; groups under LEAST rows lean on their language alone, and languages
-under LEAST rows on all documents. The thresholds are joined to the documents and both verdicts together decide.
+times their spread, and beyond the same fence of its language. Quartiles of a group of n rows are its own, weighing n, and those of its
+language, weighing PRIOR, averaged; a language leans on all documents likewise. So small groups follow what is wider, and no count
+changes the rule. The thresholds are joined to the documents and both verdicts together decide.
 
 Ratios: mean word length, symbols per word, share of lines that repeat, share of words in repeated 3-word windows.
 
@@ -18,6 +19,7 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, mixed, per_row, row_key, small, word_hashes
@@ -25,7 +27,8 @@ from .common import materialize, mixed, per_row, row_key, small, word_hashes
 EPS = 0.02
 GAMMA = (1 + EPS) / (1 - EPS)
 FENCE = 6.0
-LEAST = 50
+#: Rows that the wider group counts for in a group's quartiles.
+PRIOR = 50
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: Values at or under this are one bucket.
 FLOOR = 1e-4
@@ -85,43 +88,51 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketches: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    """(keys, {prefix}: map from ratio to (low, high)) of the groups with LEAST rows or more."""
-    from pyspark.sql import Window as W
-
+def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ratio, n, a, b): rows, lower and upper quartile of each sketch."""
     by = [*keys, "ratio"]
     upto = F.sum("n").over(W.partitionBy(*by).orderBy("bucket"))
     total = F.sum("n").over(W.partitionBy(*by))
     value = F.when(F.col("bucket") == 0, 0.0).otherwise(FLOOR * F.pow(F.lit(GAMMA), F.col("bucket") - 0.5))
-    ranked = sketches.select(*by, "bucket", upto.alias("upto"), total.alias("total"), value.alias("v"))
+    ranked = sketches.select(*by, upto.alias("upto"), total.alias("total"), value.alias("v"))
     quartile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("v")))
+    return ranked.groupBy(*by).agg(F.first("total").alias("n"), quartile(0.25).alias("a"), quartile(0.75).alias("b"))
+
+
+def leaning(own: DataFrame, wider: DataFrame, keys: list[str]) -> DataFrame:
+    """own's quartiles, averaged with those of the wider groups (by keys), which weigh PRIOR rows."""
+    other = wider.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("ratio").alias("r"), F.col("a").alias("wa"), F.col("b").alias("wb"))
+    same = [F.col("ratio") == F.col("r"), *(F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)]
+    mean = lambda x, w: ((F.col("n") * F.col(x) + PRIOR * F.col(w)) / (F.col("n") + PRIOR)).alias(x)
+    rest = [c for c in own.columns if c not in ("a", "b")]
+    return own.join(small(other), same).select(*rest, mean("a", "wa"), mean("b", "wb"))
+
+
+def fences(quartered: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """(keys, {prefix}: map from ratio to (low, high)) of all groups."""
     least = F.create_map(*[F.lit(x) for r in RATIOS for x in (r, LEAST_SPREAD[r])])[F.col("ratio")]
-    made = ranked.where(F.col("total") >= LEAST).groupBy(*by).agg(quartile(0.25).alias("a"), quartile(0.75).alias("b"))
     spread = F.greatest(F.col("b") - F.col("a"), least) * FENCE
-    made = made.select(*keys, "ratio", F.struct((F.col("a") - spread).alias("low"), (F.col("b") + spread).alias("high")).alias("f"))
+    made = quartered.select(*keys, "ratio", F.struct((F.col("a") - spread).alias("low"), (F.col("b") + spread).alias("high")).alias("f"))
     return made.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("ratio", "f"))).alias(prefix))
 
 
 def judge(measured: DataFrame) -> DataFrame:
     """measured (materialized) with base_failed and kept."""
     fine = materialize(sketch(measured, ["lang", "source"]), "sketch")
-    by_lang, overall = merge(fine, ["lang"]), merge(fine, [])
-    own, lang = (materialize(fences(s, k, p), p) for s, k, p in ((fine, ["lang", "source"], "own"), (by_lang, ["lang"], "wide")))
-    every = fences(overall, [], "every").first()
+    every = quartiles(merge(fine, []), [])  # one row for each ratio
+    by_lang = materialize(leaning(quartiles(merge(fine, ["lang"]), ["lang"]), every, []), "quartiles")
+    by_source = leaning(quartiles(fine, ["lang", "source"]), by_lang, ["lang"])
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     out = measured
-    for table, keys in ((own, ["lang", "source"]), (lang, ["lang"])):
-        other = table.select(*(F.col(k).alias(f"__{k}") for k in keys), *[c for c in table.columns if c not in keys])
+    for quartered, keys, name in ((by_source, ["lang", "source"], "own"), (by_lang, ["lang"], "wide")):
+        table = materialize(fences(quartered, keys, name), name)
+        other = table.select(*(F.col(k).alias(f"__{k}") for k in keys), name)
         same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
         out = out.join(small(other), same, "left").drop(*(f"__{k}" for k in keys))
     failed = F.lit(False)
     for r in RATIOS:
-        limit = every["every"][r] if every and every["every"] and r in every["every"] else None
-        v = _ratio(r)
-        whole = F.coalesce(F.col("wide")[r], F.struct(F.lit(limit["low"] if limit else -math.inf).alias("low"), F.lit(limit["high"] if limit else math.inf).alias("high")))
-        near = F.coalesce(F.col("own")[r], whole)
-        beyond = lambda f: (v < f["low"]) | (v > f["high"])  # noqa: B023, E731
-        failed = failed | (beyond(near) & beyond(whole))
+        beyond = lambda name: (_ratio(r) < F.col(name)[r]["low"]) | (_ratio(r) > F.col(name)[r]["high"])  # noqa: B023, E731
+        failed = failed | F.coalesce(beyond("own") & beyond("wide"), F.lit(False))
     return out.withColumn("base_failed", base).withColumn("kept", ~base & ~failed).drop("own", "wide")
 
 
