@@ -1,13 +1,19 @@
 """HTML extraction: layout-aware rendering.
 
 A tree builder turns tags into a tree, with implied end tags (p, li, td, tr, option, dt, dd) and implied parents left to the flow;
-visibility rules drop what a browser never paints (head, script, style, template, hidden attributes, display:none, comments); the
+visibility rules drop what a browser never paints (head, script, style, template, comments, elements with the attribute `hidden`,
+those whose style declares display: none or visibility: hidden, closed dialogs, the fallback content of iframes and of scripts); the
 renderer then emits all visible text: blocks on lines of their own with a blank line round paragraphs and headings, list items with
-bullets or numbers, indented by depth, table cells padded to aligned columns, pre text as it stands, br as a line break.
+bullets or numbers, indented by depth, table cells padded to aligned columns, pre text as it stands, br as a line break. Attributes
+are read into names and values; aria-hidden says nothing about what is painted. Options of a select, text of svg and math, and the
+text of a textarea are painted.
 
-Cases: null and empty html give an empty text. Unclosed and stray tags never lose text; quotes only
-hold a tag open after an equals sign. Deep nesting is cut flat at MAX_DEPTH (text
-stays). Work is linear in the page. Repeated rows get equal rows.
+A column of a table is as wide as its widest cell that has at most WIDEST characters and at most SPREAD times the column's mean;
+longer cells hang over and lose nothing. So padding is at most SPREAD times the text of a table, and the output is linear in the page.
+
+Cases: null and empty html give an empty text. Unclosed and stray tags never lose text; what stands in a table outside its cells comes
+before it; quotes only hold a tag open after an equals sign. Deep nesting is cut flat at MAX_DEPTH (text stays). Work is linear in
+the page. Repeated rows get equal rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -20,28 +26,61 @@ from pyspark.sql import DataFrame
 from .common import per_row
 
 MAX_DEPTH = 400
+#: Characters that a padded column may have, and how far it may exceed the mean of its cells.
+WIDEST, SPREAD = 80, 8
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=(?:\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)))?)*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
-_HIDDEN = re.compile(r"""(?i)\bhidden\b(?!\s*=\s*["']?(?:until-found|false))|\bstyle\s*=\s*(?:"[^"]*(?:display\s*:\s*none|visibility\s*:\s*hidden)|'[^']*(?:display\s*:\s*none|visibility\s*:\s*hidden))|\baria-hidden\s*=\s*["']?true""")
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s=/>]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?""")
+_UNPAINTED = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!\s*important\s*)?(?=;|$)")
+_COMMENT = re.compile(r"(?s)/\*.*?\*/")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 # Names of HTML elements by how they are laid out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object".split())
-UNSEEN = frozenset("head script style noscript template iframe svg math object select datalist dialog title".split())
+RAW = frozenset("script style noscript textarea iframe title".split())
+UNSEEN = frozenset("head script style noscript template iframe datalist title".split())
+FOREIGN = frozenset("svg math".split())
+CONTROL = frozenset("option optgroup select textarea button".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr article section".split())
-BLOCK = SPACED | frozenset("html body div main header footer nav aside address form fieldset figcaption details summary li dt dd tr caption center legend".split())
+BLOCK = SPACED | frozenset("html body div main header footer nav aside address form fieldset figcaption details summary dialog li dt dd tr caption center legend".split())
 CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]),
     "th": frozenset(["td", "th"]), "option": frozenset(["option"]), "tbody": frozenset(["thead", "tbody", "tr", "td", "th"]), "tfoot": frozenset(["tbody", "thead", "tr", "td", "th"]),
 }
 #: An implied end tag does not reach beyond these.
 BOUND = {"li": frozenset(["ul", "ol"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["tr", "table"]), "th": frozenset(["tr", "table"]), "tbody": frozenset(["table"]), "tfoot": frozenset(["table"])}
+CELL, SECTION = frozenset(["td", "th"]), frozenset(["thead", "tbody", "tfoot"])
+#: What a body element may close without its end tag: the head ends where content begins.
+HEAD_ONLY = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
 
 
 class Node:
-    __slots__ = ("children", "name", "seen")
+    __slots__ = ("children", "foreign", "name", "seen")
+
+    def __init__(self, name: str, seen: bool = True, foreign: bool = False):
+        self.name, self.seen, self.foreign, self.children = name, seen, foreign, []
+
+
+def attributes(source: str) -> dict[str, str]:
+    """Names, in lower case, and values; of names that repeat the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(source):
+        value = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or ""
+        found.setdefault(m[1].lower(), value)
+    return found
+
 
-    def __init__(self, name: str, seen: bool = True):
-        self.name, self.seen, self.children = name, seen, []
+def painted(name: str, source: str) -> bool:
+    """Whether an element of this name with these attributes is painted."""
+    if name in UNSEEN:
+        return False
+    if name != "dialog" and not source.strip(" /\t\r\n\f"):
+        return True
+    own = attributes(source)
+    if "hidden" in own and own["hidden"].strip().lower() != "until-found":
+        return False
+    style = own.get("style", "")
+    if style and _UNPAINTED.search(_COMMENT.sub("", html.unescape(style))):
+        return False
+    return name != "dialog" or "open" in own
 
 
 def build(source: str) -> Node:
@@ -50,10 +89,10 @@ def build(source: str) -> Node:
     while at < end:
         m = _TAG.search(source, at)
         if m is None:
-            stack[-1].children.append(source[at:])
+            _add_text(stack, source[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(source[at : m.start()])
+            _add_text(stack, source[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
@@ -66,6 +105,8 @@ def build(source: str) -> Node:
                 if name in ("p", "b", "i", "em", "strong", "a", "span") and stack[k].name in ("td", "th", "li", "table"):
                     break
             continue
+        if stack[-1].name == "head" and name not in HEAD_ONLY:
+            stack.pop()
         closes, bound = CLOSED_BY.get(name), BOUND.get(name, frozenset())
         if closes:
             for k in range(len(stack) - 1, 0, -1):
@@ -82,61 +123,98 @@ def build(source: str) -> Node:
                     break
                 if stack[k].name in BLOCK or stack[k].name in ("td", "th"):
                     break
-        node = Node(name, name not in UNSEEN and not (m[3] and _HIDDEN.search(m[3])))
+        foreign = name in FOREIGN or (stack[-1].foreign and stack[-1].name != "foreignobject")
+        node = Node(name, painted(name, m[3]), foreign)
         stack[-1].children.append(node)
-        if name in RAW:
+        # A slash ends an element of svg and math only; on others it means nothing.
+        if foreign and m[3].endswith("/"):
+            continue
+        if name in RAW and not foreign:
             close = re.compile(rf"(?i)</{re.escape(name)}\b[^>]*>").search(source, at)
             body_end = close.start() if close else end
             node.children.append(source[at:body_end])
             at = close.end() if close else end
-        elif name not in VOID and not m[3].endswith("/") and len(stack) < MAX_DEPTH:
+        elif name not in VOID and len(stack) < MAX_DEPTH:
             stack.append(node)
     return root
 
 
+def _add_text(stack: list[Node], text: str) -> None:
+    if stack[-1].name == "head" and not text.isspace():
+        stack.pop()
+    stack[-1].children.append(text)
+
+
 class Page:
     """Lines under construction."""
 
     def __init__(self):
         self.lines: list[str] = []
-        self.line, self.gap, self.indent, self.mark = "", False, 0, ""
+        self.parts: list[str] = []
+        self.blank, self.gap, self.indent, self.mark = True, False, 0, ""
 
     def text(self, s: str) -> None:
         s = _SPACE.sub(" ", s)
-        if not self.line:
+        if self.blank:
             s = s.lstrip(" ")
-        elif self.line[-1] == " ":
-            s = s.lstrip(" ")
-        self.line += s
+        if s:
+            self.parts.append(s)
+            self.blank = s[-1] == " "
 
     def end(self, spaced: bool = False) -> None:
-        line = self.line.rstrip(" ")
+        line = "".join(self.parts).rstrip(" ")
+        self.parts, self.blank = [], True
         if line:
-            if self.gap and self.lines:
-                self.lines.append("")
-            self.lines.append(f"{'  ' * self.indent}{self.mark}{line}")
-            self.gap, self.mark = False, ""
-        self.line = ""
+            self.put(f"{'  ' * self.indent}{self.mark}{line}")
+            self.mark = ""
         self.gap = self.gap or spaced
 
+    def put(self, line: str) -> None:
+        if self.gap and self.lines:
+            self.lines.append("")
+        self.lines.append(line)
+        self.gap = False
+
 
-def _cells(table: Node) -> list[list[str]]:
+def _table(table: Node) -> tuple[list[list[str]], list[str | Node]]:
+    """The cells' texts by row, and what stands outside the cells."""
     rows: list[list[str]] = []
-    todo = [table]
+    loose: list[str | Node] = []
+    todo: list[str | Node] = list(reversed(table.children))
+    row: list[str] | None = None
     while todo:
         node = todo.pop()
-        if isinstance(node, str) or not node.seen:
+        if isinstance(node, str):
+            loose.append(node)
+        elif not node.seen:
             continue
-        if node.name == "tr":
-            rows.append([_SPACE.sub(" ", render(c)) for c in node.children if isinstance(c, Node) and c.seen and c.name in ("td", "th")])
-        elif node is table or node.name in ("thead", "tbody", "tfoot"):
+        elif node.name in CELL:
+            if row is None:
+                rows.append(row := [])
+            row.append(_SPACE.sub(" ", render(node)))
+        elif node.name == "tr":
+            rows.append(row := [])
             todo.extend(reversed(node.children))
-    return [r for r in rows if r]
+        elif node.name in SECTION or node.name == "colgroup":
+            row = None
+            todo.extend(reversed(node.children))
+        else:
+            loose.append(node)
+    return [r for r in rows if r], loose
 
 
-def _loose(table: Node) -> list[str | Node]:
-    """What stands in a table outside its cells."""
-    return [c for c in table.children if isinstance(c, str) or c.name not in ("tr", "thead", "tbody", "tfoot", "colgroup")]
+def _widths(rows: list[list[str]]) -> list[int]:
+    sizes: list[list[int]] = []
+    for r in rows:
+        for k, cell in enumerate(r):
+            if k == len(sizes):
+                sizes.append([])
+            sizes[k].append(len(cell))
+    out = []
+    for s in sizes:
+        most = min(WIDEST, SPREAD * max(sum(s) // len(s), 1))
+        out.append(max((n for n in s if n <= most), default=0))
+    return out
 
 
 def render(root: Node) -> str:
@@ -146,12 +224,23 @@ def render(root: Node) -> str:
     return "\n".join(page.lines)
 
 
+def _raw(node: Node) -> list[str]:
+    """The text of a pre element as it stands."""
+    out: list[str] = []
+    for c in node.children:
+        if isinstance(c, str):
+            out.append(html.unescape(c))
+        elif c.seen:
+            out += ["\n"] if c.name == "br" else _raw(c)
+    return out
+
+
 def _flow(node: Node, page: Page, depth: int, order: list[int] | None) -> None:
     if not node.seen:
         return
     name = node.name
     if name == "br":
-        if page.line.strip():
+        if page.parts:
             page.end()
         return
     if name == "hr":
@@ -161,22 +250,22 @@ def _flow(node: Node, page: Page, depth: int, order: list[int] | None) -> None:
     if block:
         page.end(spaced and depth < 1)
     if name == "pre":
-        raw = "".join(c if isinstance(c, str) else render(c) for c in node.children)
-        for line in html.unescape(raw).strip("\n").split("\n"):
-            page.lines.extend([""] if page.gap and page.lines else [])
-            page.gap = False
-            page.lines.append(line.rstrip())
+        for line in "".join(_raw(node)).strip("\n").split("\n"):
+            page.put(f"{page.mark}{line}".rstrip())
+            page.mark = ""
         page.end(True)
         return
     if name == "table":
-        for c in _loose(node):
+        rows, loose = _table(node)
+        for c in loose:
             page.text(html.unescape(c)) if isinstance(c, str) else _flow(c, page, depth, None)
         page.end(True)
-        rows = _cells(node)
-        widths = [max(len(r[k]) for r in rows if len(r) > k) for k in range(max(map(len, rows), default=0))]
+        widths = _widths(rows)
         for r in rows:
-            page.line = " | ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip()
-            page.end()
+            line = " | ".join([*(c.ljust(w) for c, w in zip(r[:-1], widths)), r[-1]]).rstrip()
+            if line:
+                page.put(f"{'  ' * page.indent}{page.mark}{line}")
+                page.mark = ""
         page.end(True)
         return
     inner = None
@@ -187,6 +276,8 @@ def _flow(node: Node, page: Page, depth: int, order: list[int] | None) -> None:
         if order is not None:
             order[0] += 1
         page.mark = f"{order[0]}. " if order is not None else "- "
+    if name in CONTROL:
+        page.text(" ")
     for c in node.children:
         if isinstance(c, str):
             page.text(html.unescape(c))
@@ -195,7 +286,7 @@ def _flow(node: Node, page: Page, depth: int, order: list[int] | None) -> None:
     if name in ("ul", "ol"):
         page.indent -= depth > 1
         depth -= 1
-    if name in ("td", "th"):
+    if name in CELL or name in CONTROL:
         page.text(" ")
     if block:
         page.end(spaced and depth < 1)

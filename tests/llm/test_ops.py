@@ -453,6 +453,66 @@ def test_html():
     assert x("<p title=it's>kept</p> <i isn't>too</i>, <b a= \"1>2\" b=c>so</b>") == "kept\n\ntoo, so"
 
 
+def test_html_visibility():
+    """Only what is never painted goes: exact attribute names, exact declarations."""
+    x = op7_html.extract
+    for h in ('<div style="overflow:hidden">a</div>', '<p class="hidden-xs">a</p>', '<p data-x="not hidden">a</p>', '<a href="/hidden/page">a</a>', '<p aria-hidden="true">a</p>', "<p title='display:none'>a", "<p =hidden>a", "<p a=b/hidden>a", "<dialog open>a</dialog>", "<p hidden=until-found>a", "<p style='/*display:none*/'>a", "<svg><text>a</text></svg>", "<math><mi>a</mi></math>", "<object>a</object>", "<head>a"):
+        assert x(h) == "a", h
+    for h in ("<p hidden>a", "<p HIDDEN=''>a", "<p/hidden>a", "<div style='color:red; DISPLAY : none !important'>a</div>", '<i style="visibility:hidden">a</i>', "<dialog>a</dialog>", "<template>a<template>b</template>c</template>", "<iframe>a</iframe>", "<svg><title>a</title></svg>"):
+        assert x(h) == "", h
+    assert x('<p>a<svg class="i"/>b</p><p>rest</p>') == "ab\n\nrest"
+    assert x("<div/>text</div>more") == "text\nmore"
+    assert x("<select><option>one<option>two</select>") == "one two"
+    assert x("<table><thead>x<tr><th>h</thead><tr>y<td>1<td>2</table>") == "xy\n\nh\n1 | 2"
+    assert x("<table><td>1<td>2</table>") == "1 | 2"
+
+
+def test_html_tables_stay_linear():
+    page = "<table><tr><td>" + "x" * 20_000 + "<td>1</tr>" + "<tr><td>a<td>b</tr>" * 2000 + "</table>"
+    assert len(op7_html.extract(page)) < len(page)
+    big = "<table>" + "".join(f"<tr><td>{'c' * (k % 70)}<td>{'d' * (k % 9)}<td>e" for k in range(30_000)) + "</table>"
+    assert len(big) > 1_000_000 and len(op7_html.extract(big)) < 3 * len(big)
+    one = "<table>" + "<tr><td>a<td>b" * 30_000 + f"<tr><td>{'w' * 79}<td>b</table>"
+    assert len(op7_html.extract(one)) < 3 * len(one)
+
+
+def trees(words):
+    """HTML of random elements with a word in every text node, and the words that are painted."""
+    inline = ["<b>{}</b>", "<a href='/hidden/x'>{}</a>", "<span class=hidden>{}</span>", "<svg viewBox='0'><g>{}</g><path d='M'/></svg>", "<!-- hidden -->{}", "{}<br>", "{}<img hidden>"]
+    block = ["<div style='overflow:hidden'>{}</div>", "<p>{}", "<section>{}</section>", "<ul><li>{}<li>{}</ul>", "<table><tr><td>{}<td>{}<tr>{}</table>", "<pre>{}</pre>", "<h2>{}</h2>", "<dialog open>{}</dialog>", "<blockquote>{}</div></blockquote>", "<select><option>{}<option>{}</select>", "<object>{}</object>", "<details>{}</details>", "<p aria-hidden=true>{}"]
+    unseen = ["<div hidden>{}</div>", "<span style='display:none'>{}</span>", "<template>{}</template>", "<dialog>{}</dialog>", "<div style='x:y;visibility: hidden'>{}</div>", "<script>{}</script>", "<noscript>{}</noscript>", "<!-- {} -->"]
+    leaf = words.map(lambda w: (f" {w} ", [w]))
+
+    def fill(shapes, children, shown=True):
+        def made(x):
+            shape, parts = x
+            used = [parts[i % len(parts)] for i in range(shape.count("{}"))]
+            used = used if len(parts) >= len(used) else [used[0], *[(" ", [])] * (len(used) - 1)]
+            return shape.format(*(h for h, _ in used)), [w for _, ws in used for w in ws] if shown else []
+
+        return st.tuples(st.sampled_from(shapes), st.lists(children, min_size=1, max_size=3)).map(made)
+
+    flat = st.recursive(leaf, lambda c: fill(inline, c), max_leaves=4)
+    hidden = fill(unseen, leaf, False)
+    tree = st.recursive(flat | hidden, lambda c: fill(block, c), max_leaves=12)
+    return st.lists(tree, max_size=4).map(lambda xs: ("".join(h for h, _ in xs), [w for _, ws in xs for w in ws]))
+
+
+@settings(max_examples=300, deadline=None)
+@given(trees(st.integers(0, 10**6).map(lambda i: f"w{i}")))
+def test_html_loses_no_painted_text(made):
+    page, words = made
+    assert Counter(re.findall(r"w\d+", op7_html.extract(page))) == Counter(words), page
+
+
+def test_html_edges(spark):
+    rows = [(1, None, 5), (2, "", 5), (3, "<p>a", 5), (3, "<p>a", 5), (None, "<b>x</b>" * 100_000, 5)]
+    pages = spark.createDataFrame(rows, "page_id long, html string, text int").withColumns({"n_chars": F.lit(1), "a.b": F.lit(2)})
+    out = Counter((r["page_id"], r["text"], r["n_chars"]) for r in op7_html.extract_text(pages, ["page_id"]).collect())
+    assert out == Counter({(1, "", 0): 1, (2, "", 0): 1, (3, "a", 1): 2, (None, "x" * 100_000, 100_000): 1})
+    assert op7_html.extract_text(pages.where("false"), ["page_id"]).count() == 0
+
+
 def test_html_keeps_all_visible_text(spark):
     rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
     out = {r["page_id"]: r["text"] for r in op7_html.query(spark, SF).collect()}
