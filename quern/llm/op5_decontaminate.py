@@ -5,7 +5,7 @@ are, so building it shuffles nothing. Every window of a benchmark item is looked
 by its offset in the item, gives alignments of item and document; the shifted list of the window's second rarest term is intersected
 with them; what is left is intersected with the lists of all other terms round the anchor, and runs of adjacent hits that are a whole
 window long are exact phrase matches. With slop > 0 the first intersection also keeps alignments whose two rarest terms stand within
-slop words of their places: proximity matches.
+slop words of their places: proximity matches. The query counts both kinds.
 
 DataFrame operations only. Joins after the index are by document and position, so no term, however common, is a join key of its own
 in a shuffle, and identical alignments met through several anchors are merged before they are extended.
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import KEY, materialize, row_key, small
 
 WINDOW = 13
+#: Words by which the two rarest terms of a window may be off their places in a proximity match.
+SLOP = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Stands after the last word of every document in the index; no word looks like it.
@@ -119,10 +121,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    out = decontaminate(docs, benchmark)
+    out = decontaminate(docs, benchmark, slop=SLOP)
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated", "n_near",
     )
 
 
@@ -135,7 +137,16 @@ sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS win FROM d, sizes WHERE len(w) >= n),
 m AS (SELECT DISTINCT doc_id, i, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM m)) GROUP BY 1),
-s AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM m) GROUP BY 1)
+s AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM m) GROUP BY 1),
+ij AS (SELECT item_id, len(w) AS n, unnest(range(len(w))) AS j, unnest(w) AS word FROM b),
+dt AS MATERIALIZED (SELECT * FROM (SELECT doc_id, unnest(range(len(w))) AS p, unnest(w) AS word FROM d) SEMI JOIN ij USING (word)),
+pl AS (SELECT item_id, j, word, cf FROM ij JOIN (SELECT word, count(*) AS cf FROM dt GROUP BY 1) USING (word)),
+ws AS (SELECT item_id, least(n, {WINDOW}) AS size, unnest(range(greatest(n - {WINDOW}, 0) + 1)) AS s FROM (SELECT DISTINCT item_id, n FROM ij)),
+wr AS (SELECT ws.item_id, s, size, j, word, row_number() OVER (PARTITION BY ws.item_id, s ORDER BY cf, j) AS r, count(*) OVER (PARTITION BY ws.item_id, s) AS had FROM ws JOIN pl ON pl.item_id = ws.item_id AND j >= s AND j < s + size),
+lk AS (SELECT DISTINCT x.item_id, x.j AS j1, x.word AS t1, y.j AS j2, y.word AS t2 FROM wr x JOIN wr y ON x.item_id = y.item_id AND x.s = y.s AND x.r = 1 AND y.r = least(2, y.had) WHERE x.had = x.size),
+al AS MATERIALIZED (SELECT DISTINCT doc_id, item_id, t2, p - j1 + j2 AS place FROM lk JOIN dt ON word = t1),
+nr AS (SELECT al.doc_id, count(DISTINCT item_id) AS n_near FROM al JOIN dt ON dt.doc_id = al.doc_id AND word = t2 WHERE abs(p - place) <= {SLOP} GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
- sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)"""
+ sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+ coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id) LEFT JOIN nr USING (doc_id)"""
