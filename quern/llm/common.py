@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 #: A table is broadcast only if it was counted and has at most so many narrow rows (under 10 MB), or so many rows of a few hundred
-#: bytes; else Spark shuffles.
-BROADCAST_ROWS, BROADCAST_WIDE_ROWS = 200_000, 20_000
+#: bytes, or so many bytes that were summed; else Spark shuffles.
+BROADCAST_ROWS, BROADCAST_WIDE_ROWS, BROADCAST_BYTES = 200_000, 20_000, 16 << 20
 KEY = ["__k1", "__k2"]
 #: Bytes of a row group of intermediate tables: what each writing task holds in memory.
 ROW_GROUP = 16 << 20
@@ -148,7 +148,7 @@ def _arrow(kind) -> pa.DataType:
 # ---- words and shingles -------------------------------------------------------------------------------------------
 
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-_ONE, _TWO = np.uint64(0x51ED270B9F6C1D35), np.uint64(0x2545F4914F6CDD1D)
+_ONE, _TWO = np.uint64(0x11ED270B9F6C1D35), np.uint64(0x0545F4914F6CDD1D)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -166,11 +166,20 @@ def mixed(a, b, c) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
-def triples(h: np.ndarray) -> np.ndarray:
-    """Hashes of the windows of three words; of the whole sequence if it is shorter; none without words."""
+def ngrams(h: np.ndarray, k: int = 3) -> np.ndarray:
+    """Hashes of the windows of k words; of the whole sequence if it is shorter; none without words."""
     n = len(h)
-    if n >= 3:
-        return mixed(h[:-2], h[1:-1], h[2:])
-    if n == 2:
-        return mixed(h[:1], h[1:], np.array([_TWO]))
-    return mixed(h, np.full(n, _ONE), np.full(n, _ONE))
+    if n < k:
+        parts, tag = [h[i : i + 1] for i in range(n)], np.array([_ONE + _TWO * np.uint64(n)]) if n else h
+    else:
+        parts, tag = [h[i : n - k + 1 + i] for i in range(k)], np.full(n - k + 1, _TWO)
+    out = parts[0] if parts else h
+    for i in range(1, len(parts), 2):
+        out = mixed(out, parts[i], parts[i + 1] if i + 1 < len(parts) else tag)
+    return out if n >= k or not n else mixed(out, tag, tag)
+
+
+def small_bytes(df: DataFrame, column: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if the bytes of its wide column, and of 64 for the rest of each row, are within the bound; else as it is."""
+    size = df.agg(F.sum(F.octet_length(column) + 64)).first()[0]
+    return F.broadcast(df) if (size or 0) <= most else df

@@ -363,11 +363,11 @@ def test_proximity(spark):
 # ---- 6
 
 
-def brute_components(docs):
+def brute_components(docs, words=3, percent=90):
     sets = []
     for _, t in docs:
         w = (t or "").encode().lower().split()
-        sets.append(frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)] if w else []))
+        sets.append(frozenset(tuple(w[i : i + words]) for i in range(len(w) - words + 1)) if len(w) >= words else frozenset([tuple(w)] if w else []))
     up = list(range(len(docs)))
 
     def root(x):
@@ -377,7 +377,7 @@ def brute_components(docs):
 
     for a in range(len(docs)):
         for b in range(a):
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 up[root(a)] = root(b)
     least = {}
     for k, (i, _) in enumerate(docs):
@@ -415,9 +415,10 @@ def test_jaccard(spark, docs, edges, monkeypatch):
     same(op6_jaccard.jaccard_components(edges), brute_components(texts_of(edges)), columns)
     monkeypatch.setattr(op6_jaccard, "CHUNK", 16)
     for top in (1, 100_000):
-        monkeypatch.setattr(op6_jaccard.shingle_order, "__defaults__", (top,))
+        monkeypatch.setattr(op6_jaccard.shingle_order, "__defaults__", (3, top))
         made = near_copies(150, seed=top)
         same(op6_jaccard.jaccard_components(spark.createDataFrame(made, "doc_id long, text string")), brute_components(made), columns)
+        same(op6_jaccard.jaccard_components(spark.createDataFrame(made, "doc_id long, text string"), 5, 80), brute_components(made, 5, 80), columns)
     unnamed = [(i if i % 3 else None, t) for i, t in near_copies(40, seed=9)]
     out = op6_jaccard.jaccard_components(spark.createDataFrame(unnamed, "doc_id long, text string"))
     same(out, brute_components(unnamed), columns)
@@ -801,5 +802,5 @@ def test_bitmaps_never_lose_a_link(x, extra, other):
 
     a, b = sorted(x), sorted(set(sorted(x)[: len(x) - len(x) // 25]) | extra | (other if len(other) % 2 else set()))
     map_b = np.frombuffer(op6_jaccard.bitmap(np.array(b, np.uint64)), np.uint64)[None]
-    told = op6_jaccard.may_link(len(a), op6_jaccard.bitmap(np.array(a, np.uint64)), np.array([len(b)]), map_b)[0]
+    told = op6_jaccard.may_link(len(a), op6_jaccard.bitmap(np.array(a, np.uint64)), np.array([len(b)]), map_b, 90)[0]
     assert told or 100 * len(set(a) & set(b)) < 90 * len(set(a) | set(b))
