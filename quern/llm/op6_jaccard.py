@@ -35,7 +35,6 @@ import heapq
 import math
 from collections import defaultdict
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -434,20 +433,19 @@ def open_jobs(rows: DataFrame) -> DataFrame:
     lists = tallied(rows)
     one = lists.groupBy("s", "k").agg(F.max(F.struct("g", "main", "pm", "po", "im", "io")).alias("x")).select("x.*")
     full = rows.join(one, "g").withColumn("out", F.col("comp") != F.col("main"))
-    part = lambda k: F.pmod(F.xxhash64("node"), F.greatest(k, F.lit(1)))
-    chunks = lambda k: F.ceil(k / CHUNK)
-    parts = []
-    for kind, asked, q, index, m in (
-        (0, F.col("probe") & F.col("out"), chunks(F.col("po")), ~F.col("probe"), chunks(F.col("im") + F.col("io"))),
-        (1, ~F.col("probe") & F.col("out"), chunks(F.col("io")), F.col("probe") & ~F.col("out"), chunks(F.col("pm"))),
-    ):
-        every = lambda k: F.explode(F.when(k > 0, F.sequence(F.lit(0).cast("long"), k - 1)).otherwise(F.array().cast("array<bigint>")))
-        job = F.xxhash64("g", F.lit(kind), "mi", "qi").alias("job")  # jobs that share a number are one job: more work, no other links
-        for query, rows_of, mi, qi in ((False, index, part(m), every(q)), (True, asked, every(m), part(q))):
-            some = full.where(rows_of)
-            some = some.withColumn("mi", mi).withColumn("qi", qi)
-            parts.append(some.select(job, F.lit(query).alias("query"), "g", "node", "comp"))
-    return reduce(DataFrame.union, parts)
+    out, (q0, m0, q1, m1) = F.col("comp") != F.col("main"), (F.ceil(k / CHUNK) for k in (F.col("po"), F.col("im") + F.col("io"), F.col("io"), F.col("pm")))
+    full = rows.join(one, "g")
+    own = lambda k: F.pmod(F.xxhash64("node"), F.greatest(k, F.lit(1)))
+
+    def dealt(query: bool, chunks: Column, number) -> Column:
+        """One (query, job) for each chunk of the other side. Jobs that share a number are one job: more work, no other links."""
+        each = F.filter(F.sequence(F.lit(0).cast("long"), F.greatest(chunks - 1, F.lit(0))), lambda j: j < chunks)
+        return F.transform(each, lambda j: F.struct(F.lit(query).alias("query"), F.xxhash64("g", *number(j)).alias("job")))
+
+    asked, member = dealt(True, m0, lambda j: (F.lit(0), j, own(q0))), dealt(False, q0, lambda j: (F.lit(0), own(m0), j))
+    asked_back, member_back = dealt(True, m1, lambda j: (F.lit(1), j, own(q1))), dealt(False, q1, lambda j: (F.lit(1), own(m1), j))
+    roles = F.when(F.col("probe"), F.when(out, asked).otherwise(member_back)).otherwise(F.when(out, F.concat(member, asked_back)).otherwise(member))
+    return full.select("g", "node", "comp", F.explode(roles).alias("x")).select("x.job", "x.query", "g", "node", "comp")
 
 
 def _pairs_that_may_link(percent: int):
@@ -516,12 +514,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     kept = materialize(sifted.mapInArrow(_sift(percent), "g long, node binary").distinct(), "kept")
     again = materialize(open_jobs(rest.join(kept, ["g", "node"], "left_semi")).drop("g"), "jobs")
     more = found(again)
-    final = materialize(components(links.union(more)), "components")
+    final = materialize(components(comp.toDF("a", "b").union(more)), "components") if not more.isEmpty() else comp
 
     head = F.struct("none", "doc_id", *KEY).alias("head")
     label = materialize(heads.select("node", head).join(small(final), "node", "left").select("node", "head", F.coalesce("comp", "node").alias("comp")), "labels")
     by_node = materialize(label.join(label.groupBy("comp").agg(F.min("head").alias("lead")), "comp").select("node", "lead"), "leads")
-    discard(lists, kept, members, heads, links, more, comp, final, label)
+    discard(lists, kept, members, heads, links, more, label, *{id(x): x for x in (comp, final)}.values())
     # Rows without a set meet nothing; of the others a node's copies are one key, which adaptive execution splits.
     named = signed.where(F.col("node").isNotNull()).join(small(by_node), "node").select(*KEY, "doc_id", "n", F.col("lead.doc_id").alias("component_id"), F.expr(" and ".join(f"{k} = lead.{k}" for k in KEY)).alias("head"))
     empty = signed.where(F.col("node").isNull()).select(*KEY, "doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("boolean").alias("head"))
