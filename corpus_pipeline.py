@@ -10,6 +10,10 @@ from quern.llm import common, op2_bpe, op4_secrets, op5_decontaminate, op6_jacca
 from quern.shipping import shipped
 
 
+#: Near copies of the pipeline: shingles of five words, similarity 0.8 or more.
+WORDS, PERCENT = 5, 80
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or the adaptive thresholds reject go."""
     rejected = common.materialize(op9_quality.quality(docs).where(~F.col("kept")).select(*common.KEY).distinct(), "rejected")
@@ -18,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near and exact copies stays: the one with the smallest id, rows without an id last. Documents without words stay."""
-    grouped = common.materialize(op6_jaccard.jaccard_components(docs.select("doc_id", "text")), "grouped")
+    grouped = common.materialize(op6_jaccard.jaccard_components(docs.select("doc_id", "text"), WORDS, PERCENT), "grouped")
     gone = grouped.where(~F.col("head")).select(*common.KEY).distinct()
     kept = common.without_rows(docs, common.materialize(gone, "copies"))
     # Rows that repeat id and text share a key and a group: of each such key one row stays. Keys that do not repeat are not shuffled.
@@ -26,9 +30,10 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     again = common.materialize(again, "repeated")
     if again.isEmpty():
         return kept
-    keyed = kept.select("*", *common.row_key())
-    once = keyed.join(common.small(again), common.KEY, "left_semi").dropDuplicates(common.KEY)
-    return common.without_rows(kept, again).unionByName(once.select(*docs.columns)).select(*docs.columns)
+    names = common.fresh(kept, *common.KEY)
+    keyed = kept.select("*", *common.row_key(names=names))
+    once = keyed.join(common.small(again).toDF(*names), names, "left_semi").dropDuplicates(names)
+    return common.without_rows(kept, again).union(once.select(*common.quoted(docs.columns)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +46,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the text; n_chars follows. No document goes."""
     clean = op4_secrets.redact(docs)
-    return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +67,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
+    before = []
     for name, stage in STAGES[:-1]:
         docs = common.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        common.discard(*before)  # nothing reads it any more
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
