@@ -725,7 +725,7 @@ def test_pipeline(spark, bpe):
     rows = [r.asDict() for r in docs]
     quality = {r["doc_id"]: r["kept"] for r in op9_quality.query(spark, SF).collect()}
     rows = [r for r in rows if quality[r["doc_id"]]]
-    rows = [r for r, (i, _, c) in zip(rows, brute_components([(r["doc_id"], r["text"]) for r in rows])) if i == c]
+    rows = [r for r, (i, _, c) in zip(rows, brute_components([(r["doc_id"], r["text"]) for r in rows], 5, 80)) if i == c]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     hits = {i: (n, h) for i, n, h, _ in brute_hits([(r["doc_id"], r["text"]) for r in rows], items)}
     rows = [r for r in rows if not (hits[r["doc_id"]][1] and 20 * hits[r["doc_id"]][1] >= hits[r["doc_id"]][0])]
@@ -760,7 +760,8 @@ def test_pipeline_edges(spark, edges, tmp_path):
     import corpus_pipeline
 
     frame = edges.select("doc_id", "text", "lang", "source", "n_chars")
-    for docs in (frame, frame.where("false")):
+    odd = frame.withColumns({"__k1": F.lit(1), "a.b": F.lit(2), "redacted": F.lit("x"), "node": F.lit(b"x")})
+    for docs in (frame, frame.where("false"), odd):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, SF)
             assert out.columns == docs.columns
