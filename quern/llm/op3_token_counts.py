@@ -33,7 +33,7 @@ from .common import KEY, materialize, row_key, slices
 
 VOCABULARY = "word_bpe_49k.json"
 #: Pre-tokens in the broadcast table, in all and offered by one task; pre-tokens tallied at a time in a task, and runs remembered.
-HOT, OFFERED, TALLIED, REMEMBERED = 100_000, 40_000, 300_000, 50_000
+HOT, OFFERED, TALLIED, REMEMBERED = 400_000, 100_000, 600_000, 50_000
 #: Characters of a pre-token that is counted where it stands.
 LONG = 1000
 LIMIT = 2048
