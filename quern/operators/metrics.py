@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 # ---- Fixed values: thresholds, prices for a million tokens, weights and words of the response score -------------------
 LATENCY_MS, ERROR_RATE, HIT_RATE = 2000.0, 0.05, 0.6
@@ -104,8 +109,11 @@ def message_groups(messages: DataFrame, most: int = 500) -> DataFrame:
     return rows.groupBy("conv_id", "grp").agg(F.min("turn").alias("first"), F.count("*").alias("n"), F.first("role").alias("role"))
 
 
-def response_scores(pairs: DataFrame) -> DataFrame:
-    """Six scores of each question and reply, and their weighted sum."""
+def response_scores(pairs: DataFrame, expected: str | None = None) -> DataFrame:
+    """Six scores of each question and reply, and their weighted sum. expected: a column with the strings that a right reply holds, an
+    array; accuracy is the share of them that it does hold, and 0.8 where none are stated."""
+    asked = F.col(expected) if expected else F.expr("cast(null as array<string>)")
+    found = F.size(F.filter(asked, lambda x: F.contains(F.lower("reply"), F.lower(x))))
     words = lambda c: F.array_except(F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 0)), F.array(*map(F.lit, COMMON_WORDS)))
     a, b = words("question"), words("reply")
     nq, nr = (F.size(F.filter(F.split(c, r"\s+"), lambda w: F.length(w) > 0)) for c in ("question", "reply"))
@@ -114,7 +122,7 @@ def response_scores(pairs: DataFrame) -> DataFrame:
     mean = nr / n_sentences
     scores = {
         "relevance": F.when(F.size(a) == 0, 1.0).otherwise(F.least(F.lit(1.0), F.size(F.array_intersect(a, b)) / F.size(a) + 0.3)),
-        "accuracy": F.lit(0.8),
+        "accuracy": F.when(F.coalesce(F.size(asked), F.lit(0)) > 0, found / F.greatest(F.size(asked), F.lit(1))).otherwise(0.8),
         "completeness": F.when(nr < nq * 2, 0.3).when(nr < nq * 5, 0.6).otherwise(F.least(F.lit(1.0), 0.8 + nr / (nq * 10) * 0.2)),
         "clarity": F.least(F.lit(1.0), 0.5 + F.when(n_sentences > 1, 0.2).otherwise(0.0) + F.when(F.col("reply").rlike(r"[•*-]|1\.|2\."), 0.2).otherwise(0.0) + F.when(mean.between(10, 25), 0.1).otherwise(0.0)),
         "tone": F.when(hits(CASUAL) > 0, F.greatest(F.lit(0.3), 0.7 - hits(CASUAL) * 0.1)).otherwise(F.least(F.lit(1.0), 0.7 + hits(POLITE) * 0.05)),
@@ -124,22 +132,60 @@ def response_scores(pairs: DataFrame) -> DataFrame:
     return out.withColumn("overall", F.round(sum((F.col(k) * w for k, w in RESPONSE_WEIGHTS.items()), F.lit(0.0)), 8))
 
 
+def folded(df: DataFrame, keys: list[str], values: list[Column], step: Callable, schema: str) -> DataFrame:
+    """keys and what step gives for each row: step(state, *values) returns the state after the row and a tuple of results, or None for no
+    row; state is None at a key's first row. Rows are dealt by key, sorted by it and by all values, and pass through one after another:
+    whatever a key's rows, a task holds one batch and one state. Only a key's own rows are sequential, as the rule demands."""
+    names = [f"v{i}" for i in range(len(values))]
+    base = df.select(*keys, *(v.alias(n) for v, n in zip(values, names)))
+    out = StructType([*base.schema.fields[: len(keys)], *StructType.fromDDL(schema).fields])
+    types = [to_arrow_type(f.dataType) for f in out.fields]
+
+    def run(batches):
+        now, state = object(), None
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            rows = []
+            for key, row in zip(zip(*columns[: len(keys)]), zip(*columns[len(keys) :])):
+                if key != now:
+                    now, state = key, None
+                state, result = step(state, *row)
+                if result is not None:
+                    rows.append((*key, *result))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], out.names)
+
+    return base.repartition(*keys).sortWithinPartitions(*keys, *names).mapInArrow(run, out)
+
+
 def cache_labels(requests: DataFrame, keys: list[str], ttl: int, ts: str = "ts") -> DataFrame:
     """hit or miss of each request: an entry lives ttl seconds from its creation, and a hit does not renew it. Batch twin of the stateful
-    stream: a fold over the requests of a key in order. Keys are folded apart; a key's own requests must fit one row's array."""
-    order = F.array_sort(F.collect_list(F.struct(F.unix_micros(ts).alias("t"), "event_id"))).alias("r")
-    start = F.struct(F.lit(None).cast("long").alias("made"), F.expr("cast(array() as array<struct<event_id:bigint,hit:boolean>>)").alias("out"))
+    stream."""
 
-    def add(a: Column, x: Column) -> Column:
-        hit = a["made"].isNotNull() & (x["t"] - a["made"] < ttl * 1_000_000)
-        return F.struct(F.when(hit, a["made"]).otherwise(x["t"]).alias("made"), F.concat(a["out"], F.array(F.struct(x["event_id"].alias("event_id"), F.coalesce(hit, F.lit(False)).alias("hit")))).alias("out"))
+    def step(made, t, event_id):
+        hit = made is not None and t - made < ttl * 1_000_000
+        return (made if hit else t), (event_id, hit)
 
-    return requests.groupBy(*keys).agg(order).select(*keys, F.inline(F.aggregate("r", start, add, lambda a: a["out"])))
+    return folded(requests, keys, [F.unix_micros(ts), F.col("event_id")], step, "event_id long, hit boolean")
 
 
 def cooled_alerts(points: DataFrame, key: str, seconds: int, ts: str = "ts") -> DataFrame:
-    """At most one alert of a key within `seconds`: a fold over its alerts in order."""
-    order = F.array_sort(F.collect_list(F.struct(F.unix_micros(ts).alias("t"), "event_id"))).alias("r")
-    start = F.expr("cast(array() as array<struct<t:bigint,event_id:bigint>>)")
-    add = lambda a, x: F.when((F.size(a) == 0) | (x["t"] - F.try_element_at(a, F.lit(-1))["t"] >= seconds * 1_000_000), F.concat(a, F.array(x))).otherwise(a)
-    return points.groupBy(key).agg(order).select(key, F.inline(F.aggregate("r", start, add))).select(key, "event_id")
+    """At most one alert of a key within `seconds`."""
+
+    def step(last, t, event_id):
+        fires = last is None or t - last >= seconds * 1_000_000
+        return (t, (event_id,)) if fires else (last, None)
+
+    return folded(points, [key], [F.unix_micros(ts), F.col("event_id")], step, "event_id long")
+
+
+def token_bucket(requests: DataFrame, key: str, rate: float, burst: float, ts: str = "ts") -> DataFrame:
+    """admitted and wait of each request: a bucket of `burst` tokens fills at `rate` a second, a request takes one."""
+
+    def step(state, t, event_id):
+        tokens, last = state or (burst, t)
+        tokens = min(burst, tokens + (t - last) * rate)
+        ok = tokens >= 1
+        return (tokens - 1 if ok else 0.0, t), (event_id, ok, 0.0 if ok else (1 - tokens) / rate)
+
+    return folded(requests, [key], [F.unix_micros(ts) / 1e6, F.col("event_id")], step, "event_id long, admitted boolean, wait double")

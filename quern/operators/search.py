@@ -2,18 +2,35 @@
 
 Queries meet documents through their terms (an equi-join on the inverted index), never pair by pair. The term table of the queries is
 broadcast by Spark where it is small enough; cuts per query are row_number windows, which Spark turns into group limits before the
-shuffle.
+shuffle. Where a comparison has no key (vectors, parts of words), a stated set of questions meets all rows in blocks of a fixed size.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.sources.scratch import materialize
 
 K1, B = 1.2, 0.75
+#: Questions of one broadcast block, and rows of a table that is broadcast whole.
+BLOCK, SMALL = 5_000, 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, a materialized table, with a broadcast hint if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def against_all(rows: DataFrame, asked: DataFrame, condition: Column, block: int = BLOCK) -> DataFrame:
+    """Every row against a stated set of questions (materialized), a block of them broadcast at a time, where condition holds."""
+    n = max(1, -(-asked.count() // block))
+    part = F.pmod(F.xxhash64(*asked.columns), F.lit(n))
+    return reduce(DataFrame.union, [rows.join(F.broadcast(asked.where(part == k)), condition) for k in range(n)])
 
 
 def postings(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -29,17 +46,55 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def bm25(index: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
-    """item_id, key, score, rank of the k best by BM25. Only the postings of query terms are joined; two numbers go to the driver."""
-    total, mean = index.groupBy(key).agg(F.first("n").alias("n")).agg(F.count("*"), F.avg("n")).first()
-    wanted = query_terms(queries)
-    hits = index.join(wanted.select("term").distinct(), "term", "left_semi")
+    """item_id, key, score, rank of the k best by BM25. The index is written once; two numbers of it go to the driver, without a shuffle (a
+    document's tf / n add up to 1), and only the postings of query terms are read on."""
+    index = materialize(index, "postings")
+    r = index.agg(F.sum(F.col("tf") / F.col("n")).alias("total"), F.sum("tf").alias("words")).first()
+    total = round(r["total"] or 0)
+    mean = (r["words"] or 0) / max(total, 1)
+    wanted = materialize(query_terms(queries), "terms")
+    hits = index.join(small(wanted.select("term").distinct()), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.lit(mean)))
-    scored = hits.join(df, "term").select(key, "term", weight.alias("w")).join(wanted, "term").groupBy("item_id", key).agg(F.round(F.sum("w"), 4).alias("score"))
+    asked = wanted.join(df, "term")
+    scored = index.join(F.broadcast(asked) if wanted.count() <= SMALL else asked, "term").groupBy("item_id", key).agg(F.round(F.sum(weight), 4).alias("score"))
     return top(scored, "item_id", "score", key, k)
 
 
+# What a match in a field counts for.
+FIELD_BOOSTS = {"title": 2.0, "headings": 1.5, "content": 1.0}
+
+
+def search_fields(docs: DataFrame, queries: DataFrame, boosts: dict[str, float] | None = None, filters: dict | None = None, page: int = 1, page_length: int = 10, preview: str = "content") -> DataFrame:
+    """item_id, doc_id, score, rank, total, pages, preview: one page of each query's hits over several text fields of docs, each scored by
+    BM25 within its own field times the field's boost, of the documents whose columns equal all filters. Fields that are null hold no
+    words; scores count all documents, as an index does, and filters choose among the hits."""
+    boosts = boosts or FIELD_BOOSTS
+    terms = lambda c: F.filter(T.words(c), lambda w: (F.length(w) >= 2) & ~w.isin(*T.INDEX_STOP_WORDS))
+    fields = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), terms(f).alias("t")) for f in boosts])).alias("x"))
+    rows = fields.select("doc_id", "x.field", F.size("x.t").alias("n"), F.explode("x.t").alias("term"))
+    index = materialize(rows.groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n")), "fields")
+    sizes = index.groupBy("field").agg(F.round(F.sum(F.col("tf") / F.col("n"))).alias("total"), F.sum("tf").alias("words"))  # one row for each field
+    sizes = sizes.select("field", "total", (F.col("words") / F.col("total")).alias("mean"))
+    wanted = materialize(query_terms(queries), "terms")
+    df = index.join(small(wanted.select("term").distinct()), "term", "left_semi").groupBy("field", "term").agg(F.count("*").alias("df"))
+    asked = materialize(wanted.join(df, "term").join(F.broadcast(sizes), "field"), "asked")
+    boost = F.create_map(*[F.lit(x) for p in boosts.items() for x in p])[F.col("field")]
+    idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = boost * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
+    scored = index.join(small(asked), ["field", "term"]).groupBy("item_id", "doc_id").agg(F.round(F.sum(weight), 4).alias("score"))
+    for column, value in (filters or {}).items():
+        scored = scored.join(docs.where(F.col(column) == value).select("doc_id"), "doc_id", "left_semi")
+    by_item = W.partitionBy("item_id")
+    ranked = scored.withColumn("rank", F.row_number().over(by_item.orderBy(F.desc("score"), "doc_id")).cast("long"))
+    counts = scored.groupBy("item_id").agg(F.count("*").alias("total"))
+    shown = materialize(ranked.where(F.col("rank").between((page - 1) * page_length + 1, page * page_length)), "page")
+    shown = shown.join(counts, "item_id").withColumn("pages", F.ceil(F.col("total") / page_length).cast("long"))
+    texts = docs.join(small(shown.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", F.concat(F.substring(preview, 1, 200), F.lit("...")).alias("preview"))
+    return shown.join(texts, "doc_id").select("item_id", "doc_id", "score", "rank", "total", "pages", "preview")
+
+
 def top(df: DataFrame, group: str, score: str, tie: str, k: int) -> DataFrame:
     """The k best of each group; ties by the unique key."""
     rank = F.row_number().over(W.partitionBy(group).orderBy(F.desc(score), tie))
@@ -67,24 +122,76 @@ def parsed(queries: DataFrame) -> DataFrame:
     return phrases.unionByName(words)
 
 
-def keyword_scores(docs: DataFrame, terms: DataFrame, path: str = "source") -> DataFrame:
-    """item_id, doc_id, score: whole-word counts, path hits, and penalties for missing terms; a NOT term that occurs takes the document
-    out. docs: doc_id, text, path. Plain terms meet documents through the words of the documents."""
-    plain = terms.where(F.col("op").isin("AND", "OR", "NOT"))
-    words = docs.select("doc_id", F.col(path).alias("path"), F.explode(T.words("text")).alias("term")).groupBy("doc_id", "path", "term").agg(F.count("*").alias("tf"))
-    hits = words.join(plain, "term")
-    gained = F.col("tf") * F.col("weight") + F.when(F.contains(F.lower("path"), F.col("term")), 2.0 * F.col("weight")).otherwise(0.0)
-    per = hits.groupBy("item_id", "doc_id").agg(F.sum(F.when(F.col("op") != "NOT", gained)).alias("s"), F.bool_or(F.col("op") == "NOT").alias("out"), F.count_distinct(F.when(F.col("op") == "AND", F.col("term"))).alias("a"), F.count_if(F.col("op") == "OR").alias("o"))
-    asked = plain.groupBy("item_id").agg(F.count_distinct(F.when(F.col("op") == "AND", F.col("term"))).alias("na"), F.count_if(F.col("op") == "OR").alias("no"))
+def _pattern(term: Column) -> Column:
+    """A wildcard term as a regular expression: * any characters of a line, ? one; all others stand for themselves."""
+    plain = F.regexp_replace(term, r"([\\.^$|()\[\]{}+])", r"\\$1")
+    return F.concat(F.lit("(?d)"), F.replace(F.replace(plain, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")))
+
+
+def _letters(c: Column | str) -> Column:
+    return F.array_distinct(F.split(c, ""))
+
+
+def keyword_scores(docs: DataFrame, terms: DataFrame, path: str = "source", fuzzy: float = 0.8) -> DataFrame:
+    """item_id, doc_id, score over 0. docs: doc_id, text, path; terms: as `parsed` gives them.
+
+    A phrase counts 3 weights in the text and 5 in the path, a wildcard 1.5 and 3, a plain term its whole-word count times its weight and 2
+    weights in the path; a plain term found in neither counts half the likeness of the text's most similar word (shared letters), if that
+    is over `fuzzy`. A NOT term anywhere takes the document out; a missing AND term leaves a tenth, no OR term at all 0.3.
+
+    Plain terms meet documents through an equi-join on words. Parts of words and likeness are decided on the table of distinct words, which
+    grows far slower than the texts; phrases and wildcards are then looked up only in texts that hold their longest part. A wildcard
+    without any letters matches nothing."""
+    piece = F.when(F.col("op").isin("PHRASE", "WILDCARD"), F.reduce(F.split(F.lower("term"), r"[*?\s]+"), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))).otherwise(F.lower("term"))
+    asked = materialize(terms.select("item_id", "pos", F.lower("term").alias("term"), "op", "weight", piece.alias("piece")).where("length(piece) > 0"), "terms")
+    low = docs.select("doc_id", F.lower("text").alias("text"), F.lower(path).alias("path"))
+    plain, pattern = F.col("op").isin("AND", "OR"), F.col("op") == "WILDCARD"
+
+    # Whole words.
+    one_word = small(asked.where(plain).select("item_id", "pos", F.col("term").alias("w")))
+    exact = low.select("doc_id", F.explode(T.words("text")).alias("w")).join(one_word, "w").groupBy("item_id", "pos", "doc_id").agg(F.count("*").alias("tf"))
+
+    # Parts of words and words that are alike.
+    raw = low.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).where("word <> ''")
+    vocabulary = raw.select("word").distinct().withColumn("letters", _letters("word"))
+    probes = materialize(asked.select("item_id", "pos", "op", "piece", F.when(plain, _letters("piece")).alias("own"), F.when(plain, F.size(_letters("piece"))).alias("size")), "probes")
+    near = F.size("letters").between(F.col("size") * fuzzy, F.col("size") / fuzzy) & (T.jaccard(F.col("letters"), F.col("own")) > fuzzy)
+    met = against_all(vocabulary, probes, F.when(plain, near).otherwise(F.contains("word", "piece")))
+    met = materialize(met.select("item_id", "pos", "op", "word", F.when(plain, T.jaccard(F.col("letters"), F.col("own"))).alias("alike")), "words")
+    held = raw.join(small(met), "word").groupBy("item_id", "pos", "op", "doc_id").agg(F.max("alike").alias("alike"))
+    held = materialize(held, "held")
+    whole = held.where(F.col("op").isin("PHRASE", "WILDCARD")).join(small(asked.select("item_id", "pos", "term")), ["item_id", "pos"]).join(low, "doc_id")
+    found = F.when(pattern, F.rlike(F.col("text"), _pattern(F.col("term")))).otherwise(F.contains("text", "term"))
+    in_text = whole.where(found).select("item_id", "pos", "doc_id").union(held.where("op = 'NOT'").select("item_id", "pos", "doc_id"))
+    alike = held.where(plain).select("item_id", "pos", "doc_id", "alike")
+
+    # Paths: few distinct ones.
+    paths = low.select("path").where("path is not null").distinct()
+    in_path = against_all(paths, asked, F.when(pattern, F.rlike(F.col("path"), _pattern(F.col("term")))).otherwise(F.contains("path", "term")))
+    in_path = low.select("doc_id", "path").join(small(materialize(in_path.select("item_id", "pos", "path"), "paths")), "path").select("item_id", "pos", "doc_id")
+
+    none = lambda df, **have: df.select("item_id", "pos", "doc_id", *(have.get(c, F.lit(0)).cast(t).alias(c) for c, t in (("tf", "long"), ("text", "int"), ("path", "int"), ("alike", "double"))))
+    every = reduce(DataFrame.union, [none(exact, tf=F.col("tf")), none(in_text, text=F.lit(1)), none(in_path, path=F.lit(1)), none(alike, alike=F.col("alike"))])
+    per = every.groupBy("item_id", "pos", "doc_id").agg(*[F.max(c).alias(c) for c in ("tf", "text", "path", "alike")]).join(small(asked.drop("piece")), ["item_id", "pos"])
+    w = F.col("weight")
+    missed = (F.col("tf") == 0) & (F.col("path") == 0)
+    own = (
+        F.when(F.col("op") == "PHRASE", w * (3 * F.col("text") + 5 * F.col("path"))).when(pattern, w * (1.5 * F.col("text") + 3 * F.col("path")))
+        .when(plain, F.when(missed, F.col("alike") * 0.5 * w).otherwise(w * (F.col("tf") + 2 * F.col("path")))).otherwise(0.0)
+    )
+    got = per.withColumn("own", own).groupBy("item_id", "doc_id").agg(
+        F.sum("own").alias("s"), F.bool_or(F.col("op") == "NOT").alias("out"), F.count_distinct(F.when(F.col("op") == "AND", F.col("term"))).alias("a"), F.count_if(F.col("op") == "OR").alias("o")
+    )
+    needs = terms.groupBy("item_id").agg(F.count_distinct(F.when(F.col("op") == "AND", F.lower("term"))).alias("na"), F.count_if(F.col("op") == "OR").alias("no"))
     score = F.col("s") * F.when(F.col("a") < F.col("na"), 0.1).otherwise(1.0) * F.when((F.col("no") > 0) & (F.col("o") == 0), 0.3).otherwise(1.0)
-    return per.where(~F.col("out") & (F.col("s") > 0)).join(asked, "item_id").select("item_id", "doc_id", F.round(score, 6).alias("score"))
+    return got.where(~F.col("out") & (F.col("s") > 0)).join(needs, "item_id").select("item_id", "doc_id", F.round(score, 6).alias("score"))
 
 
 def boosted(scores: DataFrame, docs: DataFrame) -> DataFrame:
     """Factors for the kind of file and for short texts."""
     path = F.lower("path")
     kind = F.when(path.rlike(r"\.(md|txt|rst|adoc)$"), 1.3).when(path.rlike(r"\.(py|js|ts|java|cpp)$"), 1.1).when(path.rlike(r"\.(json|yaml|yml|xml)$"), 1.05).otherwise(1.0)
-    return scores.join(docs, "doc_id").select("item_id", "doc_id", F.round(F.col("score") * kind * F.when(F.length("text") < 50, 0.7).otherwise(1.0) * 1.1, 6).alias("score"))
+    return scores.join(docs, "doc_id").select("item_id", "doc_id", F.round(F.col("score") * kind * F.when(F.length("text") < 50, 0.7).otherwise(1.0) * 1.1, 10).alias("score"))
 
 
 def word_overlap(queries: DataFrame, docs: DataFrame, least: float, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -92,7 +199,7 @@ def word_overlap(queries: DataFrame, docs: DataFrame, least: float, keys: tuple[
     are not shuffled again."""
     a = queries.select("item_id", F.array_distinct(T.words("query")).alias("a")).select("item_id", F.size("a").alias("n"), F.explode("a").alias("w"))
     b = docs.select(*keys, F.array_distinct(T.words("text")).alias("b")).select(*keys, F.size("b").alias("m"), F.explode("b").alias("w"))
-    both = a.join(b, "w").groupBy("item_id", "n", *keys, "m").agg(F.count("*").alias("k"))
+    both = b.join(small(materialize(a, "asked")), "w").groupBy("item_id", "n", *keys, "m").agg(F.count("*").alias("k"))
     return both.select("item_id", *keys, F.round(F.col("k") / (F.col("n") + F.col("m") - F.col("k")), 6).alias("similarity")).where(F.col("similarity") > least)
 
 
@@ -110,10 +217,9 @@ def cosine(a, b) -> Column:
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int, least: float = 0.0) -> DataFrame:
-    """q, vec_id, score, rank: the k nearest of each stated query vector, over all rows. queries(q, v) is a stated query set: it is dealt
-    in blocks that are joined to every row, each block small enough to be broadcast."""
-    blocks = queries.withColumn("__all", F.lit(1))
-    pairs = vectors.withColumn("__all", F.lit(1)).join(F.broadcast(blocks) if queries.count() <= 10_000 else blocks, "__all").where(F.col("vec_id") != F.col("q"))
+    """q, vec_id, score, rank: the k nearest of each stated query vector, over all rows. queries(q, v) meet the rows in blocks, each small
+    enough to be broadcast; the rows are not shuffled, and only each task's best go on."""
+    pairs = against_all(vectors, materialize(queries, "asked"), F.col("vec_id") != F.col("q"))
     scored = pairs.select("q", "vec_id", F.round(cosine(F.col("v"), F.col("embedding")), 4).alias("score")).where(F.col("score") >= least)
     return top(scored, "q", "score", "vec_id", k)
 
@@ -152,24 +258,30 @@ def within_budget(df: DataFrame, group: str, order: list, size: str, budget: int
     return rows.withColumn("__over", over).where("__over = 0").drop("__sum", "__over")
 
 
-def diverse(ranked: DataFrame, k: int, per_source: int) -> DataFrame:
-    """Greedy choice down the ranking: the first k of each query with at most per_source of one source once half is full. ranked:
-    item_id, doc_id, source, rank; the candidates of a query are bounded by what ranked keeps."""
+def diverse(ranked: DataFrame, k: int, alike: float = 0.95, window: int = 5) -> DataFrame:
+    """Greedy choice down the ranking, k of each query. A source that already has its share (k over the number of sources, 1 at least) is
+    skipped once more than half is filled, if the row's words nearly equal those of one of the last `window` kept rows of that source. A
+    file type that has a third of k is skipped unless the score is 1.5 times the last kept one. Rankings of at most k rows stay whole.
+    ranked: item_id, doc_id, source, kind, score, rank, words; the candidates of a query are bounded by what ranked keeps."""
     import pandas as pd
 
     def choose(f: pd.DataFrame) -> pd.DataFrame:
-        seen: dict[str, int] = {}
-        kept = []
-        for r in f.sort_values("rank").itertuples():
+        rows = list(f.sort_values("rank").itertuples())
+        share = max(1, k // max(len({r.source for r in rows}), 1))
+        kept: list = []
+        for r in rows:
             if len(kept) >= k:
                 break
-            if len(kept) >= k / 2 and seen.get(r.source, 0) >= per_source:
-                continue
-            seen[r.source] = seen.get(r.source, 0) + 1
-            kept.append((r.item_id, r.doc_id, r.source, len(kept) + 1))
-        return pd.DataFrame(kept, columns=["item_id", "doc_id", "source", "place"])
+            own = set(r.words)
+            of_source, of_kind = sum(x.source == r.source for x in kept), sum(x.kind == r.kind for x in kept)
+            near = (set(x.words) for x in kept[-window:] if x.source == r.source)
+            skip = of_source >= share and len(kept) > k // 2 and any(own | o and len(own & o) > alike * len(own | o) for o in near)
+            skip = skip or (of_kind >= k // 3 and bool(kept) and r.score < 1.5 * kept[-1].score)
+            if not skip or len(rows) <= k:
+                kept.append(r)
+        return pd.DataFrame([(r.item_id, r.doc_id, r.source, n + 1) for n, r in enumerate(kept)], columns=["item_id", "doc_id", "source", "place"])
 
-    return ranked.select("item_id", "doc_id", "source", "rank").groupBy("item_id").applyInPandas(choose, "item_id long, doc_id long, source string, place long")
+    return ranked.select("item_id", "doc_id", "source", "kind", "score", "rank", "words").groupBy("item_id").applyInPandas(choose, "item_id long, doc_id long, source string, place long")
 
 
 def without_near_copies(ranked: DataFrame, least: float = 0.9, window: int = 5) -> DataFrame:
@@ -194,7 +306,18 @@ def without_near_copies(ranked: DataFrame, least: float = 0.9, window: int = 5)
 # Words and weights of the query analysis.
 SEMANTIC_MARKS = ["how to", "what is", "explain", "concept", "meaning", "definition", "tutorial", "guide", "example", "best practice"]
 TECHNICAL = ["api", "ui", "db", "id", "url", "http", "https", "json", "xml", "css", "js", "py", "go", "cpp", "java", "rust", "sql", "git", "ci", "cd", "dev", "prod", "test", "qa", "os", "vm", "k8s"]
-SYNONYMS = {"function": "method", "variable": "field", "database": "storage", "configuration": "settings", "authentication": "login", "authorization": "permissions", "documentation": "guide", "environment": "runtime", "repository": "codebase", "application": "program"}
+SYNONYMS = {
+    "function": ["method", "procedure", "routine"],
+    "variable": ["var", "field", "property"],
+    "database": ["db", "storage", "datastore"],
+    "configuration": ["config", "settings", "setup"],
+    "authentication": ["auth", "login", "signin"],
+    "authorization": ["authz", "permissions", "access"],
+    "documentation": ["docs", "readme", "guide"],
+    "environment": ["env", "runtime", "context"],
+    "repository": ["repo", "codebase", "source"],
+    "application": ["app", "program", "software"],
+}
 
 
 def query_kind(q: str) -> Column:

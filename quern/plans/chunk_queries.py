@@ -148,9 +148,9 @@ def _(spark, d):
     return C.by_paragraph(D.markdown(spark, d), "md", 80 * 50).select("doc_id", "chunk_index", F.md5("content").alias("content_md5"))
 
 
-@query("d22_chunk_word_window", f"SELECT doc_id, chunk_index, md5(content) AS content_md5 FROM ({_pack_sql(chr(67) + 'ASE WHEN length(text) <= 256 THEN [text] ELSE list_filter(regexp_split_to_array(text, ' + chr(39) + chr(92) + 's+' + chr(39) + '), lambda s: length(s) > 0) END', '(SELECT * FROM documents WHERE length(text) < 3000)', 256, 1, ' ', 6)})")
+@query("d22_chunk_word_window")
 def _(spark, d):
-    """By words, all texts; the SQL's recursion is over every word, so it looks at texts under 3000 characters only."""
+    """By words, all texts. A recursion over every word is too slow as SQL; tests/test_whole_job.py has a brute-force version."""
     return C.by_words(D.table(spark, d, "documents"), "text").select("doc_id", "chunk_index", F.md5("content").alias("content_md5"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators import search as S
 from quern.sources import derived as D
+from quern.sources.scratch import materialize
 
 from .text_queries import _any, _strings
 
@@ -42,9 +43,22 @@ def index(spark, d):
     return S.postings(D.table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("f9_index_search", f"WITH {Q}, {_bm25_sql('documents', 'doc_id', 'text', 10)} SELECT item_id, doc_id, score, rank FROM bm")
+_FIELDS = {"title": "split_part(text, chr(10), 1)", "headings": "source", "content": "text"}
+_TERMS_OF = ", ".join(f"list_filter(regexp_extract_all(lower({c}), '{T.WORD}'), lambda w: length(w) >= 2 AND w NOT IN {_strings(T.INDEX_STOP_WORDS)}) AS {f}" for f, c in _FIELDS.items())
+
+
+@query(
+    "f9_index_search",
+    f"""WITH {Q}, fd AS (SELECT doc_id, {_TERMS_OF} FROM documents), fx AS ({' UNION ALL '.join(f"SELECT doc_id, '{f}' AS field, {S.FIELD_BOOSTS[f]}::DOUBLE AS boost, len({f}) AS n, unnest({f}) AS term FROM fd" for f in _FIELDS)}),
+ ix AS (SELECT doc_id, field, boost, n, term, count(*) AS tf FROM fx GROUP BY ALL), al AS (SELECT field, count(*) AS total, avg(n) AS mean FROM (SELECT DISTINCT field, doc_id, n FROM ix) GROUP BY 1), df AS (SELECT field, term, count(*) AS df FROM ix GROUP BY 1, 2), qt AS (SELECT DISTINCT item_id, unnest({_terms('query')}) AS term FROM q),
+ sc AS (SELECT item_id, doc_id, round(sum(boost * ln(1 + (total - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))), 4) AS score FROM qt JOIN ix USING (term) JOIN df USING (field, term) JOIN al USING (field) GROUP BY 1, 2),
+ rk AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, count(*) OVER (PARTITION BY item_id) AS total FROM sc JOIN documents USING (doc_id) WHERE lang = 'en')
+SELECT item_id, doc_id, score, rank, total, ceil(total / 10)::BIGINT AS pages, text[1:200] || '...' AS preview FROM rk JOIN documents USING (doc_id) WHERE rank BETWEEN 1 AND 10""",
+)
 def _(spark, d):
-    return S.bm25(index(spark, d), D.user_queries(spark, d), "doc_id", 10).select("item_id", "doc_id", "score", "rank")
+    """Title (first line), headings (the source) and content with their boosts, English documents only, first page of ten."""
+    docs = D.table(spark, d, "documents").select("doc_id", "lang", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("source").alias("headings"), F.col("text").alias("content"))
+    return S.search_fields(docs, D.user_queries(spark, d), filters={"lang": "en"})
 
 
 def flagship(spark, d):
@@ -54,8 +68,11 @@ def flagship(spark, d):
     docs = D.table(spark, d, "documents").select("doc_id", T.clean("text").alias("text"))
     chunks = chunking.fixed_windows(docs, "text").withColumn("chunk", F.concat_ws("#", "doc_id", "chunk_index"))
     queries = D.user_queries(spark, d)
-    best = S.bm25(S.postings(chunks, "chunk", "content"), queries, "chunk", 5)
-    full = best.join(chunks.select("chunk", "content"), "chunk").join(queries, "item_id")
+    best = materialize(S.bm25(S.postings(chunks, "chunk", "content"), queries, "chunk", 5), "best")
+    # Only documents with a chosen chunk are cut again.
+    of = best.select(F.split_part("chunk", F.lit("#"), F.lit(1)).cast("long").alias("doc_id")).distinct()
+    again = chunking.fixed_windows(docs.join(S.small(of), "doc_id", "left_semi"), "text").select(F.concat_ws("#", "doc_id", "chunk_index").alias("chunk"), "content")
+    full = again.join(S.small(best), "chunk").join(queries, "item_id")
     return full.select("item_id", "chunk", "score", "rank", F.array_join(S.highlight(F.col("content"), F.col("query")), " | ").alias("highlights"))
 
 
@@ -94,9 +111,17 @@ def _(spark, d):
     return S.parsed(_typed(spark, d))
 
 
-_KEYWORD = rf"""{_PARSED}, dw AS (SELECT doc_id, source, unnest(regexp_extract_all(lower(text), '{T.WORD}')) AS term FROM documents), tf AS (SELECT doc_id, source, term, count(*) AS tf FROM dw GROUP BY 1, 2, 3), pl AS (SELECT * FROM tm WHERE op IN ('AND', 'OR', 'NOT')),
- pr AS (SELECT item_id, doc_id, sum(CASE WHEN op <> 'NOT' THEN tf * weight + CASE WHEN contains(lower(source), term) THEN 2 * weight ELSE 0 END END) AS s, bool_or(op = 'NOT') AS o_not, count(DISTINCT term) FILTER (op = 'AND') AS a, count(*) FILTER (op = 'OR') AS o FROM tf JOIN pl USING (term) GROUP BY 1, 2),
- ak AS (SELECT item_id, count(DISTINCT term) FILTER (op = 'AND') AS na, count(*) FILTER (op = 'OR') AS no FROM pl GROUP BY 1), ks AS (SELECT item_id, doc_id, round(s * CASE WHEN a < na THEN 0.1::DOUBLE ELSE 1 END * CASE WHEN no > 0 AND o = 0 THEN 0.3::DOUBLE ELSE 1 END, 6) AS score FROM pr JOIN ak USING (item_id) WHERE NOT o_not AND s > 0)"""
+_KEYWORD = rf"""{_PARSED}, ld AS (SELECT doc_id, lower(text) AS text, lower(source) AS path FROM documents),
+ wc AS (SELECT doc_id, w AS term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{T.WORD}')) AS w FROM ld) GROUP BY 1, 2),
+ rw AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(text, '\s+'))) AS word FROM ld), vw AS (SELECT DISTINCT word, list_distinct(string_split(word, '')) AS x FROM rw WHERE word <> ''),
+ pt AS (SELECT DISTINCT term, list_distinct(string_split(term, '')) AS y FROM tm WHERE op IN ('AND', 'OR')), al AS MATERIALIZED (SELECT term, word, len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) AS alike FROM vw, pt WHERE len(x) BETWEEN 0.8 * len(y) AND len(y) / 0.8 AND len(list_intersect(x, y)) > 0.8::DOUBLE * len(list_distinct(list_concat(x, y)))),
+ fz AS (SELECT term, doc_id, max(alike) AS alike FROM al JOIN rw USING (word) GROUP BY 1, 2),
+ tp AS (SELECT *, lower(term) AS lt, replace(replace(regexp_replace(lower(term), '([\\.^$|()\[\]{{}}+])', '\\\1', 'g'), '*', '.*'), '?', '.') AS re FROM tm),
+ ev AS (SELECT item_id, tp.pos, op, lt, weight, ld.doc_id, coalesce(tf, 0) AS tf, coalesce(alike, 0) AS alike, CASE WHEN op = 'WILDCARD' THEN regexp_matches(text, re) ELSE contains(text, lt) END::INT AS it, CASE WHEN op = 'WILDCARD' THEN regexp_matches(path, re) ELSE contains(path, lt) END::INT AS ip
+  FROM tp CROSS JOIN ld LEFT JOIN wc ON wc.doc_id = ld.doc_id AND wc.term = lt AND op IN ('AND', 'OR') LEFT JOIN fz ON fz.doc_id = ld.doc_id AND fz.term = lt AND op IN ('AND', 'OR')),
+ ow AS (SELECT *, CASE op WHEN 'PHRASE' THEN weight * (3 * it + 5 * ip) WHEN 'WILDCARD' THEN weight * (1.5::DOUBLE * it + 3 * ip) WHEN 'NOT' THEN 0 ELSE CASE WHEN tf = 0 AND ip = 0 THEN alike * 0.5::DOUBLE * weight ELSE weight * (tf + 2 * ip) END END AS own FROM ev),
+ pr AS (SELECT item_id, doc_id, sum(own) AS s, bool_or(op = 'NOT' AND it + ip > 0) AS o_not, count(DISTINCT lt) FILTER (op = 'AND' AND own > 0) AS a, count(DISTINCT lt) FILTER (op = 'AND') AS na, count(*) FILTER (op = 'OR' AND own > 0) AS o, count(*) FILTER (op = 'OR') AS no FROM ow GROUP BY 1, 2),
+ ks AS (SELECT item_id, doc_id, round(s * CASE WHEN a < na THEN 0.1::DOUBLE ELSE 1 END * CASE WHEN no > 0 AND o = 0 THEN 0.3::DOUBLE ELSE 1 END, 6) AS score FROM pr WHERE NOT o_not AND s > 0)"""
 
 
 def _keyword(spark, d):
@@ -112,7 +137,7 @@ _EXT = "CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.py' WHEN 2 THEN '.json'
 _BOOST = "CASE doc_id % 4 WHEN 0 THEN 1.3::DOUBLE WHEN 1 THEN 1.1::DOUBLE WHEN 2 THEN 1.05::DOUBLE ELSE 1.0::DOUBLE END"
 
 
-@query("f3_keyword_boosts", f"WITH {_KEYWORD} SELECT item_id, doc_id, round(score * {_BOOST} * CASE WHEN length(text) < 50 THEN 0.7::DOUBLE ELSE 1 END * 1.1::DOUBLE, 6) AS score FROM ks JOIN documents USING (doc_id)")
+@query("f3_keyword_boosts", f"WITH {_KEYWORD} SELECT item_id, doc_id, round(score * {_BOOST} * CASE WHEN length(text) < 50 THEN 0.7::DOUBLE ELSE 1 END * 1.1::DOUBLE, 10) AS score FROM ks JOIN documents USING (doc_id)")
 def _(spark, d):
     ext = F.element_at(F.array(*map(F.lit, [".md", ".py", ".json", ".xyz"])), (F.col("doc_id") % 4 + 1).cast("int"))
     return S.boosted(_keyword(spark, d), D.table(spark, d, "documents").select("doc_id", "text", F.concat("source", ext).alias("path")))
@@ -140,10 +165,10 @@ def _(spark, d):
     return S.vector_search(e.select("vec_id", "embedding"), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v")), 20, 0.1)
 
 
-@query("f8_similar_by_id", f"WITH s AS (SELECT a.vec_id AS q, b.vec_id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 7 AND a.vec_id <> b.vec_id) SELECT q, vec_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM s WHERE score >= 0.3 QUALIFY rank <= 10")
+@query("f8_similar_by_id", f"WITH s AS (SELECT a.vec_id AS q, b.vec_id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) SELECT q, vec_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM s WHERE score >= 0.3 QUALIFY rank <= 10")
 def _(spark, d):
     e = D.table(spark, d, "embeddings")
-    return S.vector_search(e.select("vec_id", "embedding"), e.where("vec_id % 100 = 7").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v")), 10, 0.3)
+    return S.vector_search(e.select("vec_id", "embedding"), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v")), 10, 0.3)
 
 
 @query("f6_embed_chunks")
@@ -151,9 +176,9 @@ def _(spark, d):
     return S.hashed_embedding(D.table(spark, d, "documents"), "text")
 
 
-@query("f10_best_chunk_per_document", f"WITH {Q}, {D.chunks_sql(500, 450)}, a AS (SELECT item_id, list_distinct(regexp_extract_all(lower(query), '{T.WORD}')) AS a FROM q WHERE item_id % 5 = 0), b AS (SELECT doc_id, chunk_index, list_distinct(regexp_extract_all(lower(content), '{T.WORD}')) AS b FROM chunks), s AS (SELECT item_id, doc_id, chunk_index, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS s FROM a, b WHERE list_has_any(a, b)) SELECT item_id, doc_id, max(s) AS similarity, min(chunk_index) FILTER (s = m) AS chunk_index FROM (SELECT *, max(s) OVER (PARTITION BY item_id, doc_id) AS m FROM s) GROUP BY 1, 2")
+@query("f10_best_chunk_per_document", f"WITH {Q}, {D.chunks_sql(500, 450)}, a AS (SELECT item_id, list_distinct(regexp_extract_all(lower(query), '{T.WORD}')) AS a FROM q), b AS (SELECT doc_id, chunk_index, list_distinct(regexp_extract_all(lower(content), '{T.WORD}')) AS b FROM chunks), s AS (SELECT item_id, doc_id, chunk_index, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS s FROM a, b WHERE list_has_any(a, b)) SELECT item_id, doc_id, max(s) AS similarity, min(chunk_index) FILTER (s = m) AS chunk_index FROM (SELECT *, max(s) OVER (PARTITION BY item_id, doc_id) AS m FROM s) GROUP BY 1, 2")
 def _(spark, d):
-    """All items; the SQL pairs items with chunks, so it asks every fifth item only."""
+    """All items, all chunks."""
     q = D.user_queries(spark, d)
     c = D.chunks(spark, d, 500, 450).select("doc_id", "chunk_index", F.col("content").alias("text"))
     s = S.word_overlap(q, c, 0.0, ("doc_id", "chunk_index"))
@@ -229,8 +254,9 @@ def _(spark, d):
 
 @query("f17_diversity_filter")
 def _(spark, d):
-    best = S.bm25(index(spark, d), D.user_queries(spark, d), "doc_id", 30).join(D.table(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    return S.diverse(best, 10, 2)
+    kind = F.element_at(F.array(*map(F.lit, ["md", "py", "json", "none"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    docs = D.table(spark, d, "documents").select("doc_id", "source", kind.alias("kind"), F.array_distinct(T.words("text")).alias("words"))
+    return S.diverse(S.bm25(index(spark, d), D.user_queries(spark, d), "doc_id", 30).join(docs, "doc_id"), 10)
 
 
 @query("f18_near_duplicate_removal")
@@ -315,11 +341,16 @@ def _(spark, d):
     return D.table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.array_join(advice, ",").alias("advice"))
 
 
-@query("f29_expand_synonyms", "WITH w AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'database' WHEN 1 THEN 'function' ELSE 'other' END AS w FROM events) SELECT event_id, w AS word FROM w UNION SELECT event_id, CASE w WHEN 'database' THEN 'storage' ELSE 'method' END FROM w WHERE w <> 'other'")
+_SYNONYMS = "(VALUES " + ", ".join(f"('{k}', {v!r})" for k, v in S.SYNONYMS.items()) + ") y(w, also)"
+_ASKED = ["other", *S.SYNONYMS]
+
+
+@query("f29_expand_synonyms", f"WITH w AS (SELECT event_id, {_ASKED!r}[event_id % {len(_ASKED)} + 1] AS w FROM events) SELECT event_id, w AS word FROM w UNION SELECT event_id, unnest(also) FROM w JOIN {_SYNONYMS} USING (w)")
 def _(spark, d):
-    w = D.table(spark, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, ["database", "function", "other"])), (F.col("event_id") % 3 + 1).cast("int")).alias("w"))
-    known = F.create_map(*[F.lit(x) for p in S.SYNONYMS.items() for x in p])
-    return w.select("event_id", F.explode(F.array_compact(F.array(F.col("w"), known[F.col("w")]))).alias("word"))
+    w = D.table(spark, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, _ASKED)), (F.col("event_id") % len(_ASKED) + 1).cast("int")).alias("w"))
+    known = F.create_map(*[x for k, v in S.SYNONYMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    also = F.coalesce(known[F.col("w")], F.expr("cast(array() as array<string>)"))
+    return w.select("event_id", F.explode(F.array_distinct(F.concat(F.array("w"), also))).alias("word"))
 
 
 @query("f30_popular_queries", f"WITH {D.SEARCH_LOG_SQL} SELECT md5(lower(trim(query))) AS key, count(*) AS n, epoch(date_trunc('second', min(ts)))::BIGINT AS first, epoch(date_trunc('second', max(ts)))::BIGINT AS last FROM log GROUP BY 1 HAVING count(*) >= 5 ORDER BY n DESC, key LIMIT 50")

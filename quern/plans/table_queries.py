@@ -10,8 +10,10 @@ from quern.functions import tabular
 from quern.functions import text as T
 from quern.operators import chunking as C
 from quern.operators import links
+from quern.operators import metrics as M
 from quern.sources import derived as D
 from quern.sources import tables
+from quern.sources.scratch import new_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -27,19 +29,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _scratch(spark) -> str:
-    """A new folder in the shared place that the session names; in tests without one, a local one."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @query("a4_jsonl_chunk_io", f"WITH {D.chunks_sql()} SELECT doc_id || '-' || chunk_index AS chunk_id, doc_id::VARCHAR AS source_document, chunk_index, length(content) AS char_count, md5(content) AS text_md5 FROM chunks")
 def _(spark, d):
     """Written as JSON lines and read back with a stated schema."""
     c = D.chunks(spark, d).select(F.concat_ws("-", "doc_id", "chunk_index").alias("chunk_id"), F.col("doc_id").cast("string").alias("source_document"), "chunk_index", F.col("content").alias("text"), F.length("content").cast("long").alias("char_count"))
-    path = _scratch(spark)
+    path = new_path(spark)
     tables.write_jsonl(c, path)
     return tables.read_jsonl(spark, path).select("chunk_id", "source_document", "chunk_index", "char_count", F.md5("text").alias("text_md5"))
 
@@ -66,7 +60,7 @@ def _(spark, d):
 
 @query("a8_metrics_export", f"WITH {D.SEARCH_LOG_SQL} SELECT event_type AS metric, event_id, round(latency_ms, 4) AS value FROM log WHERE ts >= TIMESTAMP '2024-01-25'")
 def _(spark, d):
-    path = _scratch(spark)
+    path = new_path(spark)
     points = D.search_log(spark, d).select("ts", F.col("event_type").alias("metric"), "event_id", F.round("latency_ms", 4).alias("value"))
     tables.export_metrics(points, path, "2024-01-25 00:00:00", "csv")
     back = spark.read.schema("ts string, event_id long, value double, metric string").option("header", True).csv(path)
@@ -84,27 +78,29 @@ def _(spark, d):
     log = D.search_log(spark, d)
     ms = F.round("latency_ms", 2)
     rows = log.select(F.col("event_id").cast("string").alias("timestamp"), F.substring("query", 1, 50).alias("query"), ms.alias("total_time_ms"), (ms * 0.5).alias("retrieval_ms"), (ms * 0.2).alias("assembly_ms"), (ms * 0.2).alias("generation_ms"), (ms * 0.1).alias("overhead_ms"), F.lit(0).alias("tokens_used"), F.col("results").alias("sources_found"))
-    path = _scratch(spark)
+    path = new_path(spark)
     tables.write_csv(rows, path)
     return tables.read_bench_csv(spark, path).select("timestamp", "query", "total_time_ms", "sources_found")
 
 
-_TYPES = list(links.DEPTHS)
+#: Types dealt to pages; besides, every page but the first has a link `up` to the page of half its number.
+_TYPES = [t for t, depth in links.DEPTHS.items() if depth]
 
 
 def edges(spark, d):
-    """Links between pages, typed by the page: two for each page."""
+    """Links between pages: two for each page, typed by the page, and one up."""
     p = D.table(spark, d, "pages").select(F.col("page_id").alias("src"))
     kind = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("src") % len(_TYPES) + 1).cast("int"))
     n = D.table(spark, d, "pages").agg(F.count("*").alias("n"))
     both = p.withColumn("k", F.explode(F.array(F.lit(11), F.lit(22)))).withColumn("one", F.lit(1)).join(F.broadcast(n.withColumn("one", F.lit(1))), "one")
-    return both.select("src", kind.alias("type"), ((F.col("src") + F.col("k")) % F.col("n")).alias("dst"))
+    up = p.where("src > 0").select("src", F.lit("up").alias("type"), F.expr("src div 2").alias("dst"))
+    return both.select("src", kind.alias("type"), ((F.col("src") + F.col("k")) % F.col("n")).alias("dst")).union(up)
 
 
-@query("e8_attach_context_documents", f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), e AS (SELECT page_id AS src, {_TYPES!r}[page_id % {len(_TYPES)} + 1] AS type, (page_id + k) % n AS dst FROM pages, n, (VALUES (11), (22)) v(k)), l AS (SELECT unnest({_TYPES!r}) AS type, unnest({list(links.DEPTHS.values())!r}) AS most),
-r AS (SELECT page_id AS start, e.type, dst AS node, 1 AS depth FROM pages JOIN e ON src = page_id WHERE page_id % 10 = 0 UNION SELECT start, r.type, e.dst, depth + 1 FROM r JOIN e ON e.src = r.node AND e.type = r.type JOIN l ON l.type = r.type WHERE depth < most) SELECT start, type, node, min(depth) AS depth FROM r WHERE start <> node GROUP BY 1, 2, 3""")
+@query("e8_attach_context_documents", f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), e AS (SELECT page_id AS src, {_TYPES!r}[page_id % {len(_TYPES)} + 1] AS type, (page_id + k) % n AS dst FROM pages, n, (VALUES (11), (22)) v(k) UNION ALL SELECT page_id, 'up', page_id // 2 FROM pages WHERE page_id > 0), l AS (SELECT unnest({list(links.DEPTHS)!r}) AS type, unnest({[64 if x is None else x for x in links.DEPTHS.values()]!r}) AS most),
+r AS (SELECT page_id AS start, e.type, dst AS node, 1 AS depth FROM pages JOIN e ON src = page_id UNION SELECT start, r.type, e.dst, depth + 1 FROM r JOIN e ON e.src = r.node AND e.type = r.type JOIN l ON l.type = r.type WHERE depth < most) SELECT start, type, node, min(depth) AS depth FROM r WHERE start <> node GROUP BY 1, 2, 3""")
 def _(spark, d):
-    """From every page; the SQL starts from every tenth only."""
+    """From every page."""
     starts = D.table(spark, d, "pages").select(F.col("page_id").alias("node"))
     return links.follow(edges(spark, d), starts)
 
@@ -213,16 +209,5 @@ def _(spark, d):
 
 @query("k2_token_bucket_admission")
 def _(spark, d):
-    """Batch twin of the stateful stream: one fold over each user's requests in order."""
-    log = D.search_log(spark, d).select("user_id", "event_id", (F.unix_micros("ts") / 1e6).alias("t"))
-    rate, burst = 0.5, 60.0
-    order = F.array_sort(F.collect_list(F.struct("t", "event_id"))).alias("r")
-    start = F.struct(F.lit(burst).alias("tokens"), F.lit(None).cast("double").alias("last"), F.expr("cast(array() as array<struct<event_id:bigint,admitted:boolean,wait:double>>)").alias("out"))
-
-    def add(a, x):
-        tokens = F.least(F.lit(burst), a["tokens"] + F.coalesce(x["t"] - a["last"], F.lit(0.0)) * rate)
-        ok = tokens >= 1
-        row = F.struct(x["event_id"].alias("event_id"), ok.alias("admitted"), F.when(ok, 0.0).otherwise((1 - tokens) / rate).alias("wait"))
-        return F.struct(F.when(ok, tokens - 1).otherwise(0.0).alias("tokens"), x["t"].alias("last"), F.concat(a["out"], F.array(row)).alias("out"))
-
-    return log.groupBy("user_id").agg(order).select("user_id", F.inline(F.aggregate("r", start, add, lambda a: a["out"])))
+    """Batch twin of the stateful stream: each user's requests pass in order, with two numbers of state."""
+    return M.token_bucket(D.search_log(spark, d), "user_id", 0.5, 60.0)

@@ -373,11 +373,10 @@ def _(spark, d):
 
 @query(
     "c34_set_similarity",
-    f"WITH {D.QUERIES_SQL}, w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(query), '{W}')) AS a FROM q), t AS (SELECT doc_id, list_distinct({WORDS}) AS b FROM documents WHERE doc_id % 50 = 0) SELECT item_id, doc_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS similarity FROM w, t WHERE list_has_any(a, b)",
+    f"WITH {D.QUERIES_SQL}, w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(query), '{W}')) AS a FROM q), t AS (SELECT doc_id, list_distinct({WORDS}) AS b FROM documents) SELECT item_id, doc_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS similarity FROM w, t WHERE list_has_any(a, b)",
 )
 def _(spark, d):
-    """Word sets of all items and all documents by an equi-join on words: pairs without a common word never meet. The SQL pairs every item
-    with every document, so it looks at every fiftieth document only."""
+    """Word sets of all items and all documents by an equi-join on words: pairs without a common word never meet."""
     a = D.user_queries(spark, d).select("item_id", F.array_distinct(T.words("query")).alias("a"))
     b = D.table(spark, d, "documents").select("doc_id", F.array_distinct(T.words("text")).alias("b"))
     both = a.select("item_id", F.size("a").alias("n"), F.explode("a").alias("w")).join(b.select("doc_id", F.size("b").alias("m"), F.explode("b").alias("w")), "w").groupBy("item_id", "n", "doc_id", "m").agg(F.count("*").alias("k"))

@@ -121,18 +121,100 @@ def test_links(spark):
     e = spark.createDataFrame([(1, "inherits", 2), (2, "inherits", 3), (3, "inherits", 1), (1, "related", 4), (4, "related", 5)], "src long, type string, dst long")
     got = {(r["node"], r["type"], r["depth"]) for r in links.follow(e, spark.createDataFrame([(1,)], "node long")).collect()}
     assert got == {(2, "inherits", 1), (3, "inherits", 2), (4, "related", 1)}
+    chain = spark.createDataFrame([(i, "up", i + 1) for i in range(20)] + [(20, "up", 5)], "src long, type string, dst long")
+    up = {(r["node"], r["depth"]) for r in links.follow(chain, spark.createDataFrame([(0,)], "node long")).collect()}
+    assert up == {(i, i) for i in range(1, 21)}
 
 
 def test_search_bounds(spark):
     q = D.user_queries(spark, SF)
     best = S.bm25(S.postings(D.table(spark, SF, "documents"), "doc_id", "text"), q, "doc_id", 5)
     assert best.groupBy("item_id").count().agg(F.max("count")).first()[0] <= 5
-    assert S.diverse(best.join(D.table(spark, SF, "documents").select("doc_id", "source"), "doc_id"), 4, 1).groupBy("item_id").count().agg(F.max("count")).first()[0] <= 4
+    docs = D.table(spark, SF, "documents").select("doc_id", "source", F.lit("md").alias("kind"), F.array_distinct(T.words("text")).alias("words"))
+    assert S.diverse(best.join(docs, "doc_id"), 4).groupBy("item_id").count().agg(F.max("count")).first()[0] <= 4
     e = S.hashed_embedding(D.table(spark, SF, "documents"), "text")
     norm = F.sqrt(S.dot(F.col("embedding"), F.col("embedding")))
     assert e.select(F.abs(norm - 1).alias("x")).agg(F.max("x")).first()[0] < 1e-5
 
 
+def test_diversity(spark):
+    """Near copies of a source's kept rows go once half is filled; a file type may have a third unless the score is far better."""
+    rows = [(1, i, "s" if i < 8 else f"t{i}", f"k{i % 5}", 10.0 - i, i, ["a", "b", str(i // 2)] if i > 3 else [str(i)]) for i in range(12)]
+    df = spark.createDataFrame(rows, "item_id long, doc_id long, source string, kind string, score double, rank long, words array<string>")
+    assert [r["doc_id"] for r in S.diverse(df, 6).orderBy("place").collect()] == [0, 1, 2, 3, 4, 6]
+    one_kind = df.withColumn("kind", F.lit("md"))
+    assert [r["doc_id"] for r in S.diverse(one_kind, 6).orderBy("place").collect()] == [0, 1]
+    assert S.diverse(one_kind, 12).count() == 12
+
+
+def brute_keyword(docs, terms):
+    """Scores of (doc_id, text, path) for terms of (term, op, weight), one document and term at a time."""
+    out = {}
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    for i, text, path in docs:
+        text, path = (text or "").lower(), (path or "").lower()
+        s, met, gone = 0.0, set(), False
+        for term, op, w in terms:
+            own = 0.0
+            wild = re.escape(term).replace(r"\*", ".*").replace(r"\?", ".")
+            if op == "PHRASE":
+                own = 3 * w * (term in text) + 5 * w * (term in path)
+            elif op == "WILDCARD":
+                own = 1.5 * w * bool(re.search(wild, text)) + 3 * w * bool(re.search(wild, path))
+            elif op == "NOT":
+                gone = gone or term in text or term in path
+            else:
+                own = w * len([x for x in re.findall(r"\w+", text) if x == term]) + 2 * w * (term in path)
+                if not own:
+                    best = max((like(term, x) for x in text.split()), default=0)
+                    own = best * 0.5 * w if best > 0.8 else 0.0
+            s += own
+            met |= {(term, op)} if own else set()
+        wants = {(t, o) for t, o, _ in terms if o == "AND"}
+        s *= 1.0 if wants <= met else 0.1
+        s *= 0.3 if any(o == "OR" for _, o, _ in terms) and not any(o == "OR" for _, o in met) else 1.0
+        if s > 0 and not gone:
+            out[i] = round(s, 6)
+    return out
+
+
+def test_keyword_scores(spark):
+    docs = [(1, "Alpha beta gamma. The beta-test, alpha!", "src/alpha.py"), (2, "alpha", "docs/beta gamma.md"), (3, "nothing here\nalphas stressed", "x"), (4, None, "alpha"), (5, "", None), (6, "betas gamm a(b)c desserts", "notes"), (7, "alpha beta gamma " * 3, "src/alpha.py")]
+    asked = {
+        1: [("beta gamma", "PHRASE", 1.5), ("alpha", "AND", 1.0)], 2: [("alp*a", "WILDCARD", 0.9), ("t?st", "WILDCARD", 0.9)], 3: [("alpha", "AND", 1.0), ("gamma", "NOT", 1.0)], 4: [("desserts", "OR", 1.0), ("nowhere", "OR", 1.0)],
+        5: [("alpha", "OR", 1.0), ("missing", "AND", 1.0)], 6: [("a(b*c", "WILDCARD", 0.9)], 7: [("bet", "NOT", 1.0), ("alpha", "AND", 1.0)], 8: [("*", "WILDCARD", 0.9), ("alpha", "AND", 1.0)],
+    }
+    terms = [(q, k, t, op, w) for q, ts in asked.items() for k, (t, op, w) in enumerate(ts)]
+    got: dict = {}
+    scores = S.keyword_scores(spark.createDataFrame(docs, "doc_id long, text string, source string"), spark.createDataFrame(terms, "item_id long, pos int, term string, op string, weight double"))
+    for r in scores.collect():
+        got.setdefault(r["item_id"], {})[r["doc_id"]] = r["score"]
+    for q, ts in asked.items():
+        assert got.get(q, {}) == pytest.approx(brute_keyword(docs, [x for x in ts if x[0] != "*"])), q
+
+
+def test_search_fields_pages(spark):
+    docs = spark.createDataFrame([(i, "zebra" if i == 3 else "other", None if i % 2 else "zebra notes", "the zebra " * (i + 1), "en" if i != 4 else "de") for i in range(9)], "doc_id long, title string, headings string, content string, lang string")
+    q = spark.createDataFrame([(1, "zebra")], "item_id long, query string")
+    pages = [S.search_fields(docs, q, filters={"lang": "en"}, page=p, page_length=3).orderBy("rank").collect() for p in (1, 2, 3, 4)]
+    assert [len(p) for p in pages] == [3, 3, 2, 0] and {(r["total"], r["pages"]) for p in pages for r in p} == {(8, 3)}
+    assert pages[0][0]["doc_id"] == 3 and [r["rank"] for p in pages for r in p] == list(range(1, 9))
+    assert pages[0][0]["preview"].startswith("the zebra") and all(r["doc_id"] != 4 for p in pages for r in p)
+
+
+def test_vector_blocks(spark, monkeypatch):
+    e = D.table(spark, SF, "embeddings").select("vec_id", "embedding")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
+    whole = sorted(map(tuple, S.vector_search(e, q, 5).collect()))
+    monkeypatch.setattr(S.against_all, "__defaults__", (3,))
+    assert sorted(map(tuple, S.vector_search(e, q, 5).collect())) == whole
+
+
+def test_accuracy_by_expected_content(spark):
+    df = spark.createDataFrame([("q", "It uses OAuth2 and tokens.", ["oauth2", "saml"]), ("q", "x", []), ("q", "x", None)], "question string, reply string, expected array<string>")
+    assert [r["accuracy"] for r in M.response_scores(df, "expected").select("accuracy").collect()] == [0.5, 0.8, 0.8]
+
+
 def test_filter_and_columns_reach_the_scan(spark):
     plan = D.table(spark, SF, "events").where("event_type = 'click'").select("event_id")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,click)]" in plan
