@@ -202,13 +202,22 @@ def sections(df: DataFrame, column: str) -> DataFrame:
     return found.select("doc_id", F.col("sec").cast("long").alias("sec"), F.col("level").cast("long").alias("level"), "title", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), parent.cast("long").alias("parent"))
 
 
+def _marks(body: str) -> tuple[Column, Column, Column]:
+    """Whether a text holds code, a table, a list."""
+    return F.contains(body, F.lit("```")), F.col(body).rlike(r"(?m)^\|.*\|$"), F.col(body).rlike(r"(?m)^\s*(?:[-*+]|[0-9]+\.)\s+\S")
+
+
+def _holds(body: str) -> Column:
+    code, table, items = _marks(body)
+    return F.when(table, "table").when(code, "code").when(items, "list").otherwise("text")
+
+
 def section_flags(df: DataFrame, column: str) -> DataFrame:
     """What each section holds: code, table, list, and its kind and counts."""
     full = sections(df, column).join(df.select("doc_id", F.col(column).alias("__t")), "doc_id")
     body = full.select("doc_id", "sec", F.substring(F.col("__t"), (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("body"))
-    code, table, items = F.contains("body", F.lit("```")), F.col("body").rlike(r"(?m)^\|.*\|$"), F.col("body").rlike(r"(?m)^\s*(?:[-*+]|[0-9]+\.)\s+\S")
-    kind = F.when(table, "table").when(code, "code").when(items, "list").otherwise("text")
-    return body.select("doc_id", "sec", code.alias("has_code"), table.alias("has_table"), items.alias("has_list"), kind.alias("kind"), T.word_count("body").alias("n_words"), F.size(T.lines("body")).cast("long").alias("n_lines"))
+    code, table, items = _marks("body")
+    return body.select("doc_id", "sec", code.alias("has_code"), table.alias("has_table"), items.alias("has_list"), _holds("body").alias("kind"), T.word_count("body").alias("n_words"), F.size(T.lines("body")).cast("long").alias("n_lines"))
 
 
 def elements(df: DataFrame, column: str) -> DataFrame:
@@ -231,8 +240,42 @@ def elements(df: DataFrame, column: str) -> DataFrame:
     return runs.where("kind <> 'blank'").select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("run")).cast("long").alias("element"), "kind", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "n_lines")
 
 
-def structural(df: DataFrame, column: str, limit: int = 2000) -> DataFrame:
-    """Elements packed to the limit; a header starts a chunk; an element over the limit is a chunk of its own."""
+def _joined(c: Column, sep: str) -> Column:
+    """The pieces of c.p from g.first to g.last."""
+    return F.array_join(F.slice(c["p"], c["g"]["first"], c["g"]["last"] - c["g"]["first"] + 1), sep)
+
+
+def recut(chunks: DataFrame, limit: int, pieces: Column, target: int, sep: str) -> DataFrame:
+    """Chunks over `limit` characters are cut into their pieces, packed to `target`; `whole` tells which were not. Keeps all columns."""
+    over = F.length("content") > limit
+    packed = chunks.withColumns({"whole": ~over, "p": F.when(over, pieces).otherwise(F.array("content"))})
+    sub = packed.select("*", F.posexplode(pack(F.col("p"), target + len(sep), len(sep))).alias("sub", "g"))
+    sub = sub.withColumn("content", _joined(F.struct("p", "g"), sep)).where(~F.col("content").rlike(_BLANK))
+    index = F.row_number().over(W.partitionBy("doc_id").orderBy("chunk_index", "sub")) - 1
+    return sub.withColumn("chunk_index", index.cast("long")).drop("p", "g", "sub")
+
+
+def merge_next(chunks: DataFrame, least: int, same: list[str], sums: list[str], never: Column | None = None) -> DataFrame:
+    """A whole chunk under `least` characters is joined with the next one, if both are equal in the columns `same`; what was joined is not
+    joined again. Down a run of such chunks every second one is taken by the one before, so a count within runs decides, not a fold."""
+    by_doc = W.partitionBy("doc_id").orderBy("chunk_index")
+    short = F.col("whole") & (F.length("content") < least) & F.lead("chunk_index").over(by_doc).isNotNull()
+    for c in same:
+        short = short & F.lead(c).over(by_doc).eqNullSafe(F.col(c))
+    rows = chunks.withColumn("short", short if never is None else short & ~never)
+    rows = rows.withColumn("run", F.sum((~F.col("short")).cast("int")).over(by_doc))
+    place = F.row_number().over(W.partitionBy("doc_id", "run", "short").orderBy("chunk_index"))
+    rows = rows.withColumn("takes", F.col("short") & (place % 2 == 1))
+    rows = rows.withColumn("group", F.sum((~F.coalesce(F.lag("takes").over(by_doc), F.lit(False))).cast("int")).over(by_doc))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]), "\n\n")  # two at most
+    out = rows.groupBy("doc_id", "group").agg(text.alias("content"), F.count("*").alias("merged"), *[F.first(c).alias(c) for c in same], *[F.sum(c).alias(c) for c in sums])
+    index = F.row_number().over(W.partitionBy("doc_id").orderBy("group")) - 1
+    return out.withColumn("chunk_index", index.cast("long")).drop("group")
+
+
+def structural(df: DataFrame, column: str, limit: int = 2000, target: int = 1500, least: int = 200) -> DataFrame:
+    """Elements packed to the limit; a header starts a chunk. What is still over the limit is cut at blank lines and packed to the target;
+    a chunk under `least` is joined with the next of its kind and section, but code never is."""
     parts = elements(df, column).join(df.select("doc_id", F.col(column).alias("__t")), "doc_id")
     parts = parts.select("doc_id", "element", "kind", F.substring(F.col("__t"), (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("body"))
     parts = parts.withColumn("head", F.sum((F.col("kind") == "header").cast("int")).over(W.partitionBy("doc_id").orderBy("element")))
@@ -242,7 +285,9 @@ def structural(df: DataFrame, column: str, limit: int = 2000) -> DataFrame:
     kinds = F.array_distinct(F.transform(own, lambda x: x["kind"]))
     kind = F.when(F.array_contains(kinds, "code"), "code").when(F.array_contains(kinds, "table"), "table").when(F.array_contains(kinds, "list"), "list").when(F.array_contains(kinds, "header"), "section").otherwise("mixed")
     index = F.row_number().over(W.partitionBy("doc_id").orderBy("head", "sub")) - 1
-    return got.select("doc_id", index.cast("long").alias("chunk_index"), kind.alias("kind"), F.array_join(F.transform(own, lambda x: x["body"]), "\n\n").alias("content"))
+    packed = got.select("doc_id", "head", index.cast("long").alias("chunk_index"), kind.alias("kind"), F.array_join(F.transform(own, lambda x: x["body"]), "\n\n").alias("content"))
+    cut = recut(packed, limit, F.split("content", "\n\n"), target, "\n\n")
+    return merge_next(cut, least, ["kind", "head"], [], F.col("kind") == "code").select("doc_id", "chunk_index", "kind", "content", "merged")
 
 
 def topic_shifts(df: DataFrame, column: str, window: int = 200, step: int = 50, least: float = 0.25) -> DataFrame:
@@ -283,25 +328,80 @@ def thin(bounds: DataFrame, apart: int = 50) -> DataFrame:
     return lists.select("doc_id", F.inline(folded))
 
 
-def semantic(df: DataFrame, column: str, least: float = 0.5) -> DataFrame:
-    """Cut at thinned boundaries of some strength; pieces keep all text."""
-    cuts = thin(boundaries(df, column)).where(F.col("strength") >= least).groupBy("doc_id").agg(F.array_sort(F.collect_set("position")).alias("cuts"))
+# Words that tell of a new topic, and what starts a list.
+TOPIC_MARKS = ["however", "therefore", "moreover", "furthermore", "nevertheless", "in contrast", "on the other hand", "meanwhile", "finally", "first", "second", "third", "next", "then", "additionally", "also"]
+LIST_STARTS = ["- ", "* ", "1. ", "2. ", "3. "]
+
+
+def adjusted(bounds: DataFrame, df: DataFrame, column: str, side: int = 50) -> DataFrame:
+    """bounds with strengths that follow the `side` characters before and after: +0.2 after a colon, +0.15 before a list, half between
+    quotation marks, +0.1 for a paragraph that starts with a topic word near; 1 at most, in this order."""
+    at = F.col("position").cast("int")
+    rows = bounds.join(df.select("doc_id", F.col(column).alias("t")), "doc_id")
+    rows = rows.withColumns({"before": F.substring(F.col("t"), F.greatest(at - side + 1, F.lit(1)), F.least(at, F.lit(side))), "after": F.substring(F.col("t"), at + 1, F.lit(side))})
+    plus = lambda s, when, x: F.when(when, F.least(F.lit(1.0), s + x)).otherwise(s)
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    s = plus(F.col("strength"), F.endswith(strip("before"), F.lit(":")), 0.2)
+    starts = strip("after")
+    listed = F.lit(False)
+    for mark in LIST_STARTS:
+        listed = listed | F.startswith(starts, F.lit(mark))
+    s = plus(s, listed, 0.15)
+    s = F.when(F.contains("before", F.lit('"')) & F.contains("after", F.lit('"')), s * 0.5).otherwise(s)
+    s = plus(s, (F.col("kind") == "paragraph") & F.col("after").rlike(rf"(?i)\b(?:{'|'.join(TOPIC_MARKS)})\b"), 0.1)
+    return rows.select("doc_id", "position", F.round(s, 6).alias("strength"), "kind")
+
+
+def semantic(df: DataFrame, column: str, least: float = 0.5, limit: int = 2000, short: int = 200, dropped: int = 100) -> DataFrame:
+    """Cut at thinned and adjusted boundaries of some strength; chunks over the limit are cut by sentences, and one under `short` is joined
+    with the next. No text is lost: n_short counts the pieces under `dropped` characters that a chunk holds."""
+    cuts = adjusted(thin(boundaries(df, column)), df, column).where(F.col("strength") >= least).groupBy("doc_id").agg(F.array_sort(F.collect_set("position")).alias("cuts"))
     full = df.select("doc_id", F.col(column).alias("t")).join(cuts, "doc_id", "left")
     marks = F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), F.coalesce("cuts", F.expr("cast(array() as array<bigint>)")), F.array(F.length("t").cast("long"))))
     got = full.select("doc_id", "t", marks.alias("m")).select("doc_id", "t", "m", F.posexplode("m").alias("chunk_index", "start")).where(F.col("chunk_index") < F.size("m") - 1)
-    return got.select("doc_id", F.col("chunk_index").cast("long"), "start", F.substring(F.col("t"), (F.col("start") + 1).cast("int"), (F.element_at("m", F.col("chunk_index") + 2) - F.col("start")).cast("int")).alias("content"))
+    piece = F.substring(F.col("t"), (F.col("start") + 1).cast("int"), (F.element_at("m", F.col("chunk_index") + 2) - F.col("start")).cast("int"))
+    got = got.select("doc_id", "chunk_index", F.regexp_replace(piece, r"^\s+|\s+$", "").alias("content")).where("content <> ''")
+    cut = recut(got, limit, F.split("content", r"(?<=[.!?])\s+"), limit, " ").withColumn("n_short", (F.length("content") < dropped).cast("long"))
+    return merge_next(cut, short, [], ["n_short"]).select("doc_id", "chunk_index", "content", "merged", "n_short")
 
 
-def hybrid(df: DataFrame, column: str, limit: int = 2000) -> DataFrame:
-    """Structural chunks; those over the limit are cut again by sentences."""
-    first = structural(df, column, limit)
-    pieces = F.when(F.length("content") <= limit, F.array("content")).otherwise(T.sentences("content"))
-    got = first.select("doc_id", "chunk_index", "kind", pieces.alias("p")).select("doc_id", F.col("chunk_index").alias("whole"), "kind", "p", F.posexplode(pack(F.col("p"), limit, 1)).alias("sub", "g"))
-    index = F.row_number().over(W.partitionBy("doc_id").orderBy("whole", "sub")) - 1
-    return got.select("doc_id", index.cast("long").alias("chunk_index"), "kind", F.array_join(F.slice("p", F.col("g.first"), F.col("g.last") - F.col("g.first") + 1), " ").alias("content"))
+def _within(parts: DataFrame, key: list[str], strategy, **how) -> DataFrame:
+    """A strategy over parts of documents (key, content): key, sub, content, and kind if the strategy gives one."""
+    name = F.concat_ws("#", *key)
+    got = strategy(parts.select(name.alias("doc_id"), F.col("content").alias("t")), "t", **how)
+    kind = F.col("kind") if "kind" in got.columns else F.lit("semantic").alias("kind")
+    ids = F.split("doc_id", "#")
+    return got.select(*(F.element_at(ids, i + 1).cast("long").alias(k) for i, k in enumerate(key)), F.col("chunk_index").alias("sub"), kind, "content")
 
 
-STRATEGIES = {"sentence": by_sentence, "paragraph": by_paragraph, "words": by_words, "heading": by_heading, "definition": by_definition, "recursive": recursive, "semantic": semantic, "structural": structural, "hybrid": hybrid, "fixed": fixed_windows}
+def hybrid(df: DataFrame, column: str, limit: int = 2000) -> DataFrame:
+    """Structural chunks; those over the limit are cut again semantically."""
+    first = structural(df, column, limit)
+    long = F.length("content") > limit
+    again = _within(first.where(long), ["doc_id", "chunk_index"], semantic, limit=limit)
+    every = first.where(~long).select("doc_id", "chunk_index", F.lit(0).cast("long").alias("sub"), "kind", "content").union(again.select("doc_id", "chunk_index", "sub", "kind", "content"))
+    index = F.row_number().over(W.partitionBy("doc_id").orderBy("chunk_index", "sub")) - 1
+    return every.select("doc_id", index.cast("long").alias("index"), "kind", "content").withColumnRenamed("index", "chunk_index")
+
+
+def adaptive(df: DataFrame, column: str, long: int = 3000) -> DataFrame:
+    """By section: code structurally, tables whole, text over `long` characters semantically, the rest structurally. What stands before the
+    first heading is section 0."""
+    own = sections(df, column).select("doc_id", "sec", "start", "stop")
+    first = own.groupBy("doc_id").agg(F.min("start").alias("stop"))
+    lead = df.select("doc_id", F.length(column).cast("long").alias("n")).join(first, "doc_id", "left")
+    lead = lead.select("doc_id", F.lit(0).cast("long").alias("sec"), F.lit(0).cast("long").alias("start"), F.coalesce("stop", "n").alias("stop"))
+    spans = own.union(lead.where("stop > 0")).join(df.select("doc_id", F.col(column).alias("t")), "doc_id")
+    body = F.substring(F.col("t"), (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))
+    parts = spans.select("doc_id", "sec", body.alias("content")).where(~F.col("content").rlike(_BLANK)).withColumn("holds", _holds("content"))
+    table, far = F.col("holds") == "table", (F.col("holds") != "code") & (F.length("content") > long)
+    whole = parts.where(table).select("doc_id", "sec", F.lit(0).cast("long").alias("sub"), F.lit("table").alias("kind"), "content")
+    every = whole.union(_within(parts.where(~table & far), ["doc_id", "sec"], semantic)).union(_within(parts.where(~table & ~far), ["doc_id", "sec"], structural))
+    index = F.row_number().over(W.partitionBy("doc_id").orderBy("sec", "sub")) - 1
+    return every.select("doc_id", index.cast("long").alias("chunk_index"), "sec", "kind", "content")
+
+
+STRATEGIES = {"sentence": by_sentence, "paragraph": by_paragraph, "words": by_words, "heading": by_heading, "definition": by_definition, "recursive": recursive, "semantic": semantic, "structural": structural, "hybrid": hybrid, "adaptive": adaptive, "fixed": fixed_windows}
 
 
 def chunk(df: DataFrame, column: str, strategy: str = "hybrid", **how) -> DataFrame:

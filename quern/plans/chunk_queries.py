@@ -178,7 +178,8 @@ def _(spark, d):
 
 @query("d10_boundary_thinning")
 def _(spark, d):
-    return C.thin(C.boundaries(D.markdown(spark, d), "md"))
+    md = D.markdown(spark, d)
+    return C.adjusted(C.thin(C.boundaries(md, "md")), md, "md")
 
 
 @query(

@@ -189,13 +189,7 @@ def _(spark, d):
 
 @query("d13_chunk_adaptive")
 def _(spark, d):
-    """Sections by what they hold: code whole, tables whole, long ones by sentences, others whole."""
-    md = D.markdown(spark, d)
-    flags = C.section_flags(md, "md").join(C.sections(md, "md"), ["doc_id", "sec"]).join(md, "doc_id")
-    body = flags.select("doc_id", "sec", "kind", F.substring(F.col("md"), (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("b"))
-    pieces = F.when(F.col("kind").isin("code", "table") | (F.length("b") <= 3000), F.array("b")).otherwise(T.sentences("b"))
-    got = body.select("doc_id", "sec", "kind", pieces.alias("p")).select("doc_id", "sec", "kind", "p", F.posexplode(C.pack(F.col("p"), 2000, 1)).alias("sub", "g"))
-    return got.select("doc_id", "sec", "sub", "kind", F.array_join(F.slice("p", F.col("g.first"), F.col("g.last") - F.col("g.first") + 1), " ").alias("content"))
+    return C.adaptive(D.markdown(spark, d), "md")
 
 
 @query("l2_chunk_table_function")

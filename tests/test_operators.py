@@ -63,7 +63,7 @@ def test_code(spark):
     assert one(spark, "prose only", programming_language(F.col("t"))) is None
 
 
-@pytest.mark.parametrize("strategy", ["sentence", "paragraph", "heading", "structural", "hybrid", "semantic", "definition"])
+@pytest.mark.parametrize("strategy", ["sentence", "paragraph", "heading", "structural", "hybrid", "semantic", "adaptive", "definition"])
 def test_chunks_lose_no_words(spark, strategy):
     md = D.markdown(spark, SF).limit(40).cache()
     whole = {r["doc_id"]: sorted(re.findall(r"\w+", r["md"])) for r in md.collect()}
@@ -74,6 +74,45 @@ def test_chunks_lose_no_words(spark, strategy):
     assert {k: sorted(v) for k, v in got.items()} == whole
 
 
+def test_merge_next(spark):
+    """Against the rule step by step: a short chunk takes the next one of its kind, code never does."""
+    import random
+
+    draw = random.Random(2)
+    rows = [(d, i, draw.choice(["a", "a", "b", "code"]), draw.choice("xy") * draw.choice([1, 3, 9]), draw.random() < 0.8) for d in range(30) for i in range(draw.randrange(1, 12))]
+    out = C.merge_next(spark.createDataFrame(rows, "doc_id long, chunk_index long, kind string, content string, whole boolean"), 5, ["kind"], [], F.col("kind") == "code")
+    got = {(r["doc_id"], r["chunk_index"]): r["content"] for r in out.collect()}
+    expected = {}
+    for d in range(30):
+        own = [r for r in rows if r[0] == d]
+        i = k = 0
+        while i < len(own):
+            _, _, kind, text, whole = own[i]
+            takes = whole and len(text) < 5 and kind != "code" and i + 1 < len(own) and own[i + 1][2] == kind
+            expected[d, k] = f"{text}\n\n{own[i + 1][3]}" if takes else text
+            i, k = i + 1 + takes, k + 1
+    assert got == expected
+
+
+def test_chunk_sizes(spark):
+    """What can be cut is within the limits."""
+    text = "\n\n".join(" ".join(f"Sentence {i} {k} has some words." for k in range(9 if i % 7 else 400)) for i in range(60))
+    df = spark.createDataFrame([(1, "# One\n\n" + text), (2, "x" * 5000), (3, ""), (4, "short"), (5, None)], "doc_id long, t string")
+    for strategy in ("semantic", "structural", "hybrid", "adaptive"):
+        rows = C.chunk(df, "t", strategy).where("doc_id = 1").collect()
+        limit = {"structural": 14_000}.get(strategy, 2000 + 202)
+        assert max(len(r["content"]) for r in rows) <= limit, strategy
+        assert sorted(r["chunk_index"] for r in rows) == list(range(len(rows)))
+        assert C.chunk(df, "t", strategy).where("doc_id = 2").count() == 1, strategy
+
+
+def test_boundary_strength(spark):
+    t = "Take these:" + "\n\n" + "- one" + "x" * 60 + "\n\n" + "also this" + "y" * 60 + '"' + "\n\n" + '"end'
+    df = spark.createDataFrame([(1, t)], "doc_id long, t string")
+    b = df.select("doc_id", F.explode(F.array(*[F.lit(x).cast("long") for x in (13, 80, 152)])).alias("position")).withColumns({"strength": F.lit(0.7), "kind": F.lit("paragraph")})
+    assert [r["strength"] for r in C.adjusted(b, df, "t").orderBy("position").collect()] == [1.0, 0.8, 0.35]
+
+
 def test_pack(spark):
     df = spark.createDataFrame([(1, "aa|bbb|c|dddd|e")], "doc_id long, t string")
     groups = df.select(C.pack(F.split("t", r"\|"), 5).alias("g")).first()["g"]
