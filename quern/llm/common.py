@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -19,6 +21,8 @@ BROADCAST_ROWS, BROADCAST_WIDE_ROWS, BROADCAST_BYTES = 200_000, 20_000, 16 << 20
 KEY = ["__k1", "__k2"]
 #: Bytes of a row group of intermediate tables: what each writing task holds in memory.
 ROW_GROUP = 16 << 20
+#: Bytes and rows of an Arrow batch on its way to a Python worker: both sides hold whole batches.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2_000
 #: Shares into which the rows of one key are dealt before their last sum.
 SALTS = 64
 
@@ -106,6 +110,24 @@ def summed(parts: DataFrame) -> DataFrame:
     return some.repartition("k").mapInArrow(add, "k int, v binary")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Let Spark send texts to Python workers in batches of a few MB, unless the session says otherwise: by default they have 10 000 rows."""
+    for name, usual, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, None) in (usual, f"{usual}b", "64MB"):
+            spark.conf.set(key, str(value))
+
+
+def give_back() -> None:
+    """Return memory that a task no longer needs to the system: Python workers outlive tasks and share their executor's limit."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Short slices of Arrow batches, so that few texts are Python objects at a time."""
     for batch in batches:
@@ -127,6 +149,7 @@ def per_row(df: DataFrame, carry: list[str], column: str, schema: str, make: Cal
             if rows:
                 yield [batch.columns[:width], rows]
         getattr(f, "close", int)()
+        give_back()
 
     target = StructType([*base.schema.fields[:-1], *(StructField(f"n{i}", f.dataType) for i, f in enumerate(added))])
     arrow = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in target.fields])

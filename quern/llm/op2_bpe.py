@@ -27,7 +27,7 @@ from .common import per_row
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces whose ids are kept at a time, longest piece that is kept, and pairs of tokens whose compatibility is kept.
-MEMO_PIECES, MEMO_LENGTH, MEMO_PAIRS = 250_000, 64, 400_000
+MEMO_PIECES, MEMO_LENGTH, MEMO_PAIRS = 200_000, 64, 200_000
 BLOCK = 1 << 16
 #: Bytes of a piece whose matches are held at a time.
 SPAN = 1 << 15

@@ -41,11 +41,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, discard, materialize, ngrams, row_key, slices, small, small_bytes, summed, word_hashes
+from .common import KEY, discard, give_back, materialize, ngrams, row_key, slices, small, small_bytes, summed, word_hashes
 
 PERCENT, WORDS = 90, 3
 #: Frequent shingles that go last in the order: in all, offered by one task, tallied at a time.
-FREQUENT, OFFERED, TALLIED = 100_000, 20_000, 1_500_000
+FREQUENT, OFFERED, TALLIED = 100_000, 20_000, 800_000
 #: Cells of the sketch of word counts.
 CELLS_LOG2, CELL_BLOCK = 18, 1 << 14
 #: Members of one search chunk.
@@ -138,6 +138,7 @@ def shingle_order(docs: DataFrame, words: int = WORDS, top: int = FREQUENT) -> O
             pa.array([*kept_h.view(np.int64).tolist(), *[None] * n], pa.int64()), pa.array([*kept_n.tolist(), *[None] * n], pa.int64()),
             pa.array([*[None] * m, *(k for k, _ in blocks)], pa.int32()), pa.array([*[None] * m, *(v for _, v in blocks)], pa.binary()),
         ], ["h", "n", "k", "v"])
+        give_back()
 
     told = materialize(docs.where(F.col("text").isNotNull()).select("text").mapInArrow(tally, "h long, n long, k int, v binary"), "tallies")
     # The most frequent shingles, at most `top`: those in the upper classes of a histogram of counts.
@@ -181,6 +182,7 @@ def signatures(docs: DataFrame, order: Order, words: int, percent: int) -> DataF
                 rare = np.lexsort((s, weight, rank))[: probed(len(s), percent) + 1]
                 prefix.append(s[rare].view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int32()), pa.array(node, pa.binary()), pa.array(central, pa.int32()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], [*KEY, "doc_id", "n", "node", "central", "bits", "prefix"])
+        give_back()
 
     return docs.select(*row_key(), "doc_id", "text").mapInArrow(run, "__k1 long, __k2 long, doc_id long, n int, node binary, central int, bits binary, prefix array<long>")
 
@@ -196,6 +198,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 if hashlib.blake2b(own, digest_size=16).digest() == node:  # else another text under the same key
                     nodes.append(node), sets.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], ["node", "set"])
+        give_back()
 
     return docs.select(*row_key(), "text").join(small(wanted), KEY).select("node", "text").mapInArrow(run, "node binary, set binary")
 

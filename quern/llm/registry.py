@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from quern.shipping import shipped
 
+from .common import short_batches
+
 from . import op1_language, op2_bpe, op3_token_counts, op4_secrets, op5_decontaminate, op6_jaccard, op7_html, op8_importance, op9_quality, op10_sharding
 
 
@@ -27,7 +29,15 @@ def queries() -> dict:
         "op10_sharding": op10_sharding.query,
         "pipeline": pipeline,
     }
-    return {name: shipped(f) for name, f in found.items()}
+
+    def prepared(f):
+        def run(spark, *args):
+            short_batches(spark)
+            return f(spark, *args)
+
+        return run
+
+    return {name: shipped(prepared(f)) for name, f in found.items()}
 
 
 def oracle_sql() -> dict:
