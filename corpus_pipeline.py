@@ -54,12 +54,22 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op2_bpe.digests(docs, public_tokenizers.path(op2_bpe.VOCABULARY), public_tokenizers.PATTERN, ["doc_id", "lang", "source"])
 
 
+def _stage(work):
+    """work with the package on the executors and texts in short batches."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.short_batches(spark)
+        return work(spark, docs, sf_dir)
+
+    return shipped(run)
+
+
 STAGES = [
-    ("quality rules", shipped(quality_rules)),
-    ("n-gram Jaccard join", shipped(jaccard_join)),
-    ("benchmark decontamination", shipped(decontamination)),
-    ("secret scans", shipped(secret_scan)),
-    ("byte-level BPE", shipped(byte_bpe)),
+    ("quality rules", _stage(quality_rules)),
+    ("n-gram Jaccard join", _stage(jaccard_join)),
+    ("benchmark decontamination", _stage(decontamination)),
+    ("secret scans", _stage(secret_scan)),
+    ("byte-level BPE", _stage(byte_bpe)),
 ]
 #: Digests of token ids have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
