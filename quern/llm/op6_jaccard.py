@@ -435,7 +435,6 @@ def open_jobs(rows: DataFrame) -> DataFrame:
     one is enough."""
     lists = tallied(rows)
     one = lists.groupBy("s", "k").agg(F.max(F.struct("g", "main", "pm", "po", "im", "io")).alias("x")).select("x.*")
-    full = rows.join(one, "g").withColumn("out", F.col("comp") != F.col("main"))
     out, (q0, m0, q1, m1) = F.col("comp") != F.col("main"), (F.ceil(k / CHUNK) for k in (F.col("po"), F.col("im") + F.col("io"), F.col("io"), F.col("pm")))
     full = rows.join(one, "g")
     own = lambda k: F.pmod(F.xxhash64("node"), F.greatest(k, F.lit(1)))
