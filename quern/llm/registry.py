@@ -6,7 +6,7 @@ from quern.shipping import shipped
 
 from .common import short_batches
 
-from . import op1_language, op2_bpe, op3_token_counts, op4_secrets, op5_decontaminate, op6_jaccard, op7_html, op8_importance, op9_quality, op10_sharding
+from . import op1_language, op2_bpe, op3_token_counts, op4_secrets, op5_decontaminate, op6_jaccard, op7_html, op8_importance, op9_quality, op10_sharding, op11_lexical, op12_sentencepiece, op13_centroids
 
 
 def pipeline(spark, sf_dir):
@@ -27,6 +27,9 @@ def queries() -> dict:
         "op8_importance_resampling": op8_importance.query,
         "op9_quality_rules": op9_quality.query,
         "op10_sharding": op10_sharding.query,
+        "op11_lexical_search": op11_lexical.query,
+        "op12_sentencepiece": op12_sentencepiece.query,
+        "op13_centroid_clustering": op13_centroids.query,
         "pipeline": pipeline,
     }
 
@@ -41,4 +44,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op5_decontamination": op5_decontaminate.ORACLE_SQL, "op6_jaccard_join": op6_jaccard.ORACLE_SQL}
+    return {
+        "op5_decontamination": op5_decontaminate.ORACLE_SQL,
+        "op6_jaccard_join": op6_jaccard.ORACLE_SQL,
+        "op11_lexical_search": op11_lexical.ORACLE_SQL,
+        "op13_centroid_clustering": op13_centroids.ORACLE_SQL,
+    }
