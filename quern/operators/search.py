@@ -14,16 +14,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators import wordindex as X
+from quern.operators.wordindex import small
 from quern.sources.scratch import materialize
 
 K1, B = 1.2, 0.75
-#: Questions of one broadcast block, and rows of a table that is broadcast whole.
-BLOCK, SMALL = 5_000, 200_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df, a materialized table, with a broadcast hint if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+#: Questions of one broadcast block.
+BLOCK = 5_000
+SMALL = X.SMALL
 
 
 def against_all(rows: DataFrame, asked: DataFrame, condition: Column, block: int = BLOCK) -> DataFrame:
@@ -122,16 +120,6 @@ def parsed(queries: DataFrame) -> DataFrame:
     return phrases.unionByName(words)
 
 
-def _pattern(term: Column) -> Column:
-    """A wildcard term as a regular expression: * any characters of a line, ? one; all others stand for themselves."""
-    plain = F.regexp_replace(term, r"([\\.^$|()\[\]{}+])", r"\\$1")
-    return F.concat(F.lit("(?d)"), F.replace(F.replace(plain, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")))
-
-
-def _letters(c: Column | str) -> Column:
-    return F.array_distinct(F.split(c, ""))
-
-
 def keyword_scores(docs: DataFrame, terms: DataFrame, path: str = "source", fuzzy: float = 0.8) -> DataFrame:
     """item_id, doc_id, score over 0. docs: doc_id, text, path; terms: as `parsed` gives them.
 
@@ -139,40 +127,35 @@ def keyword_scores(docs: DataFrame, terms: DataFrame, path: str = "source", fuzz
     weights in the path; a plain term found in neither counts half the likeness of the text's most similar word (shared letters), if that
     is over `fuzzy`. A NOT term anywhere takes the document out; a missing AND term leaves a tenth, no OR term at all 0.3.
 
-    Plain terms meet documents through an equi-join on words. Parts of words and likeness are decided on the table of distinct words, which
-    grows far slower than the texts; phrases and wildcards are then looked up only in texts that hold their longest part. A wildcard
-    without any letters matches nothing."""
-    piece = F.when(F.col("op").isin("PHRASE", "WILDCARD"), F.reduce(F.split(F.lower("term"), r"[*?\s]+"), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))).otherwise(F.lower("term"))
-    asked = materialize(terms.select("item_id", "pos", F.lower("term").alias("term"), "op", "weight", piece.alias("piece")).where("length(piece) > 0"), "terms")
+    Texts and distinct paths are searched through their word indexes (see wordindex): texts are read twice, for their distinct words and for
+    the places of the words that matter, and are never moved. A wildcard without any letters matches nothing."""
+    asked = materialize(terms.select("item_id", "pos", F.lower("term").alias("term"), "op", "weight").where(F.length(F.regexp_replace("term", r"[*?\s]", "")) > 0), "terms")
     low = docs.select("doc_id", F.lower("text").alias("text"), F.lower(path).alias("path"))
     plain, pattern = F.col("op").isin("AND", "OR"), F.col("op") == "WILDCARD"
-
-    # Whole words.
-    one_word = small(asked.where(plain).select("item_id", "pos", F.col("term").alias("w")))
-    exact = low.select("doc_id", F.explode(T.words("text")).alias("w")).join(one_word, "w").groupBy("item_id", "pos", "doc_id").agg(F.count("*").alias("tf"))
-
-    # Parts of words and words that are alike.
-    raw = low.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).where("word <> ''")
-    vocabulary = raw.select("word").distinct().withColumn("letters", _letters("word"))
-    probes = materialize(asked.select("item_id", "pos", "op", "piece", F.when(plain, _letters("piece")).alias("own"), F.when(plain, F.size(_letters("piece"))).alias("size")), "probes")
-    near = F.size("letters").between(F.col("size") * fuzzy, F.col("size") / fuzzy) & (T.jaccard(F.col("letters"), F.col("own")) > fuzzy)
-    met = against_all(vocabulary, probes, F.when(plain, near).otherwise(F.contains("word", "piece")))
-    met = materialize(met.select("item_id", "pos", "op", "word", F.when(plain, T.jaccard(F.col("letters"), F.col("own"))).alias("alike")), "words")
-    held = raw.join(small(met), "word").groupBy("item_id", "pos", "op", "doc_id").agg(F.max("alike").alias("alike"))
-    held = materialize(held, "held")
-    whole = held.where(F.col("op").isin("PHRASE", "WILDCARD")).join(small(asked.select("item_id", "pos", "term")), ["item_id", "pos"]).join(low, "doc_id")
-    found = F.when(pattern, F.rlike(F.col("text"), _pattern(F.col("term")))).otherwise(F.contains("text", "term"))
-    in_text = whole.where(found).select("item_id", "pos", "doc_id").union(held.where("op = 'NOT'").select("item_id", "pos", "doc_id"))
-    alike = held.where(plain).select("item_id", "pos", "doc_id", "alike")
-
-    # Paths: few distinct ones.
-    paths = low.select("path").where("path is not null").distinct()
-    in_path = against_all(paths, asked, F.when(pattern, F.rlike(F.col("path"), _pattern(F.col("term")))).otherwise(F.contains("path", "term")))
-    in_path = low.select("doc_id", "path").join(small(materialize(in_path.select("item_id", "pos", "path"), "paths")), "path").select("item_id", "pos", "doc_id")
+    some = asked.select("item_id", "pos", "term", "op", pattern.alias("wild"))
+    words = X.vocabulary(low, "text")
+
+    # Whole words: which words of the texts hold the term, how often, and where those stand.
+    single = materialize(asked.where(plain).select("term").distinct(), "single")
+    held = words.select("word", F.explode(T.words("word")).alias("term")).join(small(single), "term").groupBy("word", "term").agg(F.count("*").alias("times"))
+    near = X.alike(words, single, fuzzy)
+    met = held.select("word", "term", "times", F.lit(None).cast("double").alias("alike")).union(near.select("word", "term", F.lit(0).alias("times"), "alike"))
+    met = materialize(met.groupBy("word", "term").agg(F.sum("times").alias("times"), F.max("alike").alias("alike")), "met")
+    tokens = low.select("doc_id", F.explode(F.split("text", r"\s+")).alias("word"))
+    by_term = tokens.join(small(met), "word").groupBy("doc_id", "term").agg(F.sum("times").alias("tf"), F.max("alike").alias("alike"))
+    by_term = materialize(by_term, "by-term").join(small(asked.where(plain).select("item_id", "pos", "term")), "term")
+    exact = by_term.where("tf > 0").select("item_id", "pos", "doc_id", "tf")
+    alike = by_term.where("alike is not null").select("item_id", "pos", "doc_id", "alike")
+
+    # Phrases, wildcards, and NOT terms anywhere in the text; everything anywhere in the path.
+    in_text = X.matches(low, "doc_id", "text", some.where(~plain).drop("op"), words)
+    paths = materialize(low.select("path").where("path is not null").distinct(), "paths")
+    in_path = X.matches(paths, "path", "path", some.drop("op"), X.vocabulary(paths, "path"))
+    in_path = low.select("doc_id", "path").join(small(materialize(in_path, "in-path")), "path").select("item_id", "pos", "doc_id")
 
     none = lambda df, **have: df.select("item_id", "pos", "doc_id", *(have.get(c, F.lit(0)).cast(t).alias(c) for c, t in (("tf", "long"), ("text", "int"), ("path", "int"), ("alike", "double"))))
     every = reduce(DataFrame.union, [none(exact, tf=F.col("tf")), none(in_text, text=F.lit(1)), none(in_path, path=F.lit(1)), none(alike, alike=F.col("alike"))])
-    per = every.groupBy("item_id", "pos", "doc_id").agg(*[F.max(c).alias(c) for c in ("tf", "text", "path", "alike")]).join(small(asked.drop("piece")), ["item_id", "pos"])
+    per = every.groupBy("item_id", "pos", "doc_id").agg(*[F.max(c).alias(c) for c in ("tf", "text", "path", "alike")]).join(small(asked), ["item_id", "pos"])
     w = F.col("weight")
     missed = (F.col("tf") == 0) & (F.col("path") == 0)
     own = (
@@ -187,11 +170,16 @@ def keyword_scores(docs: DataFrame, terms: DataFrame, path: str = "source", fuzz
     return got.where(~F.col("out") & (F.col("s") > 0)).join(needs, "item_id").select("item_id", "doc_id", F.round(score, 6).alias("score"))
 
 
-def boosted(scores: DataFrame, docs: DataFrame) -> DataFrame:
-    """Factors for the kind of file and for short texts."""
+def boosted(scores: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Factors for the kind of file, a word of the query in the path, short texts, and hits that begin within a file's first five lines.
+    docs: doc_id, path, length, startline; queries: item_id, query."""
     path = F.lower("path")
     kind = F.when(path.rlike(r"\.(md|txt|rst|adoc)$"), 1.3).when(path.rlike(r"\.(py|js|ts|java|cpp)$"), 1.1).when(path.rlike(r"\.(json|yaml|yml|xml)$"), 1.05).otherwise(1.0)
-    return scores.join(docs, "doc_id").select("item_id", "doc_id", F.round(F.col("score") * kind * F.when(F.length("text") < 50, 0.7).otherwise(1.0) * 1.1, 10).alias("score"))
+    named = F.exists("asked", lambda w: F.contains(path, w))
+    words = queries.select("item_id", F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != "").alias("asked"))
+    rows = scores.join(docs, "doc_id").join(words, "item_id")
+    factor = kind * F.when(named, 1.2).otherwise(1.0) * F.when(F.col("length") < 50, 0.7).otherwise(1.0) * F.when(F.col("startline") <= 5, 1.1).otherwise(1.0)
+    return rows.select("item_id", "doc_id", F.round(F.col("score") * factor, 10).alias("score"))
 
 
 def word_overlap(queries: DataFrame, docs: DataFrame, least: float, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -133,14 +133,18 @@ def _(spark, d):
     return _keyword(spark, d)
 
 
-_EXT = "CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.py' WHEN 2 THEN '.json' ELSE '.xyz' END"
+#: The tables have no file of their own for a document: its path is its source with an ending by doc_id, and its hit begins at a line by doc_id.
+_EXT = "source || CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.py' WHEN 2 THEN '.json' ELSE '.xyz' END"
 _BOOST = "CASE doc_id % 4 WHEN 0 THEN 1.3::DOUBLE WHEN 1 THEN 1.1::DOUBLE WHEN 2 THEN 1.05::DOUBLE ELSE 1.0::DOUBLE END"
 
 
-@query("f3_keyword_boosts", f"WITH {_KEYWORD} SELECT item_id, doc_id, round(score * {_BOOST} * CASE WHEN length(text) < 50 THEN 0.7::DOUBLE ELSE 1 END * 1.1::DOUBLE, 10) AS score FROM ks JOIN documents USING (doc_id)")
+@query("f3_keyword_boosts", rf"""WITH {_KEYWORD}, qw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(query), '\s+'), lambda w: w <> '') AS asked FROM ty)
+ SELECT item_id, doc_id, round(score * {_BOOST} * CASE WHEN len(list_filter(asked, lambda w: contains(lower({_EXT}), w))) > 0 THEN 1.2::DOUBLE ELSE 1 END * CASE WHEN length(text) < 50 THEN 0.7::DOUBLE ELSE 1 END * CASE WHEN doc_id % 12 < 5 THEN 1.1::DOUBLE ELSE 1 END, 10) AS score
+ FROM ks JOIN documents USING (doc_id) JOIN qw USING (item_id)""")
 def _(spark, d):
     ext = F.element_at(F.array(*map(F.lit, [".md", ".py", ".json", ".xyz"])), (F.col("doc_id") % 4 + 1).cast("int"))
-    return S.boosted(_keyword(spark, d), D.table(spark, d, "documents").select("doc_id", "text", F.concat("source", ext).alias("path")))
+    docs = D.table(spark, d, "documents").select("doc_id", F.length("text").alias("length"), F.concat("source", ext).alias("path"), (F.col("doc_id") % 12 + 1).alias("startline"))
+    return S.boosted(_keyword(spark, d), docs, _typed(spark, d))
 
 
 @query("f4_keyword_topk", f"WITH {_KEYWORD} SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM ks QUALIFY rank <= 5")
