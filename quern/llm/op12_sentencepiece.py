@@ -21,7 +21,8 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import islice
+from itertools import islice, repeat
+from operator import add
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,7 +34,7 @@ MODEL = "piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BLANK = "▁"
 #: Segments in hand, segments whose pieces are kept (twice as many at most), and the longest that is kept.
-BLOCK, MEMO, MEMO_LENGTH = 1 << 16, 250_000, 48
+BLOCK, MEMO, MEMO_LENGTH = 1 << 16, 400_000, 48
 #: Up to so many characters, neighbours are compared again after every merge; beyond, a heap holds them.
 SHORT = 24
 #: Stands for the rank of two neighbours that are no piece.
@@ -212,12 +213,10 @@ class Model:
     def merged(self, segment: str) -> list[str]:
         """The pieces of a segment: neighbours join by best score, the left pair first on ties."""
         rank = self.rank
-        if segment in rank and len(segment) == 2:
-            return [segment]
         n = len(segment)
         if n <= SHORT:
             parts, get = list(segment), rank.get
-            pairs = [get(a + b, NONE) for a, b in zip(parts, parts[1:])]
+            pairs = list(map(get, map(add, segment, segment[1:]), repeat(NONE)))
             while pairs and (best := min(pairs)) < NONE:
                 k = pairs.index(best)
                 joined = parts[k] + parts[k + 1]
@@ -264,9 +263,16 @@ class Model:
         """coded, from memory or after a cut wherever no piece holds the two characters side by side."""
         out = self.young.get(segment) or self.old.get(segment)
         if out is None:
-            pairs = self.pairs
-            cuts = [i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in pairs]
-            out = b"".join(map(self.known, (segment[a:b] for a, b in zip([0, *cuts], [*cuts, len(segment)])))) if cuts else self.coded(segment)
+            side_by_side = list(map(self.pairs.__contains__, map(add, segment, segment[1:])))
+            if False in side_by_side:
+                parts, at = [], 0
+                for i, joined in enumerate(side_by_side, 1):
+                    if not joined:
+                        parts.append(self.known(segment[at:i]))
+                        at = i
+                out = b"".join([*parts, self.known(segment[at:])])
+            else:
+                out = self.coded(segment)
         if len(segment) <= MEMO_LENGTH:
             if len(self.young) >= MEMO:
                 self.old, self.young = self.young, {}
