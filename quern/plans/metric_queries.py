@@ -140,11 +140,11 @@ def _(spark, d):
     return _scores(spark, d).drop("question", "reply", "turn_id", "expected")
 
 
-@query("g17_score_batch_report", f"WITH {_RESPONSE} SELECT metric, count(*) AS n, round(avg((v >= 0.7)::INT), 6) AS passing, round(avg(v), 6) AS mean, round(min(v), 4) AS least, round(max(v), 4) AS most FROM (UNPIVOT (SELECT relevance, accuracy, completeness, clarity, tone, sources, overall FROM so) ON COLUMNS(*) INTO NAME metric VALUE v) GROUP BY 1")
+@query("g17_score_batch_report", f"WITH {_RESPONSE} SELECT metric, count(*) AS n, round(avg((v >= 0.7)::INT), 6) AS passing, round(avg(v), 6) AS mean, min(v) AS least, max(v) AS most FROM (UNPIVOT (SELECT relevance, accuracy, completeness, clarity, tone, sources, overall FROM so) ON COLUMNS(*) INTO NAME metric VALUE v) GROUP BY 1")
 def _(spark, d):
     s = _scores(spark, d)
     long = s.unpivot("turn_id", [*M.RESPONSE_WEIGHTS, "overall"], "metric", "v")
-    return long.groupBy("metric").agg(F.count("*").alias("n"), M.share(F.col("v") >= 0.7).alias("passing"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.min("v"), 4).alias("least"), F.round(F.max("v"), 4).alias("most"))
+    return long.groupBy("metric").agg(F.count("*").alias("n"), M.share(F.col("v") >= 0.7).alias("passing"), F.round(F.avg("v"), 6).alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"))
 
 
 @query("g18_benchmark_stats", f"WITH {LOG}, r AS (SELECT event_type, latency_ms AS v, row_number() OVER (PARTITION BY event_type ORDER BY latency_ms) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM log), p AS (SELECT *, n * 1.0::DOUBLE * 0.95::DOUBLE + 0.95::DOUBLE AS a95, n * 1.0::DOUBLE * 0.99::DOUBLE + 0.99::DOUBLE AS a99 FROM r), q AS (SELECT event_type, any_value(a95) AS a95, any_value(a99) AS a99, min(v) FILTER (r = greatest(1, least(floor(a95), n))) AS x95, min(v) FILTER (r = greatest(1, least(floor(a95) + 1, n))) AS y95, min(v) FILTER (r = greatest(1, least(floor(a99), n))) AS x99, min(v) FILTER (r = greatest(1, least(floor(a99) + 1, n))) AS y99 FROM p GROUP BY 1) SELECT event_type, round(x95 + (y95 - x95) * (a95 - floor(a95)), 4) AS p95, round(x99 + (y99 - x99) * (a99 - floor(a99)), 4) AS p99 FROM q")

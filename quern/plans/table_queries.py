@@ -14,6 +14,8 @@ from quern.operators import metrics as M
 from quern.sources import derived as D
 from quern.sources import tables
 from quern.sources.scratch import new_path
+from quern.sources.versioned import VersionedTable
+from quern.streaming import jobs
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -73,6 +75,19 @@ def _(spark, d):
     return tables.flow_report([("documents", D.table(spark, d, "documents")), ("chunks", c), ("embeddings", c.select("doc_id", "chunk_index"))])
 
 
+@query("k8_incremental_index_stream", SQL["a5_reindex_by_file"])
+def _(spark, d):
+    """The batches of a5 landed as files one after the other, each found by a stream that merges it into a table of versions."""
+    docs = D.table(spark, d, "documents").select("doc_id", "source", F.length("text").cast("long").alias("n"))
+    base = new_path(spark, "index")
+    table = VersionedTable(spark, f"{base}/table", docs.schema, ["doc_id"], buckets=64)
+    for number, part in enumerate([docs.where("doc_id % 10 < 7"), docs.where("doc_id % 10 >= 3").withColumn("n", F.col("n") + 1)]):
+        part.write.parquet(f"{base}/landed/batch={number}")
+        stream = spark.readStream.schema(docs.schema).option("recursiveFileLookup", True).parquet(f"{base}/landed")
+        jobs.incremental_index(stream, table, f"{base}/checkpoint").awaitTermination()
+    return table.read()
+
+
 @query("a10_benchmark_csv_scan", f"WITH {D.SEARCH_LOG_SQL} SELECT event_id::VARCHAR AS timestamp, query[1:50] AS query, round(latency_ms, 2) AS total_time_ms, results AS sources_found FROM log")
 def _(spark, d):
     log = D.search_log(spark, d)

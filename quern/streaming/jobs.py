@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quern.sources import tables
+from quern.sources.versioned import VersionedTable
 
 
 def events(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -118,14 +118,7 @@ def flush_by_time(stream: DataFrame, seconds: float) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(group, "user_id long, event_id long, flush long", "number long, last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def incremental_index(stream: DataFrame, target: str, keys: list[str], checkpoint: str):
-    """New files are merged into the Parquet table at target, batch by batch; a batch that is run again changes nothing. The table has
-    versions, target/v=N; the new version is complete before the next batch starts."""
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if number:
-            batch = tables.upsert(spark.read.parquet(f"{target}/v={number - 1}"), batch, keys)
-        batch.write.mode("overwrite").parquet(f"{target}/v={number}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def incremental_index(stream: DataFrame, table: VersionedTable, checkpoint: str):
+    """New files are merged into the table, batch by batch: every batch rewrites the buckets it touches. A batch that is run again, or begun
+    and not ended, changes nothing twice: its number stands in the version that holds it."""
+    return stream.writeStream.foreachBatch(lambda batch, number: table.merge(batch, number) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

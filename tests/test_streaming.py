@@ -68,13 +68,3 @@ def test_state_by_key(spark, landed):
     assert rows(got) == rows(registry.queries()["k2_token_bucket_admission"](spark, SF).select("user_id", "event_id", "admitted"))
     got = replay(jobs.flush_by_time(_in_order(spark, landed), 3600), "append")
     assert got.count() == log.count()
-
-
-def test_incremental_index(spark, tmp_path):
-    docs = D.table(spark, SF, "documents").select("doc_id", "source")
-    source, target = str(tmp_path / "in"), str(tmp_path / "table")
-    for part in (0, 1):
-        docs.where(F.col("doc_id") % 2 == part).withColumn("source", F.concat("source", F.lit(str(part)))).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(docs.schema).parquet(source)
-        jobs.incremental_index(stream, target, ["doc_id"], str(tmp_path / "checkpoint")).awaitTermination()
-    assert spark.read.parquet(f"{target}/v=1").count() == docs.count()
