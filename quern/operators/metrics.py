@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from quern.operators.wordindex import small
+from quern.sources.scratch import materialize
+
 # ---- Fixed values: thresholds, prices for a million tokens, weights and words of the response score -------------------
 LATENCY_MS, ERROR_RATE, HIT_RATE = 2000.0, 0.05, 0.6
 PRICES = {"large": (5.32, 16.00), "medium": (0.59, 0.79), "mixed": (0.24, 0.24), "small": (0.05, 0.08)}
@@ -24,14 +27,35 @@ def share(c: Column) -> Column:
     return F.coalesce(F.round(F.avg(c.cast("int")), 6), F.lit(0.0))
 
 
+#: Cells that a range of values is cut into, and distinct values that are put in order in one task.
+CELLS, FEW = 1024, 20_000
+
+
 def order_statistics(df: DataFrame, group: str, value: str, ranks: dict[str, Column]) -> DataFrame:
-    """group and, for each name, the value at a rank (from 1, an expression over n). Values are counted first, so a group's window holds
-    distinct values, and nothing is collected."""
-    counts = df.groupBy(group, value).agg(F.count("*").alias("__k"))
-    upto = F.sum("__k").over(W.partitionBy(group).orderBy(value))
-    n = F.sum("__k").over(W.partitionBy(group))
-    placed = counts.select(group, value, upto.alias("__upto"), n.alias("n"))
-    return placed.groupBy(group).agg(*[F.min(F.when(F.col("__upto") >= r, F.col(value))).alias(name) for name, r in ranks.items()])
+    """group and, for each name, the value at a rank (from 1, an expression over n), exactly. Equal values are counted first. As long as more
+    than FEW distinct values may hold a rank, their range is cut into cells, cells are counted for all groups at once, and the range becomes
+    that of the cell with the rank; only what is left is ordered. Nulls and NaN are left out."""
+    rows = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    counts = materialize(rows.groupBy("g", "v").agg(F.count("*").alias("k")), "counts")
+    whole = counts.groupBy("g").agg(F.sum("k").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("size"))
+    named = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), r.cast("long").alias("rank")) for name, r in ranks.items()])).alias("r")
+    found = materialize(whole.select("g", named, "low", "high", "size", F.lit(0).cast("long").alias("below")).select("g", "r.name", "r.rank", "low", "high", "size", "below"), "ranges")
+    same = counts["g"].eqNullSafe(F.col("t.g"))
+    # Evenly by logarithm, which keeps the order, and by value where logarithms no longer differ.
+    flat = lambda c: F.signum(c) * F.log1p(F.abs(c))
+    even = lambda x, low, high: (x - low) / (high - low)
+    while not (wide := found.where((F.col("size") > FEW) & (F.col("low") < F.col("high")))).isEmpty():
+        inside = counts.join(small(wide.alias("t")), same & counts["v"].between(F.col("t.low"), F.col("t.high")))
+        place = F.when(flat(F.col("high")) > flat(F.col("low")), even(flat(F.col("v")), flat(F.col("low")), flat(F.col("high")))).otherwise(even(F.col("v"), F.col("low"), F.col("high")))
+        cells = inside.groupBy("t.g", "name", "rank", "below", F.least(F.floor(place * CELLS), F.lit(CELLS - 1)).alias("cell")).agg(F.sum("k").alias("k"), F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("size"))
+        upto = F.col("below") + F.sum("k").over(W.partitionBy("g", "name").orderBy("cell"))
+        reached = cells.withColumn("upto", upto).where("upto >= rank").groupBy("g", "name").agg(F.min_by(F.struct("rank", "low", "high", "size", (F.col("upto") - F.col("k")).alias("below")), "cell").alias("c"))
+        done = found.where((F.col("size") <= FEW) | (F.col("low") >= F.col("high")))
+        found = materialize(done.union(reached.select("g", "name", "c.*")), "ranges")
+    last = counts.join(small(found.alias("t")), same & counts["v"].between(F.col("t.low"), F.col("t.high")))
+    upto = F.col("below") + F.sum("k").over(W.partitionBy("t.g", "name").orderBy("v"))
+    got = last.select("t.g", "name", "rank", "v", upto.alias("upto")).where("upto >= rank")
+    return got.groupBy(F.col("g").alias(group)).agg(*[F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in ranks])
 
 
 def nearest_rank(p: float) -> Column:

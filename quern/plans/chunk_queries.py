@@ -168,18 +168,41 @@ for _name, _f, _from in (("d8_chunk_structural", C.structural, "md"), ("d11_chun
     QUERIES[_name] = lambda spark, d, f=_f, c=_from: f(D.markdown(spark, d) if c == "md" else D.table(spark, d, "documents"), c)
 
 
-@query(
-    "d9_topic_shifts",
-    r"""WITH c AS (SELECT doc_id, text, unnest(range(0, length(text) - 400 + 1, 50)) AS pos FROM documents WHERE length(text) > 400), w AS (SELECT doc_id, pos + 200 AS position, list_distinct(regexp_extract_all(lower(text[pos + 1:pos + 200]), '[\p{L}]{4,}')) AS a, list_distinct(regexp_extract_all(lower(text[pos + 201:pos + 400]), '[\p{L}]{4,}')) AS b FROM c), s AS (SELECT doc_id, position, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS similarity FROM w) SELECT * FROM s WHERE similarity < 0.25""",
-)
+_SEP, _GAP = r"[.!?]+[ \t\n\r\f]+", r"\n[ \t\n\r\f]*\n"
+_LENGTHS = "coalesce(list_sum(list_transform({}, lambda z: length(z))), 0)"
+
+
+def _ends(split: str, marks: str, upto: str) -> str:
+    """Where the marks end: a list, by what stands before each and their own lengths."""
+    return f"list_transform(range(1, len({marks}) + 1), lambda k: {_LENGTHS.format(f'{split}[1:k]')} + {_LENGTHS.format(f'{marks}[1:k{upto}]')})"
+
+
+_TURN = " ".join(f"WHEN {' OR '.join(f'starts_with(l, {chr(39)}{w}{m}{chr(39)})' for w in words for m in (' ', ','))} THEN {C.TRANSITION_STRENGTH[kind]}::DOUBLE" for kind, words in C.TRANSITIONS.items())
+_TURN += f" WHEN {' OR '.join(f'starts_with(l, {chr(39)}{w}{chr(39)})' for w in C.CLOSINGS)} THEN {C.CLOSING_STRENGTH}::DOUBLE"
+_BOUNDARIES = rf"""dd AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+ c AS (SELECT doc_id, text, unnest(range(0, length(text) - 200, 50)) AS pos FROM dd WHERE length(text) > 200),
+ w AS (SELECT doc_id, pos, list_distinct(list_filter(regexp_extract_all(lower(text[pos + 1:pos + 200]), '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}') AND w NOT IN {_strings(C.TOPIC_STOP_WORDS)})) AS x, greatest(pos - 50, 0) AS f, text[greatest(pos - 50, 0) + 1:least(pos + 50, length(text))] AS r FROM c),
+ pv AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY pos) AS y FROM w), si AS (SELECT *, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END AS s, regexp_split_to_array(r, '{_SEP}') AS sp, regexp_extract_all(r, '{_SEP}') AS mk FROM pv WHERE y IS NOT NULL),
+ sh AS (SELECT doc_id, coalesce(list_min(list_transform({_ends('sp', 'mk', '')}, lambda e: [abs(f + e - pos), f + e]))[2], pos) AS position, 'topic_shift' AS kind, 1 - s AS strength FROM si WHERE s < 0.75),
+ sp AS (SELECT doc_id, regexp_split_to_array(text, '{_SEP}') AS sp, regexp_extract_all(text, '{_SEP}') AS mk FROM dd), se AS (SELECT doc_id, unnest({_ends('sp', 'mk', ' - 1')}) AS position, unnest(list_transform(sp[2:], lambda z: lower(trim(z, ' ' || chr(9) || chr(10) || chr(12) || chr(13))))) AS l FROM sp),
+ tu AS (SELECT doc_id, position, 'sentence' AS kind, CASE {_TURN} ELSE 0 END AS strength FROM se), pp AS (SELECT doc_id, regexp_split_to_array(text, '{_GAP}') AS sp, regexp_extract_all(text, '{_GAP}') AS mk FROM dd),
+ bd AS (SELECT doc_id, unnest({_ends('sp', 'mk', '')}) AS position, 'paragraph' AS kind, 0.7::DOUBLE AS strength FROM pp UNION ALL SELECT * FROM tu WHERE strength > 0.3 UNION ALL SELECT * FROM sh WHERE position > 0)"""
+
+
+@query("d9_semantic_boundaries", f"WITH {_BOUNDARIES} SELECT doc_id, position::BIGINT AS position, kind, round(strength, 6) AS strength FROM bd")
+def _(spark, d):
+    return C.boundaries(D.table(spark, d, "documents"), "text").select("doc_id", "position", "kind", F.round("strength", 6).alias("strength"))
+
+
+@query("d9_topic_shifts", f"WITH {_BOUNDARIES} SELECT doc_id, position::BIGINT AS position, round(1 - strength, 6) AS similarity FROM bd WHERE kind = 'topic_shift'")
 def _(spark, d):
-    return C.topic_shifts(D.table(spark, d, "documents"), "text")
+    return C.boundaries(D.table(spark, d, "documents"), "text").where("kind = 'topic_shift'").select("doc_id", "position", F.round(1 - F.col("strength"), 6).alias("similarity"))
 
 
 @query("d10_boundary_thinning")
 def _(spark, d):
     md = D.markdown(spark, d)
-    return C.adjusted(C.thin(C.boundaries(md, "md")), md, "md")
+    return C.adjusted(C.thin(C.boundaries(md, "md")))
 
 
 @query(

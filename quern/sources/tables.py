@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_SCHEMA = "chunk_id string, source_document string, chunk_index long, text string, char_count long"
@@ -56,10 +60,36 @@ def reconcile(index: DataFrame, recorded: DataFrame, key: str) -> DataFrame:
     return both.where("indexed <> recorded")
 
 
-def flow_report(stages: list[tuple[str, DataFrame]]) -> DataFrame:
-    """stage, n, place, passed: each stage's rows, and whether the next one has as many."""
-    from functools import reduce
-
-    rows = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), F.lit(i).cast("long").alias("place"), "n") for i, (name, df) in enumerate(stages)]
-    every = reduce(DataFrame.unionByName, rows)
-    return every.withColumn("passed", F.col("n") > 0)
+class Stage:
+    """A stage of a flow: work(previous stage's table) gives its own table. same: the stage fails if it has not as many rows as the one before."""
+
+    def __init__(self, name: str, work: Callable[[DataFrame | None], DataFrame], same: bool = False):
+        self.name, self.work, self.same = name, work, same
+
+
+_FLOW = "stage string, place long, status string, n long, seconds double, passed boolean, error string"
+
+
+def run_flow(spark: SparkSession, stages: list[Stage], path: str) -> tuple[DataFrame, DataFrame | None]:
+    """A report and the last table. Every stage is written to path/NAME and read back by the next; its rows are counted by an observation while
+    they are written, never by a second pass. A stage that raises has failed, and those behind it are skipped. The report has one row a
+    stage and one `overall`: passed says, for a stage that must keep the rows of the one before, whether it did; overall has succeeded if no
+    stage failed, and passed if all have."""
+    rows, table, before = [], None, None
+    for place, stage in enumerate(stages):
+        if rows and rows[-1][2] != "SUCCESS":
+            rows.append((stage.name, place, "SKIPPED", None, None, False, None))
+            continue
+        seen, began = Observation(f"flow-{stage.name}-{uuid.uuid4().hex}"), time.monotonic()
+        try:
+            made = stage.work(table)
+            made.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/{stage.name}")
+        except Exception as error:
+            rows.append((stage.name, place, "FAILED", None, time.monotonic() - began, False, str(error).split("\n")[0][:200]))
+            continue
+        n = seen.get["n"]
+        rows.append((stage.name, place, "SUCCESS", n, time.monotonic() - began, not stage.same or n == before, None))
+        table, before = spark.read.schema(made.schema).parquet(f"{path}/{stage.name}"), n
+    good = all(r[2] == "SUCCESS" for r in rows)
+    rows.append(("overall", len(stages), "SUCCESS" if good else "FAILED", rows[-1][3], sum(r[4] or 0.0 for r in rows), all(r[5] for r in rows), None))
+    return spark.createDataFrame(rows, _FLOW), table if good else None

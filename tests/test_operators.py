@@ -109,8 +109,8 @@ def test_chunk_sizes(spark):
 def test_boundary_strength(spark):
     t = "Take these:" + "\n\n" + "- one" + "x" * 60 + "\n\n" + "also this" + "y" * 60 + '"' + "\n\n" + '"end'
     df = spark.createDataFrame([(1, t)], "doc_id long, t string")
-    b = df.select("doc_id", F.explode(F.array(*[F.lit(x).cast("long") for x in (13, 80, 152)])).alias("position")).withColumns({"strength": F.lit(0.7), "kind": F.lit("paragraph")})
-    assert [r["strength"] for r in C.adjusted(b, df, "t").orderBy("position").collect()] == [1.0, 0.8, 0.35]
+    b = C.boundaries(df, "t").where("kind = 'paragraph'")
+    assert [r["strength"] for r in C.adjusted(b).orderBy("position").collect()] == [1.0, 0.8, 0.35]
 
 
 def test_pack(spark):
