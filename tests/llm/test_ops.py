@@ -477,10 +477,70 @@ def test_html_tables_stay_linear():
     assert len(op7_html.extract(one)) < 3 * len(one)
 
 
+def test_html_layout():
+    """Depth, scopes, declarations, lists, and cells of several lines."""
+    x = op7_html.extract
+    assert x("<div>" * 450 + "<p hidden>SECRET</p>shown") == "shown" and x("<b>" * 1000 + "deep<span hidden>no") == "deep"
+    assert x("<p>one<div>two</div>three</p>four").split() == ["one", "two", "three", "four"] and "threefour" not in x("<p>one<div>two</div>three</p>four")
+    assert x("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b>c</div>d") == "b\nd"
+    for shown in ("display:none;display:block", "display:none;display:inline !important;display:none", "visibility:hidden; visibility: visible"):
+        assert x(f"<p style='{shown}'>t") == "t", shown
+    assert x("<p style='display:block;display:none'>t") == "" and x("<p hidden style='display:block'>t") == "t"
+    assert x("<ol start=5><li>a<li value=9>b<li>c</ol>") == "5. a\n9. b\n10. c" and x("<ol reversed><li>a<li>b</ol>") == "2. a\n1. b"
+    assert x("<details><summary>s</summary>no</details>x") == "s\nx" and x("<xmp><b>raw</b></xmp>") == "<b>raw</b>"
+    assert x("<table><tr><td>l1<br>l2<td>m<tr><td><pre>p\n  q</pre><td>n</table>") == "l1  | m\nl2  |\np   | n\n  q |"
+    assert x("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>") == "a | b\n  | c\nd | e"
+    assert x("<table><tr><td colspan=2>wide one<td>x<tr><td>a<td>b<td>c</table>") == "wide one | x\na | b    | c"
+    long = x("<table>" + f"<tr><td>{'w ' * 60}<td>x" + f"<tr><td>{'v ' * 60}<td>y</table>").split("\n")
+    assert {line.index("|") for line in long} == {80} and "".join(long).count("w") == 60
+    # A table in a cell, and an end tag that is not the cell's.
+    assert x("<table><tr><td>a<table><tr><td>in<td>ner</table></div><td>b</table>c") == "a        | b\nin | ner |\n\nc"
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(1, 12), st.integers(1, 3), st.integers(1, 3)), min_size=1, max_size=5), min_size=1, max_size=6))
+def test_html_cells_stand_in_their_columns(rows):
+    """Every cell begins where its column begins, by a grid filled cell by cell."""
+    page, taken, where, n = "<table>", set(), {}, 0
+    for r, row in enumerate(rows):
+        page, c = page + "<tr>", 0
+        for size, across, down in row:
+            while (r, c) in taken:
+                c += 1
+            word = f"w{n}" + "x" * size
+            taken |= {(r + i, c + j) for i in range(down) for j in range(across)}
+            where[word], n = (r, c), n + 1
+            page += f"<td colspan={across} rowspan={down}>{word}"
+            c += across
+    text = op7_html.extract(page + "</table>")
+    found = {m.group(): (k, m.start()) for k, line in enumerate(text.split("\n")) for m in re.finditer(r"w\d+x+", line)}
+    assert set(found) == set(where)
+    columns: dict = {}
+    for word, (r, c) in where.items():
+        assert columns.setdefault(c, found[word][1]) == found[word][1], (word, text)
+    lines: dict = {}
+    for word, (r, _) in where.items():
+        assert lines.setdefault(r, found[word][0]) == found[word][0]
+    assert [columns[c] for c in sorted(columns)] == sorted(set(columns.values())) and [lines[r] for r in sorted(lines)] == sorted(set(lines.values()))
+
+
+def test_html_work_is_linear():
+    import time
+
+    def took(page):
+        began = time.perf_counter()
+        op7_html.extract(page)
+        return time.perf_counter() - began
+
+    for make in (lambda n: "<div>" * 390 + "</b>" * n, lambda n: "<div>" * n + "a" + "</i>" * n, lambda n: "<b>" * n + "</p>" * n, lambda n: "<li>" * n, lambda n: "<table><tr><td>" * n):
+        small, large = took(make(3000)), took(make(24_000))
+        assert large < 40 * max(small, 0.02)
+
+
 def trees(words):
     """HTML of random elements with a word in every text node, and the words that are painted."""
     inline = ["<b>{}</b>", "<a href='/hidden/x'>{}</a>", "<span class=hidden>{}</span>", "<svg viewBox='0'><g>{}</g><path d='M'/></svg>", "<!-- hidden -->{}", "{}<br>", "{}<img hidden>"]
-    block = ["<div style='overflow:hidden'>{}</div>", "<p>{}", "<section>{}</section>", "<ul><li>{}<li>{}</ul>", "<table><tr><td>{}<td>{}<tr>{}</table>", "<pre>{}</pre>", "<h2>{}</h2>", "<dialog open>{}</dialog>", "<blockquote>{}</div></blockquote>", "<select><option>{}<option>{}</select>", "<object>{}</object>", "<details>{}</details>", "<p aria-hidden=true>{}"]
+    block = ["<div style='overflow:hidden'>{}</div>", "<p>{}", "<section>{}</section>", "<ul><li>{}<li>{}</ul>", "<table><tr><td>{}<td>{}<tr>{}</table>", "<pre>{}</pre>", "<h2>{}</h2>", "<dialog open>{}</dialog>", "<blockquote>{}</div></blockquote>", "<select><option>{}<option>{}</select>", "<object>{}</object>", "<details open>{}</details>", "<p aria-hidden=true>{}"]
     unseen = ["<div hidden>{}</div>", "<span style='display:none'>{}</span>", "<template>{}</template>", "<dialog>{}</dialog>", "<div style='x:y;visibility: hidden'>{}</div>", "<script>{}</script>", "<noscript>{}</noscript>", "<!-- {} -->"]
     leaf = words.map(lambda w: (f" {w} ", [w]))
 
