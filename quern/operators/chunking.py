@@ -25,10 +25,11 @@ def fixed_windows(df: DataFrame, column: str, size: int = 2000, step: int = 1800
     """Windows of `size` characters every `step`; the last one ends with the text; blank windows are left out."""
     n = F.length(column)
     starts = F.sequence(F.lit(0), F.greatest(n - (size - step) - 1, F.lit(0)), F.lit(step))
-    cut = df.withColumn("start", F.explode(starts)).withColumn("content", F.substring(F.col(column), F.col("start") + 1, F.lit(size)))
-    cut = cut.where(~F.col("content").rlike(_BLANK))
-    index = F.row_number().over(W.partitionBy("doc_id").orderBy("start")) - 1
-    return cut.select("doc_id", index.cast("long").alias("chunk_index"), F.col("start").cast("long").alias("start"), "content", F.least(F.col("start") + size, n).cast("long").alias("stop"), n.cast("long").alias("doc_length"))
+    # Blank windows go before windows are numbered, so every row numbers its own and no text is shuffled.
+    filled = F.filter(starts, lambda at: ~F.substring(F.col(column), at + 1, F.lit(size)).rlike(_BLANK))
+    cut = df.select("*", F.posexplode(filled).alias("__index", "start"))
+    content = F.substring(F.col(column), F.col("start") + 1, F.lit(size))
+    return cut.select("doc_id", F.col("__index").cast("long").alias("chunk_index"), F.col("start").cast("long").alias("start"), content.alias("content"), F.least(F.col("start") + size, n).cast("long").alias("stop"), n.cast("long").alias("doc_length"))
 
 
 def pack(pieces: Column, limit: int, extra: int = 0, carry: int = 0, carry_size: int = 0) -> Column:

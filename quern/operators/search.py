@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.functions.stem import stemmed
 from quern.operators import wordindex as X
 from quern.operators.wordindex import small
 from quern.sources.scratch import materialize
@@ -64,18 +65,23 @@ def bm25(index: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
 FIELD_BOOSTS = {"title": 2.0, "headings": 1.5, "content": 1.0}
 
 
-def search_fields(docs: DataFrame, queries: DataFrame, boosts: dict[str, float] | None = None, filters: dict | None = None, page: int = 1, page_length: int = 10, preview: str = "content") -> DataFrame:
+def search_fields(docs: DataFrame, queries: DataFrame, boosts: dict[str, float] | None = None, filters: dict | None = None, page: int = 1, page_length: int = 10, preview: str = "content", stem: bool = False) -> DataFrame:
     """item_id, doc_id, score, rank, total, pages, preview: one page of each query's hits over several text fields of docs, each scored by
     BM25 within its own field times the field's boost, of the documents whose columns equal all filters. Fields that are null hold no
-    words; scores count all documents, as an index does, and filters choose among the hits."""
+    words; scores count all documents, as an index does, and filters choose among the hits. stem: words meet by their English stems."""
     boosts = boosts or FIELD_BOOSTS
     terms = lambda c: F.filter(T.words(c), lambda w: (F.length(w) >= 2) & ~w.isin(*T.INDEX_STOP_WORDS))
     fields = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), terms(f).alias("t")) for f in boosts])).alias("x"))
     rows = fields.select("doc_id", "x.field", F.size("x.t").alias("n"), F.explode("x.t").alias("term"))
-    index = materialize(rows.groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n")), "fields")
+    counted = rows.groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
+    wanted = query_terms(queries)
+    if stem:
+        counted = stemmed(counted).groupBy("doc_id", "field", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"), F.first("n").alias("n"))
+        wanted = stemmed(wanted).select("item_id", F.col("stem").alias("term")).distinct()
+    index = materialize(counted, "fields")
     sizes = index.groupBy("field").agg(F.round(F.sum(F.col("tf") / F.col("n"))).alias("total"), F.sum("tf").alias("words"))  # one row for each field
     sizes = sizes.select("field", "total", (F.col("words") / F.col("total")).alias("mean"))
-    wanted = materialize(query_terms(queries), "terms")
+    wanted = materialize(wanted, "terms")
     df = index.join(small(wanted.select("term").distinct()), "term", "left_semi").groupBy("field", "term").agg(F.count("*").alias("df"))
     asked = materialize(wanted.join(df, "term").join(F.broadcast(sizes), "field"), "asked")
     boost = F.create_map(*[F.lit(x) for p in boosts.items() for x in p])[F.col("field")]

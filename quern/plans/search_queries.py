@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import search as S
+from quern.operators.vectors import VectorIndex
 from quern.sources import derived as D
 from quern.sources.scratch import materialize
 
@@ -169,6 +170,21 @@ def _(spark, d):
     return S.vector_search(e.select("vec_id", "embedding"), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v")), 20, 0.1)
 
 
+@query("f7_vector_index_search")
+def _(spark, d):
+    """The same question set through coarse cells. Approximate; tests measure its recall against f7_vector_search."""
+    e = D.table(spark, d, "embeddings")
+    index = VectorIndex(e)
+    return index.search(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v")), 20, 0.1)
+
+
+@query("f9_stemmed_search")
+def _(spark, d):
+    """f9 over stems."""
+    docs = D.table(spark, d, "documents").select("doc_id", "lang", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("source").alias("headings"), F.col("text").alias("content"))
+    return S.search_fields(docs, D.user_queries(spark, d), filters={"lang": "en"}, stem=True)
+
+
 @query("f8_similar_by_id", f"WITH s AS (SELECT a.vec_id AS q, b.vec_id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) SELECT q, vec_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM s WHERE score >= 0.3 QUALIFY rank <= 10")
 def _(spark, d):
     e = D.table(spark, d, "embeddings")

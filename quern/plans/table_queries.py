@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quern.functions import tabular
 from quern.functions import text as T
 from quern.operators import chunking as C
+from quern.operators import code
 from quern.operators import links
 from quern.operators import metrics as M
 from quern.operators import search as S
@@ -203,19 +204,29 @@ def _(spark, d):
     return D.table(spark, d, "documents").select("doc_id", programming_language(made).alias("language"))
 
 
+def code_of(spark, d):
+    """doc_id, language, code: every line of every document as a function of a class, in five languages by doc_id; the line stands in a comment
+    and in a string, where its braces do not count."""
+    i = F.col("doc_id") % 5
+    language = F.element_at(F.array(*map(F.lit, code.FUNCTIONS)), (i + 1).cast("int"))
+    plain = lambda x: F.regexp_replace(x, r"[\\\\\"'`*/]", " ")
+
+    def body(line, n):
+        name = F.concat(F.lit("f"), n.cast("string"))
+        python = F.concat(F.lit("    def "), name, F.lit("(self, x):\n        # "), plain(line), F.lit("\n\n        return '{"), plain(line), F.lit("'\n"))
+        head = F.when(i == 1, F.concat(F.lit("function "), name, F.lit("(x) {"))).when(i == 2, F.concat(F.lit("  public static int "), name, F.lit("(int x) {"))).otherwise(F.concat(F.lit("int "), name, F.lit("(int x) {")))
+        braced = F.concat(head, F.lit("\n  // } "), plain(line), F.lit("\n  if (x) { s = \"{ "), plain(line), F.lit("\"; }\n}\n"))
+        return F.when(i == 0, python).otherwise(braced)
+
+    inner = F.array_join(F.transform(F.split("text", "\n"), body), "")
+    made = F.when(i == 0, F.concat(F.lit("class Made:\n"), inner)).when(i == 4, inner).otherwise(F.concat(F.lit("class Made {\n"), inner, F.lit("}\n")))
+    return D.table(spark, d, "documents").select("doc_id", language.alias("language"), made.alias("code"))
+
+
 @query("d7_code_elements")
 def _(spark, d):
-    """Definitions in code made of documents: start line, and the line before the next definition that is not indented deeper."""
-    from pyspark.sql import Window as W
-
-    made = F.concat(F.lit("class A:\n    def one(self):\n        return 1\n    def two(self):\n        return 2\ndef three():\n    return '"), F.substring_index("source", "\n", 1), F.lit("'\n"))
-    rows = D.table(spark, d, "documents").select("doc_id", F.posexplode(T.lines(made)).alias("line", "x"))
-    indent = F.length("x") - F.length(F.ltrim("x"))
-    rows = rows.select("doc_id", "line", "x", indent.alias("indent"), F.regexp_extract("x", r"^\s*(?:def|class)\s+(\w+)", 1).alias("name"), F.max("line").over(W.partitionBy("doc_id")).alias("last"))
-    heads = rows.where("name <> ''").alias("h")
-    ends = rows.where(F.length(F.trim("x")) > 0).select("doc_id", "line", "indent").alias("r")
-    full = heads.join(ends, (F.col("h.doc_id") == F.col("r.doc_id")) & (F.col("r.line") > F.col("h.line")) & (F.col("r.indent") <= F.col("h.indent")), "left")
-    return full.groupBy("h.doc_id", "h.line", "h.name", "h.last").agg((F.coalesce(F.min("r.line"), F.col("h.last") + 1) - 1).alias("end")).select("doc_id", "name", F.col("line").alias("start"), "end")
+    """Functions and classes in code made of whole documents, in five languages."""
+    return code.code_elements(code_of(spark, d), "code", "language")
 
 
 @query("d13_chunk_adaptive")

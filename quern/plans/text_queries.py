@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.functions.stem import stemmed
 from quern.operators import paths
 from quern.sources import derived as D
 
@@ -180,6 +181,15 @@ def _(spark, d):
     return D.table(spark, d, "documents").select("doc_id", F.size(terms).cast("long").alias("n_terms"), F.size(code).cast("long").alias("n_code"), F.size(path).cast("long").alias("n_path"), n_grams.alias("n_grams"))
 
 
+@query("c1_stemmed_terms")
+def _(spark, d):
+    """The stems of each document's terms; every distinct term is stemmed once."""
+    terms = F.filter(T.words("text"), lambda x: F.length(x).between(2, 40) & ~x.isin(*T.INDEX_STOP_WORDS))
+    rows = D.table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(terms)).alias("term"))
+    found = stemmed(rows).groupBy("doc_id").agg(F.count_distinct("term").alias("n_terms"), F.sort_array(F.collect_set("stem")).alias("stems"))
+    return found.select("doc_id", "n_terms", F.size("stems").cast("long").alias("n_stems"), F.md5(F.array_join("stems", " ")).alias("stems_md5"))
+
+
 @query("c2_extract_title", f"WITH {D.MARKDOWN_SQL} SELECT doc_id, trim(regexp_extract(md, '(?m)^#[ \\t]+(.+)$', 1)) AS title FROM md")
 def _(spark, d):
     return D.markdown(spark, d).select("doc_id", T.title("md", F.lit("notes/getting-started_guide.md")).alias("title"))
