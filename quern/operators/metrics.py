@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -203,13 +205,95 @@ def cooled_alerts(points: DataFrame, key: str, seconds: int, ts: str = "ts") ->
     return folded(points, [key], [F.unix_micros(ts), F.col("event_id")], step, "event_id long")
 
 
-def token_bucket(requests: DataFrame, key: str, rate: float, burst: float, ts: str = "ts") -> DataFrame:
-    """admitted and wait of each request: a bucket of `burst` tokens fills at `rate` a second, a request takes one."""
+def ranges(rows: DataFrame, order: list[str], tag: str) -> DataFrame:
+    """rows dealt out in one order over all of them, with `part`, the number of the range that a row lies in: written, so that every later pass
+    meets the same ranges. A key with any share of the rows lies in as many ranges as it takes."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id())
+    return materialize(dealt, tag)
+
+
+def in_order(dealt: DataFrame, order: list[str]) -> DataFrame:
+    """Every range in one task, in order."""
+    return dealt.repartition("part").sortWithinPartitions("part", *order)
+
 
-    def step(state, t, event_id):
-        tokens, last = state or (burst, t)
-        tokens = min(burst, tokens + (t - last) * rate)
-        ok = tokens >= 1
-        return (tokens - 1 if ok else 0.0, t), (event_id, ok, 0.0 if ok else (1 - tokens) / rate)
+def clamped(first: tuple[int, int, int], then: tuple[int, int, int]) -> tuple[int, int, int]:
+    """One after the other, of the maps (a, low, high): x to x + a, but low at least and high at most. It is such a map again."""
+    (a, low, high), (b, least, most) = first, then
+    return a + b, min(most, max(least, low + b)), min(most, max(least, high + b))
 
-    return folded(requests, [key], [F.unix_micros(ts) / 1e6, F.col("event_id")], step, "event_id long, admitted boolean, wait double")
+
+def token_bucket(requests: DataFrame, key: str, rate: float, burst: float, ts: str = "ts") -> DataFrame:
+    """admitted and wait of each request: a bucket of `burst` tokens fills at `rate` a second, a request takes one; a request that is refused
+    leaves the bucket empty. By key, time and event_id.
+
+    What a request does to a bucket is an addition between two bounds, and so is what a run of requests does. Requests are therefore dealt
+    into ranges of one order over all keys; a first pass reduces the runs at both ends of each range to such maps, the driver applies these
+    (two for each range) one after the other, and a second pass begins every range with the state it then knows. Tokens are counted
+    in whole units, so the result does not depend on the ranges, and one key's requests are not one task's."""
+    exact = Fraction(rate).limit_denominator(1_000_000)
+    unit, fill = exact.denominator * 1_000_000, exact.numerator  # units of a token, and units that a microsecond brings
+    full = int(burst * unit)
+    take = lambda dt: (dt * fill - unit, 0, full - unit)
+    order = [key, "t", "event_id"]
+    dealt = ranges(requests.select(key, F.unix_micros(ts).alias("t"), "event_id"), order, "requests")
+
+    def runs(batches):
+        """(part, key, t): rows in order."""
+        for batch in batches:
+            yield batch, zip(batch.column("part").to_pylist(), batch.column(key).to_pylist(), batch.column("t").to_pylist())
+
+    def reduce(batches):
+        found: list = []  # the runs of the range in hand: (part, key, first time, last time, map)
+
+        def ends():
+            out = found[:1] + (found[-1:] if len(found) > 1 else [])
+            return [(p, pickle.dumps((k, a, b, m, n == 0, n == len(out) - 1))) for n, (p, k, a, b, m) in enumerate(out)]
+
+        rows: list = []
+        for _, part_rows in runs(batches):
+            for part, k, t in part_rows:
+                if found and found[-1][0] != part:
+                    rows += ends()
+                    found = []
+                if found and found[-1][1] == k:
+                    _, _, first, last, m = found[-1]
+                    found[-1] = part, k, first, t, clamped(m, take(t - last))
+                else:
+                    del found[1:]  # only the first and the last run of a range reach into others
+                    found.append((part, k, t, t, take(0)))
+        rows += ends()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "run"])
+
+    states: dict[int, tuple] = {}
+    carried = None  # (key, units, time of the last request) at the end of the range before
+    rows = sorted(in_order(dealt, order).select("part", key, "t").mapInArrow(reduce, "part int, run binary").collect(), key=lambda r: (r[0], not pickle.loads(r[1])[4]))
+    for part, packed in rows:
+        k, first, last, (a, low, high), begins, closes = pickle.loads(packed)
+        known = begins and carried is not None and carried[0] == k
+        units, before = carried[1:] if known else (full, first)
+        if known:
+            states[part] = units, before
+        if closes:
+            carried = k, min(high, max(low, units + (first - before) * fill + a)), last
+
+    def admit(batches):
+        held, now, state = None, object(), None
+        for batch, part_rows in runs(batches):
+            ok, wait = [], []
+            for part, k, t in part_rows:
+                if part != held:
+                    held, now, state = part, k, states.get(part)
+                elif k != now:
+                    now, state = k, None
+                units, last = state or (full, t)
+                units = min(full, units + (t - last) * fill)
+                ok.append(units >= unit)
+                wait.append(0.0 if ok[-1] else (unit - units) / (fill * 1_000_000))
+                state = max(units - unit, 0), t
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("event_id"), pa.array(ok, pa.bool_()), pa.array(wait, pa.float64())], [key, "event_id", "admitted", "wait"])
+
+    kind = dealt.schema[key].dataType.simpleString()
+    return in_order(dealt, order).select("part", key, "t", "event_id").mapInArrow(admit, f"`{key}` {kind}, event_id long, admitted boolean, wait double")
