@@ -138,8 +138,43 @@ def by_line_start(df: DataFrame, column: str, starts: str) -> DataFrame:
     return groups.where(~F.col("content").rlike(_BLANK)).select("doc_id", index.cast("long").alias("chunk_index"), "content")
 
 
-def by_heading(df: DataFrame, column: str) -> DataFrame:
-    return by_line_start(df, column, r"^#{1,6}\s+\S")
+_HEADING = re.compile(r"\n(?=#{1,6}[ \t\n\r\f]+[^ \t\n\r\f])")
+#: Where an oversize Markdown text is cut, in order of preference: what begins there, from which share of the limit on, and whether the cut is
+#: behind it.
+BREAKS = [(r"\n#+[ \t\n\r\f]+", 0.5, False), (r"\n[ \t\n\r\f]*\n", 0.7, False), (r"\n[-*+][ \t\n\r\f]+", 0.8, False), (r"[.!?][ \t\n\r\f]+", 0.8, True)]
+
+
+def _broken(text: str, limit: int) -> Iterator[str]:
+    """text in pieces: as long as it is over the limit, the lines that take it there are searched for a break."""
+    white, breaks = " \t\n\r\f", [(re.compile(shape), int(limit * share), behind) for shape, share, behind in BREAKS]
+    while len(text) > limit:
+        end = text.find("\n", limit + 1)
+        lines = text if end < 0 else text[:end]
+        at = int(limit * 0.8)
+        for shape, least, behind in breaks:
+            # A match begins behind its share, or, if the cut is behind it, ends there.
+            found = shape.search(lines, least - 1 if behind else least + 1)
+            if found:
+                at = found.end() if behind else found.start()
+                break
+        yield text[:at].strip(white)
+        text = text[at:].lstrip(white)
+    yield text.strip(white)
+
+
+def by_heading(df: DataFrame, column: str, limit: int = 2000) -> DataFrame:
+    """Markdown sections, each from one heading to the next; those over the limit are broken before a heading, at a blank line, before a list item
+    or behind a sentence, in this order, and else at four fifths of the limit. Pieces are trimmed, blank ones left out."""
+    key = df.schema["doc_id"].dataType.simpleString()
+
+    def cut(batches):
+        for batch in batches:
+            for doc, text in zip(batch.column(0), batch.column(1).to_pylist()):
+                pieces = [p for section in _HEADING.split(text or "") for p in _broken(section, limit) if p]
+                if pieces:
+                    yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(pieces), batch.column(0).type), pa.array(range(len(pieces)), pa.int64()), pa.array(pieces)], ["doc_id", "chunk_index", "content"])
+
+    return df.select("doc_id", column).mapInArrow(cut, f"doc_id {key}, chunk_index long, content string")
 
 
 def by_definition(df: DataFrame, column: str) -> DataFrame:

@@ -154,7 +154,19 @@ def _(spark, d):
     return C.by_words(D.table(spark, d, "documents"), "text").select("doc_id", "chunk_index", F.md5("content").alias("content_md5"))
 
 
-@query("d18_chunk_markdown", f"WITH {D.MARKDOWN_SQL}, ln AS (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(md, chr(10)) AS l FROM md)), s AS (SELECT *, sum(regexp_matches(line, '^#{{1,6}}\\s+\\S')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM ln), g AS (SELECT doc_id, s, string_agg(line, chr(10) ORDER BY i) AS c FROM s GROUP BY 1, 2) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS chunk_index, md5(c) AS content_md5 FROM g WHERE trim(c, ' ' || chr(10)) <> ''")
+def _first(shape: str, start: int) -> str:
+    """The place, from 0, of the first match at `start` or behind it in p; null if there is none."""
+    return f"CASE WHEN regexp_matches(p[{start + 1}:], '{shape}') THEN strpos(p[{start + 1}:], regexp_extract(p[{start + 1}:], '{shape}')) - 1 + {start} END"
+
+
+_BREAK = ", ".join(f"{_first(shape, int(2000 * share) - 1)} + length(regexp_extract(p[{int(2000 * share)}:], '{shape}'))" if behind else _first(shape, int(2000 * share) + 1) for shape, share, behind in C.BREAKS)
+_WHITE = "' ' || chr(9) || chr(10) || chr(12) || chr(13)"
+
+
+@query("d18_chunk_markdown", rf"""WITH RECURSIVE {D.MARKDOWN_SQL}, ln AS (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(md, chr(10)) AS l FROM md)), s AS (SELECT *, sum((i > 0 AND regexp_matches(line, '^#{{1,6}}[ \t\n\r\f]+[^ \t\n\r\f]'))::INT) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM ln),
+ g AS (SELECT doc_id, s, string_agg(line, chr(10) ORDER BY i) AS t FROM s GROUP BY 1, 2), r AS (SELECT doc_id, s, 0 AS k, t, NULL::VARCHAR AS piece FROM g UNION ALL
+ SELECT doc_id, s, k + 1, CASE WHEN p IS NOT NULL THEN ltrim(t[c + 1:], {_WHITE}) END, trim(CASE WHEN p IS NULL THEN t ELSE t[:c] END, {_WHITE}) FROM (SELECT *, coalesce({_BREAK}, 1600) AS c FROM (SELECT doc_id, s, k, t, CASE WHEN length(t) > 2000 THEN CASE WHEN contains(t[2002:], chr(10)) THEN t[:2000 + strpos(t[2002:], chr(10))] ELSE t END END AS p FROM r WHERE t IS NOT NULL)))
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s, k) - 1 AS chunk_index, md5(piece) AS content_md5 FROM r WHERE piece <> ''""")
 def _(spark, d):
     return C.by_heading(D.markdown(spark, d), "md").select("doc_id", "chunk_index", F.md5("content").alias("content_md5"))
 
