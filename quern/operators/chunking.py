@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -17,6 +18,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators import paths as P
+from quern.sources.scratch import materialize
 
 _BLANK = r"^\s*$"
 
@@ -478,7 +481,7 @@ def _within(parts: DataFrame, key: list[str], strategy, **how) -> DataFrame:
 
 def hybrid(df: DataFrame, column: str, limit: int = 2000) -> DataFrame:
     """Structural chunks; those over the limit are cut again semantically."""
-    first = structural(df, column, limit)
+    first = materialize(structural(df, column, limit), "structural")
     long = F.length("content") > limit
     again = _within(first.where(long), ["doc_id", "chunk_index"], semantic, limit=limit)
     every = first.where(~long).select("doc_id", "chunk_index", F.lit(0).cast("long").alias("sub"), "kind", "content").union(again.select("doc_id", "chunk_index", "sub", "kind", "content"))
@@ -503,6 +506,49 @@ def adaptive(df: DataFrame, column: str, long: int = 3000) -> DataFrame:
     return every.select("doc_id", index.cast("long").alias("chunk_index"), "sec", "kind", "content")
 
 
+# What tells of code in a text in lower case; the last one is written as it is looked for, and so never found.
+CODE_INDICATORS = ["def ", "function ", "class ", "import ", "from ", "public class", "private ", "void ", "int main", "#include", "using namespace", "<?php", "<!DOCTYPE"]
+
+
+def content_kind(text: str, path: Column | None = None) -> Column:
+    """markdown, structured_text, code, mixed or text: by the ending of the path if it says so, else by what the text holds."""
+    t, low, n = F.col(text), F.lower(text), F.greatest(F.length(text), F.lit(1))
+    i = lambda c: c.cast("int")
+    marks = 3 * i(t.rlike(r"(?m)^#{1,6}\s+")) + 2 * i(F.contains(t, F.lit("```"))) + i(t.rlike(r"\[.*\]\(.*\)")) + i(t.rlike(r"(?m)^\s*[-*+]\s+")) + i(t.rlike(r"(?m)^\|.*\|$"))
+    code = sum((i(F.contains(low, F.lit(x))) for x in CODE_INDICATORS), F.lit(0))
+    blank_lines = (F.length(t) - F.length(F.replace(t, F.lit("\n\n"), F.lit("")))) / 2
+    found = (
+        F.when(marks >= 3, "markdown").when((code >= 2) | (F.regexp_count(t, F.lit("[{}]")) / n > 0.01) | (F.regexp_count(t, F.lit(";")) / n > 0.005), "code")
+        .when(blank_lines > F.length(t) / 200, "structured_text").when((marks > 0) & (code > 0), "mixed").otherwise("text")
+    )
+    if path is None:
+        return found
+    end = P.ending(path)
+    return F.when(end.isin("md", "markdown"), "markdown").when(end == "rst", "structured_text").when(end.isin(*P.ANALYSED_AS_CODE), "code").otherwise(found)
+
+
+def chosen_strategy(text: str, path: Column | None = None) -> Column:
+    """hybrid for Markdown, structural for code and for texts with fences, semantic for paragraphs of over 500 words on average, else hybrid."""
+    kind = content_kind(text, path)
+    mean = T.word_count(text) / F.size(F.split(text, r"\n\s*\n"))
+    return F.when(kind == "markdown", "hybrid").when((kind == "code") | F.contains(text, F.lit("```")), "structural").when(mean > 500, "semantic").otherwise("hybrid")
+
+
+def document_chunks(df: DataFrame, column: str, path: Column | None = None, least: int = 200) -> DataFrame:
+    """The whole way from documents to a chunk table: every document is analysed, cut by the strategy that suits it, its short chunks joined,
+    overlaps taken from the chunk before, ids, neighbours and scores added, and repeated chunks left out. Blank documents have no chunks."""
+    routed = df.where(~F.col(column).rlike(_BLANK)).withColumn("__strategy", chosen_strategy(column, path))
+    parts = []
+    for strategy in ("hybrid", "structural", "semantic"):
+        cut = merge_short(chunk(routed.where(F.col("__strategy") == strategy).drop("__strategy"), column, strategy).select("doc_id", "chunk_index", "content"), least)
+        by_doc = W.partitionBy("doc_id")
+        before = by_doc.orderBy("chunk_index").rowsBetween(W.unboundedPreceding, -1)
+        n = F.length("content")
+        placed = cut.withColumns({"start": F.coalesce(F.sum(n).over(before), F.lit(0)).cast("long"), "doc_length": F.sum(n).over(by_doc).cast("long")})
+        parts.append(deduped(scored(enriched(with_overlap(placed)))).withColumn("strategy", F.lit(strategy)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 STRATEGIES = {"sentence": by_sentence, "paragraph": by_paragraph, "words": by_words, "heading": by_heading, "definition": by_definition, "recursive": recursive, "semantic": semantic, "structural": structural, "hybrid": hybrid, "adaptive": adaptive, "fixed": fixed_windows}
 
 

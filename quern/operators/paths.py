@@ -28,6 +28,8 @@ MIMES = {
     "application/json": ["json"], "application/xml": ["xml"], "application/x-yaml": ["yml", "yaml"], "text/x-python": ["py"], "text/x-java": ["java"],
     "text/x-c": ["c", "h"], "text/x-c++": ["cpp"], "application/pdf": ["pdf"], "image/png": ["png"], "application/sql": ["sql"],
 }
+#: Endings that the analysis of documents takes for code.
+ANALYSED_AS_CODE = ["py", "js", "ts", "java", "cpp", "c", "cs", "go", "rs", "rb", "php", "swift", "kt", "scala", "r", "sh", "ps1", "sql", "tex", "html", "css", "xml", "json", "yaml", "yml"]
 
 
 def ending(path: Column | str) -> Column:

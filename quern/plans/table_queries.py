@@ -173,14 +173,16 @@ def _(spark, d):
     return D.table(spark, d, "events").select("event_id", *(c.alias(n) for n, c in code_shape("props").items()))
 
 
-@query("c32_detect_content_type", r"WITH s AS (SELECT doc_id, text, 3 * regexp_matches(text, '(?m)^#{1,6}\s+')::INT + 2 * contains(text, '```')::INT + regexp_matches(text, '\[.*\]\(.*\)')::INT + regexp_matches(text, '(?m)^\s*[-*+]\s+')::INT + regexp_matches(text, '(?m)^\|.*\|$')::INT AS md, contains(lower(text), 'def ')::INT + contains(lower(text), 'class ')::INT + contains(lower(text), 'import ')::INT + contains(lower(text), 'from ')::INT AS code, (length(text) - length(replace(replace(text, '{', ''), '}', ''))) / greatest(length(text), 1) AS braces, (length(text) - length(replace(text, ';', ''))) / greatest(length(text), 1) AS semis FROM documents) SELECT doc_id, CASE WHEN md >= 3 THEN 'markdown' WHEN code >= 2 OR braces > 0.01 OR semis > 0.005 THEN 'code' WHEN md > 0 AND code > 0 THEN 'mixed' ELSE 'text' END AS kind FROM s")
-def _(spark, d):
-    t, low, n = F.col("text"), F.lower("text"), F.greatest(F.length("text"), F.lit(1))
-    i = lambda c: c.cast("int")
-    md = 3 * i(t.rlike(r"(?m)^#{1,6}\s+")) + 2 * i(F.contains(t, F.lit("```"))) + i(t.rlike(r"\[.*\]\(.*\)")) + i(t.rlike(r"(?m)^\s*[-*+]\s+")) + i(t.rlike(r"(?m)^\|.*\|$"))
-    code = sum((i(F.contains(low, F.lit(x))) for x in ("def ", "class ", "import ", "from ")), F.lit(0))
-    kind = F.when(md >= 3, "markdown").when((code >= 2) | (F.regexp_count(t, F.lit("[{}]")) / n > 0.01) | (F.regexp_count(t, F.lit(";")) / n > 0.005), "code").when((md > 0) & (code > 0), "mixed").otherwise("text")
-    return D.table(spark, d, "documents").select("doc_id", kind.alias("kind"))
+#: A document's path: its source with an ending by doc_id; six of nine have none that says anything.
+_PATH_SQL = "source || CASE doc_id % 9 WHEN 0 THEN '.md' WHEN 1 THEN '.rst' WHEN 2 THEN '.py' ELSE '.txt' END"
+
+
+@query("c32_detect_content_type", rf"""WITH s AS (SELECT doc_id, text, regexp_extract({_PATH_SQL}, '\.([^./]+)$', 1) AS ending, 3 * regexp_matches(text, '(?m)^#{{1,6}}\s+')::INT + 2 * contains(text, '```')::INT + regexp_matches(text, '\[.*\]\(.*\)')::INT + regexp_matches(text, '(?m)^\s*[-*+]\s+')::INT + regexp_matches(text, '(?m)^\|.*\|$')::INT AS md,
+ {' + '.join(f"contains(lower(text), '{x}')::INT" for x in C.CODE_INDICATORS)} AS code, (length(text) - length(replace(replace(text, '{{', ''), '}}', ''))) / greatest(length(text), 1) AS braces, (length(text) - length(replace(text, ';', ''))) / greatest(length(text), 1) AS semis, (length(text) - length(replace(text, chr(10) || chr(10), ''))) / 2 AS blanks FROM documents)
+ SELECT doc_id, CASE WHEN ending = 'md' THEN 'markdown' WHEN ending = 'rst' THEN 'structured_text' WHEN ending = 'py' THEN 'code' WHEN md >= 3 THEN 'markdown' WHEN code >= 2 OR braces > 0.01 OR semis > 0.005 THEN 'code' WHEN blanks > length(text) / 200 THEN 'structured_text' WHEN md > 0 AND code > 0 THEN 'mixed' ELSE 'text' END AS kind FROM s""")
+def _(spark, d):
+    end = F.when(F.col("doc_id") % 9 == 0, ".md").when(F.col("doc_id") % 9 == 1, ".rst").when(F.col("doc_id") % 9 == 2, ".py").otherwise(".txt")
+    return D.table(spark, d, "documents").select("doc_id", C.content_kind("text", F.concat("source", end)).alias("kind"))
 
 
 # What functions, classes and imports look like.
