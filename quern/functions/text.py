@@ -223,3 +223,15 @@ def text_indicators(c) -> dict[str, Column]:
         "unique_ratio": F.round(F.size(F.array_distinct(w)) / n, 6),
         "long_ratio": F.round(F.size(F.filter(w, lambda x: F.length(x) > 6)) / n, 6),
     }
+
+
+def truncated(text: Column | str, most: Column | int, least: int = 50) -> Column:
+    """At most `most` tokens (of four characters): back to the last end of a sentence if that lies beyond 70 %, else to the last blank beyond 80 %,
+    with an ellipsis; null if less than `least` tokens would be left."""
+    c = F.col(text) if isinstance(text, str) else text
+    size = (F.lit(most) if isinstance(most, int) else most).cast("int") * 4
+    head = F.substring(c, F.lit(1), size)
+    dot = F.when(head.rlike("[.!?]"), F.length(F.regexp_replace(head, "(?s)[^.!?]*$", ""))).otherwise(0)
+    blank = F.when(F.contains(head, F.lit(" ")), F.length(F.regexp_replace(head, "(?s)[^ ]*$", "")) - 1).otherwise(0)
+    cut = F.when(dot > size * 0.7, F.substring(head, F.lit(1), dot)).when(blank > size * 0.8, F.concat(F.substring(head, F.lit(1), blank), F.lit("..."))).otherwise(head)
+    return F.when(F.length(c) <= size, c).when(size >= 4 * least, cut)

@@ -252,6 +252,20 @@ def within_budget(df: DataFrame, group: str, order: list, size: str, budget: int
     return rows.withColumn("__over", over).where("__over = 0").drop("__sum", "__over")
 
 
+def context(ranked: DataFrame, texts: DataFrame, group: str, budget: int, spare: int = 100) -> DataFrame:
+    """group, doc_id, rank, tokens, truncated, place: of each group's ranked rows (with their tokens) those that fit the budget, best first; the
+    first that does not fit is truncated to what is left, if that is over `spare` tokens, and ends the choice; then places in document order.
+    texts: doc_id, text; only those of truncated rows are read."""
+    w = W.partitionBy(group).orderBy("rank")
+    rows = ranked.withColumn("__sum", F.sum("tokens").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    rows = materialize(rows.withColumn("__left", budget - F.col("__sum") + F.col("tokens")).where("__left >= 0"), "chosen")
+    whole = rows.where(F.col("__sum") <= budget).select(group, "doc_id", "rank", "tokens", F.lit(False).alias("truncated"))
+    over = rows.where((F.col("__sum") > budget) & (F.col("__left") > spare))
+    cut = texts.join(small(over), "doc_id").withColumn("__cut", T.truncated("text", F.col("__left"))).where("__cut is not null")
+    cut = cut.select(group, "doc_id", "rank", T.tokens_chunk("__cut").alias("tokens"), F.lit(True).alias("truncated"))
+    return whole.union(cut).withColumn("place", F.row_number().over(W.partitionBy(group).orderBy("doc_id")).cast("long"))
+
+
 def diverse(ranked: DataFrame, k: int, alike: float = 0.95, window: int = 5) -> DataFrame:
     """Greedy choice down the ranking, k of each query. A source that already has its share (k over the number of sources, 1 at least) is
     skipped once more than half is filled, if the row's words nearly equal those of one of the last `window` kept rows of that source. A

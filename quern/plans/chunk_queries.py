@@ -343,8 +343,8 @@ def _(spark, d):
     return c.groupBy("quality", "size").agg(F.count("*").alias("n"))
 
 
-@query("g19_chunk_quality_report", f"WITH {CH}, {_SCORES} SELECT round(avg((coherence >= 0.7)::INT), 6) AS coherent, round(avg((len(regexp_extract_all(content, '```')) % 2 = 0)::INT), 6) AS fences_even, count(*) FILTER (length(content) > 2000) AS oversized, round(avg((length(content) < 200)::INT), 6) AS undersized, avg(length(content)) BETWEEN 1050 AND 1950 AS mean_fits FROM sq")
+@query("g19_chunk_quality_report", f"WITH {CH}, {_SCORES} SELECT round(avg((coherence >= 0.95)::INT), 6) AS coherent, round(avg((len(regexp_extract_all(content, '```')) % 2 = 0)::INT), 6) AS fences_even, count(*) FILTER (length(content) > 2000) AS oversized, round(avg((length(content) < 200)::INT), 6) AS undersized, avg(length(content)) BETWEEN 1050 AND 1950 AS mean_fits FROM sq")
 def _(spark, d):
     n = F.length("content")
     share = lambda c: F.round(F.avg(c.cast("int")), 6)
-    return C.scored(D.chunks(spark, d)).agg(share(F.col("coherence") >= 0.7).alias("coherent"), share(F.regexp_count("content", F.lit("```")) % 2 == 0).alias("fences_even"), F.count_if(n > 2000).alias("oversized"), share(n < 200).alias("undersized"), F.avg(n).between(1050, 1950).alias("mean_fits"))
+    return C.scored(D.chunks(spark, d)).agg(share(F.col("coherence") >= 0.95).alias("coherent"), share(F.regexp_count("content", F.lit("```")) % 2 == 0).alias("fences_even"), F.count_if(n > 2000).alias("oversized"), share(n < 200).alias("undersized"), F.avg(n).between(1050, 1950).alias("mean_fits"))

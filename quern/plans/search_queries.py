@@ -212,9 +212,9 @@ def _(spark, d):
 _OVERLAP = f"wa AS (SELECT item_id, list_distinct(regexp_extract_all(lower(query), '{T.WORD}')) AS a FROM q), wb AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '{T.WORD}')) AS b FROM documents), ov AS (SELECT item_id, doc_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM wa, wb WHERE list_has_any(a, b))"
 
 
-@query("f11_lexical_fallback_search", f"WITH {Q}, {_OVERLAP} SELECT item_id, doc_id, similarity, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rank FROM ov WHERE similarity > 0.02 QUALIFY rank <= 10")
+@query("f11_lexical_fallback_search", f"WITH {Q}, {_OVERLAP} SELECT item_id, doc_id, similarity, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rank FROM ov WHERE similarity > 0.1 QUALIFY rank <= 10")
 def _(spark, d):
-    return S.top(S.word_overlap(D.user_queries(spark, d), D.table(spark, d, "documents"), 0.02), "item_id", "similarity", "doc_id", 10)
+    return S.top(S.word_overlap(D.user_queries(spark, d), D.table(spark, d, "documents"), 0.1), "item_id", "similarity", "doc_id", 10)
 
 
 @query("f12_find_similar_content", f"WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '{T.WORD}')) AS w FROM documents), s AS (SELECT a.doc_id AS item_id, b.doc_id, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity FROM w a, w b WHERE a.doc_id % 50 = 0 AND a.doc_id <> b.doc_id) SELECT item_id, doc_id, similarity, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rank FROM s WHERE similarity > 0.3 QUALIFY rank <= 10")
@@ -291,10 +291,16 @@ def _(spark, d):
     return full.withColumn("r", F.row_number().over(W.partitionBy("item_id", "strategy", "source").orderBy("rank"))).where("r = 1").select("item_id", "strategy", "source", "doc_id")
 
 
-@query("f20_context_budget_select", f"WITH {Q}, {_bm25_sql('documents', 'doc_id', 'text', 20)}, t AS (SELECT item_id, doc_id, rank, greatest(1, length(text) // 4) AS tokens FROM bm JOIN documents USING (doc_id)), r AS (SELECT *, sum(tokens) OVER (PARTITION BY item_id ORDER BY rank) AS s FROM t), o AS (SELECT *, max((s > 8000)::INT) OVER (PARTITION BY item_id ORDER BY rank) AS o FROM r) SELECT item_id, doc_id, rank, tokens FROM o WHERE o = 0")
+@query("f20_context_budget_select", f"""WITH {Q}, {_bm25_sql('documents', 'doc_id', 'text', 20)}, t AS (SELECT item_id, doc_id, rank, text, greatest(1, length(text) // 4) AS tokens FROM bm JOIN documents USING (doc_id)), r AS (SELECT *, sum(tokens) OVER (PARTITION BY item_id ORDER BY rank) AS s FROM t),
+ o AS (SELECT *, (8000 - s + tokens)::INT AS room FROM r WHERE s - tokens <= 8000), h AS (SELECT *, text[1:room * 4] AS h FROM o WHERE s > 8000 AND room > 100),
+ p AS (SELECT *, CASE WHEN regexp_matches(h, '[.!?]') THEN length(regexp_replace(h, '(?s)[^.!?]*$', '')) ELSE 0 END AS dot, CASE WHEN contains(h, ' ') THEN length(regexp_replace(h, '(?s)[^ ]*$', '')) - 1 ELSE 0 END AS sp FROM h),
+ c AS (SELECT item_id, doc_id, rank, length(CASE WHEN length(text) <= room * 4 THEN text WHEN dot > room * 4 * 0.7::DOUBLE THEN h[1:dot] WHEN sp > room * 4 * 0.8::DOUBLE THEN h[1:sp] || '...' ELSE h END) AS n FROM p),
+ e AS (SELECT item_id, doc_id, rank, tokens, false AS truncated FROM o WHERE s <= 8000 UNION ALL SELECT item_id, doc_id, rank, greatest(1, n // 4), true FROM c)
+SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS place FROM e""")
 def _(spark, d):
-    best = S.bm25(index(spark, d), D.user_queries(spark, d), "doc_id", 20).join(D.table(spark, d, "documents").select("doc_id", T.tokens_chunk("text").alias("tokens")), "doc_id")
-    return S.within_budget(best, "item_id", ["rank"], "tokens", 8000).select("item_id", "doc_id", "rank", "tokens")
+    docs = D.table(spark, d, "documents")
+    best = S.bm25(index(spark, d), D.user_queries(spark, d), "doc_id", 20).join(docs.select("doc_id", T.tokens_chunk("text").alias("tokens")), "doc_id")
+    return S.context(best.select("item_id", "doc_id", "rank", "tokens"), docs.select("doc_id", "text"), "item_id", 8000)
 
 
 @query("f21_context_score", f"WITH {Q}, {_bm25_sql('documents', 'doc_id', 'text', 5)}, w AS (SELECT item_id, doc_id, list_distinct(string_split(lower(query), ' ')) AS a, list_distinct(regexp_split_to_array(lower(text), '\\s+')) AS b FROM bm JOIN documents USING (doc_id) JOIN q USING (item_id)) SELECT item_id, doc_id, round(0.4::DOUBLE * 0.8::DOUBLE + 0.3::DOUBLE * len(list_intersect(a, b)) / len(a), 6) AS score FROM w")
@@ -305,11 +311,13 @@ def _(spark, d):
     return full.select("item_id", "doc_id", F.round(0.4 * 0.8 + 0.3 * F.size(F.array_intersect(a, b)) / F.size(a), 6).alias("score"))
 
 
-@query("f22_context_truncate_chars", f"WITH {Q}, {_bm25_sql('documents', 'doc_id', 'text', 20)}, t AS (SELECT item_id, doc_id, rank, length(text) AS n FROM bm JOIN documents USING (doc_id)), r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY item_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM t) SELECT item_id, doc_id, rank, least(n, 8000 - before) AS kept FROM r WHERE before < 8000")
+@query("f22_context_truncate_chars", f"WITH {Q}, {_bm25_sql('documents', 'doc_id', 'text', 20)}, t AS (SELECT item_id, doc_id, rank, length(text) AS n FROM bm JOIN documents USING (doc_id)), r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY item_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM t) SELECT item_id, doc_id, rank, CASE WHEN before + n <= 8000 THEN n ELSE 8000 - before - 50 + 3 END AS kept, before + n > 8000 AS truncated FROM r WHERE before + n <= 8000 OR (before <= 8000 AND 8000 - before > 100)")
 def _(spark, d):
+    """Whole documents up to 8000 characters; the next one, if over 100 are left, cut to 50 less and an ellipsis; then no more."""
     t = S.bm25(index(spark, d), D.user_queries(spark, d), "doc_id", 20).join(D.table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("n")), "doc_id")
     before = F.coalesce(F.sum("n").over(W.partitionBy("item_id").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return t.withColumn("before", before).where("before < 8000").select("item_id", "doc_id", "rank", F.least("n", 8000 - F.col("before")).alias("kept"))
+    fits, left = F.col("before") + F.col("n") <= 8000, 8000 - F.col("before")
+    return t.withColumn("before", before).where(fits | (left > 100)).select("item_id", "doc_id", "rank", F.when(fits, F.col("n")).otherwise(left - 50 + 3).alias("kept"), (~fits).alias("truncated"))
 
 
 @query("f23_metadata_only_search", f"WITH {D.chunks_sql()}, f AS (SELECT doc_id, chunk_index, content FROM chunks JOIN documents USING (doc_id) WHERE lang = 'de') SELECT doc_id, count(*) AS n, array_to_string(list(content[1:40] ORDER BY chunk_index)[1:3], '|') AS previews FROM f GROUP BY 1")
