@@ -33,7 +33,7 @@ MODEL = "piece_bpe_32k.model"
 #: Fixed values of the public model format: kinds of pieces and the mark of a blank.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BLANK = "▁"
-#: Segments in hand, segments whose pieces are kept (twice as many at most), and the longest that is kept.
+#: Segments in hand, segments whose pieces a worker keeps from task to task (twice as many at most: some 200 MB), and the longest that is kept.
 BLOCK, MEMO, MEMO_LENGTH = 1 << 16, 400_000, 48
 #: Up to so many characters, neighbours are compared again after every merge; beyond, a heap holds them.
 SHORT = 24
@@ -354,22 +354,11 @@ def model(path: str) -> Model:
     return Model(path)
 
 
-def _forgetting(m: Model, one):
-    """one, with a memory that ends with its task: workers outlive tasks."""
-
-    def forget():
-        m.young, m.old = {}, {}
-
-    one.close = forget
-    return one
-
-
 def encode(df: DataFrame, path: str, carry: list[str], text: str = "text") -> DataFrame:
     """The columns carry, `ids array<int>`, and the byte spans `starts array<long>`, `ends array<long>` of the pieces of every text."""
 
     def make():
-        m = model(path)
-        return _forgetting(m, lambda t: m.encode(t))
+        return model(path).encode
 
     return per_row(df, carry, text, "ids array<int>, starts array<long>, ends array<long>", make)
 
@@ -401,7 +390,7 @@ def digests(df: DataFrame, path: str, carry: list[str], text: str = "text") -> D
                 n += len(numbers)
             return n, ids.hexdigest(), decoded.hexdigest(), spans.hexdigest()
 
-        return _forgetting(m, one)
+        return one
 
     return per_row(df, carry, text, "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string", make)
 
