@@ -195,14 +195,36 @@ def cache_labels(requests: DataFrame, keys: list[str], ttl: int, ts: str = "ts")
     return folded(requests, keys, [F.unix_micros(ts), F.col("event_id")], step, "event_id long, hit boolean")
 
 
-def cooled_alerts(points: DataFrame, key: str, seconds: int, ts: str = "ts") -> DataFrame:
+def running(log: DataFrame, key: str, counts: dict[str, Column], ts: str = "ts", unit: str = "hour") -> DataFrame:
+    """log with running counts of conditions for each key, by time and event_id, the row itself included: counts within a unit of time, and those of
+    the units before, so that what one task orders is a unit of one key."""
+    rows = log.select("*", F.date_trunc(unit, ts).alias("__unit"), *[F.coalesce(c.cast("long"), F.lit(0)).alias(f"__{n}") for n, c in counts.items()])
+    units = rows.groupBy(F.col(key).alias("__key"), F.col("__unit").alias("__of")).agg(*[F.sum(f"__{n}").alias(f"__u{n}") for n in counts])
+    ahead = W.partitionBy("__key").orderBy("__of").rowsBetween(W.unboundedPreceding, -1)
+    units = units.select("__key", "__of", *[F.coalesce(F.sum(f"__u{n}").over(ahead), F.lit(0)).alias(f"__b{n}") for n in counts])
+    within = W.partitionBy(key, "__unit").orderBy(ts, "event_id").rowsBetween(W.unboundedPreceding, 0)
+    full = rows.withColumns({f"__w{n}": F.sum(f"__{n}").over(within) for n in counts})
+    full = full.join(units, full[key].eqNullSafe(units["__key"]) & full["__unit"].eqNullSafe(units["__of"]))
+    return full.select(*log.columns, *[(F.col(f"__w{n}") + F.col(f"__b{n}")).alias(n) for n in counts])
+
+
+def alert_points(log: DataFrame, key: str) -> DataFrame:
+    """key, alert, ts, event_id of what may raise an alert: a latency over twice the threshold, and a failure while the key's error rate so far is over
+    twice its threshold."""
+    seen = running(log, key, {"bad": ~F.col("success"), "seen": F.lit(1)})
+    slow = F.when(F.col("latency_ms") > 2 * LATENCY_MS, "high_latency")
+    failing = F.when(~F.col("success") & (F.col("bad") > F.col("seen") * (2 * ERROR_RATE)), "high_error_rate")
+    return seen.select(key, "ts", "event_id", F.explode(F.array_compact(F.array(slow, failing))).alias("alert"))
+
+
+def cooled_alerts(points: DataFrame, key: str | list[str], seconds: int, ts: str = "ts") -> DataFrame:
     """At most one alert of a key within `seconds`."""
 
     def step(last, t, event_id):
-        fires = last is None or t - last >= seconds * 1_000_000
+        fires = last is None or t - last > seconds * 1_000_000
         return (t, (event_id,)) if fires else (last, None)
 
-    return folded(points, [key], [F.unix_micros(ts), F.col("event_id")], step, "event_id long")
+    return folded(points, [key] if isinstance(key, str) else key, [F.unix_micros(ts), F.col("event_id")], step, "event_id long")
 
 
 def ranges(rows: DataFrame, order: list[str], tag: str) -> DataFrame:

@@ -313,9 +313,12 @@ def _(spark, d):
     return e.groupBy("event_type", F.window("ts", "5 minutes").alias("w")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean")).select("event_type", F.unix_timestamp("w.start").alias("start"), "n", "mean")
 
 
-@query("k5_alerts_with_cooldown", "WITH RECURSIVE a AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE event_type = 'error'), f AS (SELECT user_id, event_id, r, t AS last, true AS fired FROM a WHERE r = 1 UNION ALL SELECT a.user_id, a.event_id, a.r, CASE WHEN a.t - f.last >= 86400000000 THEN a.t ELSE f.last END, a.t - f.last >= 86400000000 FROM f JOIN a ON a.user_id = f.user_id AND a.r = f.r + 1) SELECT user_id, event_id FROM f WHERE fired")
+@query("k5_alerts_with_cooldown", f"""WITH RECURSIVE {LOG}, c AS (SELECT user_id, event_id, epoch_us(ts) AS t, latency_ms, success, sum((NOT success)::INT) OVER w AS bad, count(*) OVER w AS n FROM log WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+ p AS (SELECT user_id, 'high_latency' AS alert, event_id, t FROM c WHERE latency_ms > 4000 UNION ALL SELECT user_id, 'high_error_rate', event_id, t FROM c WHERE NOT success AND bad > n * 0.1::DOUBLE), a AS (SELECT *, row_number() OVER (PARTITION BY user_id, alert ORDER BY t, event_id) AS r FROM p),
+ f AS (SELECT user_id, alert, event_id, r, t AS last, true AS fired FROM a WHERE r = 1 UNION ALL SELECT a.user_id, a.alert, a.event_id, a.r, CASE WHEN a.t - f.last > 900000000 THEN a.t ELSE f.last END, a.t - f.last > 900000000 FROM f JOIN a ON a.user_id = f.user_id AND a.alert = f.alert AND a.r = f.r + 1) SELECT user_id, alert, event_id FROM f WHERE fired""")
 def _(spark, d):
-    return M.cooled_alerts(D.search_log(spark, d).where("event_type = 'error'"), "user_id", 86400)
+    """At most one alert of a user and kind in 15 minutes."""
+    return M.cooled_alerts(M.alert_points(D.search_log(spark, d), "user_id"), ["user_id", "alert"], 900)
 
 
 @query("k7_session_by_inactivity", "WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 24 HOUR THEN 0 ELSE 1 END AS n FROM events), g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM s) SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) AS last, count(*) AS n FROM g GROUP BY user_id, g")

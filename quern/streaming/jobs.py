@@ -90,7 +90,7 @@ def alerts(stream: DataFrame, cooldown: float) -> DataFrame:
         out = []
         for r in _ordered(frames):
             now = r.ts.timestamp()
-            if last is None or now - last >= cooldown:
+            if last is None or now - last > cooldown:
                 last = now
                 out.append((key[0], r.event_id))
         state.update((last,))

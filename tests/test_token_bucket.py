@@ -58,3 +58,26 @@ def test_maps_compose():
 def test_empty(spark):
     df = spark.createDataFrame([], "u long, ts timestamp, event_id long")
     assert M.token_bucket(df, "u", 0.5, 60.0).count() == 0
+
+
+def test_running_counts_and_alerts(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 1, 2, None]), rng.randrange(0, 40_000_000) * 1000, k, rng.choice([100.0, 3999.0, 4000.5, 9000.0]), rng.random() > 0.15) for k in range(1500)]
+    rows += [(1, rows[0][1], 5000 + k, 9000.0, False) for k in range(3)]  # equal times
+    df = spark.createDataFrame(rows, "u long, micros long, event_id long, latency_ms double, success boolean").selectExpr("u", "timestamp_micros(micros) AS ts", "event_id", "latency_ms", "success")
+    expected, points = {}, []
+    for key in (1, 2, None):
+        bad = 0
+        for n, (_, t, event, latency, success) in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2])), 1):
+            bad += not success
+            expected[event] = (bad, n)
+            points += [(key, "high_latency", t, event)] if latency > 4000 else []
+            points += [(key, "high_error_rate", t, event)] if not success and bad > n * 0.1 else []
+    got = M.running(df, "u", {"bad": ~df.success, "seen": df.event_id.isNotNull()})
+    assert {r["event_id"]: (r["bad"], r["seen"]) for r in got.collect()} == expected
+    last, fired = {}, set()
+    for key, alert, t, event in sorted(points, key=lambda p: (p[2], p[3])):
+        if (key, alert) not in last or t - last[key, alert] > 900_000_000:
+            last[key, alert] = t
+            fired.add((key, alert, event))
+    assert {(r["u"], r["alert"], r["event_id"]) for r in M.cooled_alerts(M.alert_points(df, "u"), ["u", "alert"], 900).collect()} == fired
