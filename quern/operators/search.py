@@ -244,6 +244,16 @@ def fuse(ranked: DataFrame) -> DataFrame:
     return scored.groupBy("item_id", "doc_id").agg((F.sum(F.col("s") * F.col("w")) / F.sum("w")).alias("score"), F.count_distinct("strategy").alias("n_strategies"))
 
 
+def ranking_factors(fused: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """item_id, doc_id, score: fused scores of 0.1 or more times 1.3 for two lists or more, 1 + 0.1 for each word of the query in the path, 1 + 0.05 for
+    each in the project's name, and 1.1 for hits that begin within ten lines. docs: doc_id, path, project, startline; words that repeat count again."""
+    words = queries.select("item_id", F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != "").alias("asked"))
+    rows = fused.where("score >= 0.1").join(docs, "doc_id").join(words, "item_id")
+    named = lambda c: F.size(F.filter("asked", lambda w: F.contains(F.lower(c), w)))
+    factor = F.when(F.col("n_strategies") > 1, 1.3).otherwise(1.0) * (1 + 0.1 * named("path")) * (1 + 0.05 * named("project")) * F.when(F.col("startline") <= 10, 1.1).otherwise(1.0)
+    return rows.select("item_id", "doc_id", F.round(F.col("score") * factor, 9).alias("score"))
+
+
 def within_budget(df: DataFrame, group: str, order: list, size: str, budget: int) -> DataFrame:
     """Rows in order while their sizes fit; the first that does not fit ends the list."""
     w = W.partitionBy(group).orderBy(*order)

@@ -51,10 +51,13 @@ def _(spark, d):
     return M.summary(D.search_log(spark, d), "event_type", "latency_ms", M.LATENCY_MS)
 
 
-@query("g7_query_pattern_stats", f"WITH {LOG} SELECT query, count(*) AS n, round(avg(latency_ms), 4) AS mean_latency, round(avg(results), 4) AS mean_results FROM log GROUP BY 1 ORDER BY n DESC, query LIMIT 20")
+@query("g7_query_pattern_stats", f"WITH {LOG}, u AS (SELECT count(DISTINCT query) AS unique_queries, round(avg(length(query)), 4) AS mean_length, min(length(query)) AS least_length, max(length(query)) AS most_length FROM log) SELECT query, count(*) AS n, round(avg(latency_ms), 4) AS mean_latency, round(avg(results), 4) AS mean_results, any_value(unique_queries) AS unique_queries, any_value(mean_length) AS mean_length, any_value(least_length)::BIGINT AS least_length, any_value(most_length)::BIGINT AS most_length FROM log, u GROUP BY 1 ORDER BY n DESC, query LIMIT 20")
 def _(spark, d):
+    """The 20 most frequent queries, and beside each the figures of all."""
     g = D.search_log(spark, d).groupBy("query").agg(F.count("*").alias("n"), F.round(F.avg("latency_ms"), 4).alias("mean_latency"), F.round(F.avg("results"), 4).alias("mean_results"))
-    return g.orderBy(F.desc("n"), "query").limit(20)
+    n = F.length("query")
+    whole = g.agg(F.count("query").alias("unique_queries"), F.round(F.sum(n * F.col("n")) / F.sum("n"), 4).alias("mean_length"), F.min(n).cast("long").alias("least_length"), F.max(n).cast("long").alias("most_length"))
+    return g.orderBy(F.desc("n"), "query").limit(20).join(F.broadcast(whole), F.lit(True))
 
 
 @query("g8_health_rules", f"WITH {LOG}, r AS (SELECT latency_ms, success, row_number() OVER (ORDER BY latency_ms) AS r, count(*) OVER () AS n FROM log), s AS (SELECT round(min(latency_ms) FILTER (r = least(n, floor(n * 0.95::DOUBLE) + 1)), 4) AS p95, round(avg((NOT success)::INT), 6) AS error_rate FROM r) SELECT p95, error_rate, CASE WHEN error_rate > 0.05 THEN 'poor' WHEN p95 > 2000 THEN 'degraded' ELSE 'good' END AS health FROM s")

@@ -266,10 +266,14 @@ def _(spark, d):
     return S.fuse(_lists(spark, d)).withColumn("score", F.round("score", 9))
 
 
-@query("f16_ranking_factors", f"WITH {_FUSED} SELECT item_id, doc_id, round(score * CASE WHEN n_strategies > 1 THEN 1.3::DOUBLE ELSE 1 END * CASE WHEN doc_id % 20 <= 10 THEN 1.1::DOUBLE ELSE 1 END, 9) AS score FROM fu WHERE score >= 0.1")
+@query("f16_ranking_factors", rf"""WITH {_FUSED}, qw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(query), '\s+'), lambda w: w <> '') AS asked FROM q)
+ SELECT item_id, doc_id, round(score * (CASE WHEN n_strategies > 1 THEN 1.3::DOUBLE ELSE 1 END * (1 + 0.1::DOUBLE * len(list_filter(asked, lambda w: contains(lower({_EXT}), w)))) * (1 + 0.05::DOUBLE * len(list_filter(asked, lambda w: contains(lower(source), w)))) * CASE WHEN doc_id % 12 < 10 THEN 1.1::DOUBLE ELSE 1 END), 9) AS score
+ FROM fu JOIN documents USING (doc_id) JOIN qw USING (item_id) WHERE score >= 0.1""")
 def _(spark, d):
-    f = S.fuse(_lists(spark, d)).where("score >= 0.1")
-    return f.select("item_id", "doc_id", F.round(F.col("score") * F.when(F.col("n_strategies") > 1, 1.3).otherwise(1.0) * F.when(F.col("doc_id") % 20 <= 10, 1.1).otherwise(1.0), 9).alias("score"))
+    """Paths and lines as in f3; the project is the source."""
+    ext = F.element_at(F.array(*map(F.lit, [".md", ".py", ".json", ".xyz"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    docs = D.table(spark, d, "documents").select("doc_id", F.concat("source", ext).alias("path"), F.col("source").alias("project"), (F.col("doc_id") % 12 + 1).alias("startline"))
+    return S.ranking_factors(S.fuse(_lists(spark, d)), docs, D.user_queries(spark, d))
 
 
 @query("f17_diversity_filter")
