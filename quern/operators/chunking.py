@@ -621,6 +621,32 @@ def enriched(chunks: DataFrame) -> DataFrame:
     return out.withColumns({"previous_id": F.lag("chunk_id").over(by_doc), "next_id": F.lead("chunk_id").over(by_doc)})
 
 
+def with_section(chunks: DataFrame, found: DataFrame) -> DataFrame:
+    """chunks with section_title and section_level of the section that their start lies in; null and 0 before the first heading."""
+    own = section_of(chunks, found).select("doc_id", "chunk_index", F.col("title").alias("section_title"), F.col("level").alias("section_level"))
+    return chunks.join(own, ["doc_id", "chunk_index"], "left").withColumn("section_level", F.coalesce("section_level", F.lit(0)).cast("long"))
+
+
+# What the kind of a chunk adds to its score for a context.
+KIND_BONUS = {"header": 0.3, "section": 0.2, "code": 0.1, "table": 0.05, "list": 0.05}
+
+
+def held_kind(column: str) -> Column:
+    """code, table, list or section: the first of these that a chunk holds."""
+    c = F.col(column)
+    return F.when(F.contains(c, F.lit("```")), "code").when(F.contains(c, F.lit(" | ")), "table").when(c.rlike(r"(?m)^\s*(?:[-*+]|[0-9]+\.)\s+\S"), "list").otherwise("section")
+
+
+def context_score(query: str) -> Column:
+    """What a chunk (content, quality, position, section_level, kind) is worth in the context of a query: 0.4 of its quality, 0.1 for standing early, the
+    level of its section over 6 (0.2 at most), a bonus for its kind, and 0.3 for the share of the query's words that it holds; 1 at most."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
+    bonus = F.coalesce(F.create_map(*[F.lit(x) for p in KIND_BONUS.items() for x in p])[F.col("kind")], F.lit(0.0))
+    asked = words(query)
+    share = F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, words("content"))) / F.size(asked)).otherwise(0.0)
+    return F.round(F.least(F.lit(1.0), 0.4 * F.col("quality") + 0.1 * (1 - F.col("position")) + F.least(F.col("section_level") / 6, F.lit(0.2)) + bonus + 0.3 * share), 6)
+
+
 def deduped(chunks: DataFrame) -> DataFrame:
     """The first chunk of each content within a document."""
     first = F.row_number().over(W.partitionBy("doc_id", F.md5("content")).orderBy("chunk_index"))

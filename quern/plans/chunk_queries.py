@@ -260,12 +260,17 @@ def _(spark, d):
     return C.scored(D.chunks(spark, d)).select("doc_id", "chunk_index", "coherence", "completeness", "density", "quality")
 
 
+#: The chunk table beside the section table; both begin with the documents' Markdown.
+_PLACED = f"""{_SECTIONS}, {D.chunks_sql()[len(D.MARKDOWN_SQL) + 2 :]}, cs AS (SELECT k.doc_id, k.chunk_index, max_by(title, s.start) AS section_title, max_by(level, s.start) AS section_level FROM chunks k JOIN sc s ON s.doc_id = k.doc_id AND k.start >= s.start AND k.start < s.stop GROUP BY 1, 2)"""
+
+
 @query(
     "d28_enrich_chunks",
-    f"WITH {CH}, e AS (SELECT doc_id, chunk_index, concat_ws('_', doc_id, lpad(chunk_index::VARCHAR, 4, '0')) AS chunk_id, md5(content) AS hash, round(start / greatest(doc_length, 1), 6) AS position FROM chunks) SELECT *, lag(chunk_id) OVER w AS previous_id, lead(chunk_id) OVER w AS next_id FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)",
+    f"WITH {_PLACED}, e AS (SELECT doc_id, chunk_index, concat_ws('_', doc_id, lpad(chunk_index::VARCHAR, 4, '0')) AS chunk_id, md5(content) AS hash, round(start / greatest(doc_length, 1), 6) AS position, section_title, coalesce(section_level, 0)::BIGINT AS section_level FROM chunks LEFT JOIN cs USING (doc_id, chunk_index)) SELECT *, lag(chunk_id) OVER w AS previous_id, lead(chunk_id) OVER w AS next_id FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)",
 )
 def _(spark, d):
-    return C.enriched(D.chunks(spark, d)).select("doc_id", "chunk_index", "chunk_id", "hash", "position", "previous_id", "next_id")
+    c = C.with_section(C.enriched(D.chunks(spark, d)), C.sections(D.markdown(spark, d), "md"))
+    return c.select("doc_id", "chunk_index", "chunk_id", "hash", "position", "section_title", "section_level", "previous_id", "next_id")
 
 
 @query("d29_dedupe_chunks", f"WITH {D.chunks_sql(60, 60)} SELECT doc_id, min(chunk_index) AS chunk_index, md5(content) AS hash FROM chunks GROUP BY doc_id, md5(content)")

@@ -6,11 +6,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators import chunking as C
 from quern.operators import search as S
 from quern.operators.vectors import VectorIndex
 from quern.sources import derived as D
 from quern.sources.scratch import materialize
 
+from . import chunk_queries as CQ
 from .text_queries import _any, _strings
 
 QUERIES: dict = {}
@@ -307,12 +309,19 @@ def _(spark, d):
     return S.context(best.select("item_id", "doc_id", "rank", "tokens"), docs.select("doc_id", "text"), "item_id", 8000)
 
 
-@query("f21_context_score", f"WITH {Q}, {_bm25_sql('documents', 'doc_id', 'text', 5)}, w AS (SELECT item_id, doc_id, list_distinct(string_split(lower(query), ' ')) AS a, list_distinct(regexp_split_to_array(lower(text), '\\s+')) AS b FROM bm JOIN documents USING (doc_id) JOIN q USING (item_id)) SELECT item_id, doc_id, round(0.4::DOUBLE * 0.8::DOUBLE + 0.3::DOUBLE * len(list_intersect(a, b)) / len(a), 6) AS score FROM w")
+_KIND = r"CASE WHEN contains(content, '```') THEN 0.1::DOUBLE WHEN contains(content, ' | ') THEN 0.05::DOUBLE WHEN regexp_matches(content, '(?m)^\s*(?:[-*+]|[0-9]+\.)\s+\S') THEN 0.05::DOUBLE ELSE 0.2::DOUBLE END"
+
+
+@query("f21_context_score", rf"""WITH {Q}, {CQ._PLACED.replace(' sc AS', ' se AS').replace('JOIN sc s', 'JOIN se s')}, {CQ._SCORES.replace('sc AS', 'qc AS', 1).replace('FROM sc)', 'FROM qc)')}, ck AS (SELECT doc_id || '#' || chunk_index AS chunk, * FROM sq), {_bm25_sql('ck', 'chunk', 'content', 5)},
+ w AS (SELECT item_id, chunk, list_distinct(list_filter(regexp_split_to_array(lower(query), '\s+'), lambda z: z <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(content), '\s+'), lambda z: z <> '')) AS b, quality, round(start / greatest(doc_length, 1), 6) AS position, coalesce(section_level, 0) AS lvl, {_KIND} AS bonus FROM bm JOIN ck USING (chunk) JOIN q USING (item_id) LEFT JOIN cs USING (doc_id, chunk_index))
+ SELECT item_id, chunk, round(least(1.0::DOUBLE, 0.4::DOUBLE * quality + 0.1::DOUBLE * (1 - position) + least(lvl / 6, 0.2::DOUBLE) + bonus + 0.3::DOUBLE * len(list_intersect(a, b)) / len(a)), 6) AS score FROM w""")
 def _(spark, d):
+    """The five best chunks of each query."""
     q = D.user_queries(spark, d)
-    full = S.bm25(index(spark, d), q, "doc_id", 5).join(D.table(spark, d, "documents").select("doc_id", "text"), "doc_id").join(q, "item_id")
-    a, b = F.array_distinct(F.split(F.lower("query"), " ")), F.array_distinct(F.split(F.lower("text"), r"\s+"))
-    return full.select("item_id", "doc_id", F.round(0.4 * 0.8 + 0.3 * F.size(F.array_intersect(a, b)) / F.size(a), 6).alias("score"))
+    c = C.with_section(C.scored(C.enriched(D.chunks(spark, d))), C.sections(D.markdown(spark, d), "md")).withColumns({"chunk": F.concat_ws("#", "doc_id", "chunk_index"), "kind": C.held_kind("content")})
+    best = S.bm25(S.postings(c.select("chunk", "content"), "chunk", "content"), q, "chunk", 5)
+    few = materialize(best, "best")
+    return c.join(S.small(few.select("item_id", "chunk")), "chunk").join(q, "item_id").select("item_id", "chunk", C.context_score("query").alias("score"))
 
 
 @query("f22_context_truncate_chars", f"WITH {Q}, {_bm25_sql('documents', 'doc_id', 'text', 20)}, t AS (SELECT item_id, doc_id, rank, length(text) AS n FROM bm JOIN documents USING (doc_id)), r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY item_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM t) SELECT item_id, doc_id, rank, CASE WHEN before + n <= 8000 THEN n ELSE 8000 - before - 50 + 3 END AS kept, before + n > 8000 AS truncated FROM r WHERE before + n <= 8000 OR (before <= 8000 AND 8000 - before > 100)")
