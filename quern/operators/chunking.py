@@ -458,11 +458,19 @@ def adjusted(bounds: DataFrame) -> DataFrame:
 
 
 def semantic(df: DataFrame, column: str, least: float = 0.5, limit: int = 2000, short: int = 200, dropped: int = 100) -> DataFrame:
-    """Cut at thinned and adjusted boundaries of some strength; chunks over the limit are cut by sentences, and one under `short` is joined
+    """Cut at thinned and adjusted boundaries of some strength, never within a word; chunks over the limit are cut by sentences, and one under `short` is joined
     with the next. No text is lost: n_short counts the pieces under `dropped` characters that a chunk holds."""
     cuts = adjusted(thin(boundaries(df, column))).where(F.col("strength") >= least).groupBy("doc_id").agg(F.array_sort(F.collect_set("position")).alias("cuts"))
     full = df.select("doc_id", F.col(column).alias("t")).join(cuts, "doc_id", "left")
-    marks = F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), F.coalesce("cuts", F.expr("cast(array() as array<bigint>)")), F.array(F.length("t").cast("long"))))
+
+    def whole_words(at: Column) -> Column:
+        """A cut within a word moves to its start; a shift of topic without an end of a sentence near may lie anywhere."""
+        at = at.cast("int")
+        run = F.length(F.regexp_extract(F.substring(F.col("t"), F.greatest(at - 200, F.lit(0)) + 1, F.least(at, F.lit(200))), r"\S*$", 0))
+        return F.when(F.substring(F.col("t"), at + 1, F.lit(1)).rlike(r"\S") & (run < 200), at - run).otherwise(at).cast("long")
+
+    inner = F.array_sort(F.transform(F.coalesce("cuts", F.expr("cast(array() as array<bigint>)")), whole_words))
+    marks = F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), inner, F.array(F.length("t").cast("long"))))
     got = full.select("doc_id", "t", marks.alias("m")).select("doc_id", "t", "m", F.posexplode("m").alias("chunk_index", "start")).where(F.col("chunk_index") < F.size("m") - 1)
     piece = F.substring(F.col("t"), (F.col("start") + 1).cast("int"), (F.element_at("m", F.col("chunk_index") + 2) - F.col("start")).cast("int"))
     got = got.select("doc_id", "chunk_index", F.regexp_replace(piece, r"^\s+|\s+$", "").alias("content")).where("content <> ''")
