@@ -652,7 +652,7 @@ def context_score(query: str) -> Column:
     bonus = F.coalesce(F.create_map(*[F.lit(x) for p in KIND_BONUS.items() for x in p])[F.col("kind")], F.lit(0.0))
     asked = words(query)
     share = F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, words("content"))) / F.size(asked)).otherwise(0.0)
-    return F.round(F.least(F.lit(1.0), 0.4 * F.col("quality") + 0.1 * (1 - F.col("position")) + F.least(F.col("section_level") / 6, F.lit(0.2)) + bonus + 0.3 * share), 6)
+    return F.round(F.least(F.lit(1.0), 0.4 * F.col("quality") + 0.1 * (1 - F.col("position")) + F.least(F.col("section_level") / 6, F.lit(0.2)) + bonus + 0.3 * share), 8)
 
 
 def deduped(chunks: DataFrame) -> DataFrame:

@@ -314,7 +314,7 @@ _KIND = r"CASE WHEN contains(content, '```') THEN 0.1::DOUBLE WHEN contains(cont
 
 @query("f21_context_score", rf"""WITH {Q}, {CQ._PLACED.replace(' sc AS', ' se AS').replace('JOIN sc s', 'JOIN se s')}, {CQ._SCORES.replace('sc AS', 'qc AS', 1).replace('FROM sc)', 'FROM qc)')}, ck AS (SELECT doc_id || '#' || chunk_index AS chunk, * FROM sq), {_bm25_sql('ck', 'chunk', 'content', 5)},
  w AS (SELECT item_id, chunk, list_distinct(list_filter(regexp_split_to_array(lower(query), '\s+'), lambda z: z <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(content), '\s+'), lambda z: z <> '')) AS b, quality, round(start / greatest(doc_length, 1), 6) AS position, coalesce(section_level, 0) AS lvl, {_KIND} AS bonus FROM bm JOIN ck USING (chunk) JOIN q USING (item_id) LEFT JOIN cs USING (doc_id, chunk_index))
- SELECT item_id, chunk, round(least(1.0::DOUBLE, 0.4::DOUBLE * quality + 0.1::DOUBLE * (1 - position) + least(lvl / 6, 0.2::DOUBLE) + bonus + 0.3::DOUBLE * len(list_intersect(a, b)) / len(a)), 6) AS score FROM w""")
+ SELECT item_id, chunk, round(least(1.0::DOUBLE, 0.4::DOUBLE * quality + 0.1::DOUBLE * (1 - position) + least(lvl / 6, 0.2::DOUBLE) + bonus + 0.3::DOUBLE * len(list_intersect(a, b)) / len(a)), 8) AS score FROM w""")
 def _(spark, d):
     """The five best chunks of each query."""
     q = D.user_queries(spark, d)
