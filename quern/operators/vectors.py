@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators import nearest as N
 from quern.operators import search as S
 from quern.sources.scratch import materialize, new_path
 
@@ -67,7 +68,9 @@ def _nearest(df: DataFrame, column: str, centroids: np.ndarray, probes: int) ->
         for batch in batches:
             if batch.num_rows:
                 v = np.asarray(batch.column(at).flatten(), np.float32).reshape(batch.num_rows, -1)
-                order = np.argsort(-(v @ shared.value.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+                near = v @ shared.value.T
+                order = near.argmax(1)[:, None] if probes == 1 else np.argsort(-near, axis=1, kind="stable")[:, :probes]
+                order = order.astype(np.int32)
                 cells = pa.ListArray.from_arrays(pa.array(np.arange(0, order.size + 1, order.shape[1], dtype=np.int32)), pa.array(order.ravel()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, cells], [*batch.schema.names, "cells"])
 
@@ -93,9 +96,9 @@ class VectorIndex:
         probes = probes or self.probes
         if exact or probes >= len(self.centroids):
             return S.vector_search(self.rows().drop("cell"), queries, k, least)
-        asked = materialize(_nearest(queries.select("q", "v"), "v", self.centroids, probes).select("q", "v", F.explode("cells").alias("cell")), "probes")
-        pairs = S.against_all(self.rows(), asked.withColumnRenamed("cell", "probed"), (F.col("cell") == F.col("probed")) & (F.col("vec_id") != F.col("q")))
-        scored = pairs.select("q", "vec_id", F.round(S.cosine(F.col("v"), F.col("embedding")), 4).alias("score")).where(F.col("score") >= least)
+        asked = materialize(queries.where("q is not null").select(F.col("q").cast("long").alias("q"), "v"), "asked")
+        compare = N.cosines(k, least, centroids=self.spark.sparkContext.broadcast(self.centroids), probes=probes)
+        scored = S.against_all(self.rows().where("vec_id is not null"), asked, compare, "q long, vec_id long, score double")
         return S.top(scored, "q", "score", "vec_id", k)
 
 
