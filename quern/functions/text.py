@@ -169,11 +169,19 @@ def tokens_chunk(c) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(_c(c)) / 4)).cast("long")
 
 
+#: The blanks that SQL's trim takes off: Unicode's space separators.
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def without_blanks(c) -> Column:
+    return F.trim(_c(c), F.lit(BLANKS))
+
+
 def snippet(c) -> Column:
     """First sentence of 10 to 150 characters, else the first 150 characters up to the last space."""
-    short = F.filter(F.transform(F.split(_c(c), "[.!?]"), lambda s: F.trim(s)), lambda s: (F.length(s) > 10) & (F.length(s) < 150))
+    short = F.filter(F.transform(F.split(_c(c), "[.!?]"), without_blanks), lambda s: (F.length(s) > 10) & (F.length(s) < 150))
     head = F.substring(_c(c), 1, 150)
-    cut = F.when(F.length(_c(c)) > 150, F.concat(F.regexp_replace(head, r"\s\S*$", ""), F.lit("..."))).otherwise(head)
+    cut = F.when(F.length(_c(c)) > 150, F.concat(F.regexp_replace(head, r"[\t\n\f\r ][^\t\n\f\r ]*\z", ""), F.lit("..."))).otherwise(head)
     return F.coalesce(F.try_element_at(short, F.lit(1)), cut)
 
 
