@@ -1,7 +1,7 @@
 """Cutting documents into chunks, and what is computed over chunk tables.
 
 Every cut is an expression over one row or a window over one document, so no text is shuffled except where lines of a document are
-numbered. Order-dependent packing is a fold over an array (`pack`), which stays in the JVM and needs no shuffle.
+numbered. Order-dependent packing is a fold over the sizes of pieces (`pack`), row by row, and needs no shuffle.
 """
 
 from __future__ import annotations
@@ -37,31 +37,44 @@ def fixed_windows(df: DataFrame, column: str, size: int = 2000, step: int = 1800
 
 def pack(pieces: Column, limit: int, extra: int = 0, carry: int = 0, carry_size: int = 0) -> Column:
     """Greedy packing: array<struct<first,last>> of piece numbers from 1. A group closes before the piece that would take its size, with
-    `extra` for each piece, over the limit; the next one starts with the last `carry` pieces, or with as many as reach carry_size."""
-    sizes = F.transform(pieces, lambda p: F.length(p) + extra)
-    start = F.struct(F.lit(0).alias("i"), F.lit(1).alias("first"), F.lit(0).alias("size"), F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("out"))
-
-    def add(a: Column, s: Column) -> Column:
-        full = (a["size"] > 0) & (a["size"] + s > limit)
-        if carry_size:
-            kept = F.aggregate(F.sequence(a["i"], a["first"], F.lit(-1)), F.struct(F.lit(0).alias("n"), F.lit(0).alias("s")), lambda k, j: F.when(k["s"] >= carry_size, k).otherwise(F.struct((k["n"] + 1).alias("n"), (k["s"] + F.element_at(sizes, j)).alias("s"))))
-            back, held = kept["n"], kept["s"]
-        else:
-            back = F.least(F.lit(carry), a["i"] - a["first"] + 1)
-            held = F.aggregate(F.slice(sizes, F.greatest(a["i"] - back + 1, F.lit(1)), back), F.lit(0), lambda x, y: x + y)
-        closed = F.struct((a["i"] + 1).alias("i"), (a["i"] - back + 1).alias("first"), (held + s).alias("size"), F.concat(a["out"], F.array(F.struct(a["first"].alias("first"), a["i"].alias("last")))).alias("out"))
-        grown = F.struct((a["i"] + 1).alias("i"), a["first"].alias("first"), (a["size"] + s).alias("size"), a["out"].alias("out"))
-        return F.when(full, closed).otherwise(grown)
-
-    done = lambda a: F.when(a["i"] < a["first"], a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(a["first"].alias("first"), a["i"].alias("last")))))
-    return F.aggregate(sizes, start, add, done)
+    `extra` for each piece, over the limit; the next one starts with the last `carry` pieces, or with as many as reach carry_size. The fold
+    sees the sizes only, each once; a piece without a size closes no group."""
+
+    def groups(sizes: list) -> list[tuple[int, int]]:
+        sizes = [float("nan") if s is None else s for s in sizes]
+        out, first, size = [], 1, 0
+        for i, s in enumerate(sizes):
+            if size > 0 and size + s > limit:
+                out.append((first, i))
+                back, size = (0, 0) if carry_size else (min(carry, i - first + 1), sum(sizes[i - min(carry, i - first + 1) : i]))
+                while carry_size and size < carry_size and back < i - first + 1:
+                    size += sizes[i - back - 1]
+                    back += 1
+                first = i - back + 1
+            size += s
+        return [*out, (first, len(sizes))] if sizes else out
+
+    @F.arrow_udf("array<struct<first:int,last:int>>")
+    def fold(sizes: pa.Array) -> pa.Array:
+        return pa.array([None if own is None else groups(own) for own in sizes.to_pylist()], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
+
+    return fold(F.transform(pieces, lambda p: F.length(p) + extra))
+
+
+def _group(pieces: str, g: Column) -> Column:
+    """The pieces of a group of `pack`."""
+    return F.slice(pieces, g["first"], g["last"] - g["first"] + 1)
+
+
+def _contents(pieces: str, groups: str, joiner: str) -> Column:
+    """Every group joined, made before groups become rows, so that no row carries all pieces."""
+    return F.transform(groups, lambda g: F.array_join(_group(pieces, g), joiner))
 
 
 def packed(df: DataFrame, pieces: Column, joiner: str, **how) -> DataFrame:
     """doc_id, chunk_index, content: the groups of `pack`, joined."""
     got = df.select("doc_id", pieces.alias("p")).select("doc_id", "p", pack(F.col("p"), **how).alias("g"))
-    out = got.select("doc_id", "p", F.posexplode("g").alias("chunk_index", "g"))
-    return out.select("doc_id", F.col("chunk_index").cast("long"), F.array_join(F.slice("p", F.col("g.first"), F.col("g.last") - F.col("g.first") + 1), joiner).alias("content"))
+    return got.select("doc_id", F.posexplode(_contents("p", "g", joiner)).alias("chunk_index", "content")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
 def by_sentence(df: DataFrame, column: str, limit: int = 2000, carry: int = 2) -> DataFrame:
@@ -127,9 +140,10 @@ def by_paragraph_then_sentence(df: DataFrame, column: str, limit: int = 2000) ->
     """Each paragraph a chunk; longer ones by sentences."""
     parts = df.select("doc_id", F.posexplode(F.split(F.col(column), "\n\n")).alias("part", "p")).where(F.length(F.trim("p")) > 0)
     pieces = F.when(F.length("p") <= limit, F.array(F.trim("p"))).otherwise(T.sentences("p"))
-    got = parts.select("doc_id", "part", pieces.alias("p")).select("doc_id", "part", "p", F.posexplode(pack(F.col("p"), limit, 1)).alias("sub", "g"))
+    got = parts.select("doc_id", "part", pieces.alias("p")).select("doc_id", "part", "p", pack(F.col("p"), limit, 1).alias("g"))
+    got = got.select("doc_id", "part", F.posexplode(_contents("p", "g", " ")).alias("sub", "content"))
     index = F.row_number().over(W.partitionBy("doc_id").orderBy("part", "sub")) - 1
-    return got.select("doc_id", index.cast("long").alias("chunk_index"), F.array_join(F.slice("p", F.col("g.first"), F.col("g.last") - F.col("g.first") + 1), " ").alias("content"))
+    return got.select("doc_id", index.cast("long").alias("chunk_index"), "content")
 
 
 def by_line_start(df: DataFrame, column: str, starts: str) -> DataFrame:
@@ -282,19 +296,15 @@ def elements(df: DataFrame, column: str) -> DataFrame:
     return runs.where("kind <> 'blank'").select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("run")).cast("long").alias("element"), "kind", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "n_lines")
 
 
-def _joined(c: Column, sep: str) -> Column:
-    """The pieces of c.p from g.first to g.last."""
-    return F.array_join(F.slice(c["p"], c["g"]["first"], c["g"]["last"] - c["g"]["first"] + 1), sep)
-
-
 def recut(chunks: DataFrame, limit: int, pieces: Column, target: int, sep: str) -> DataFrame:
     """Chunks over `limit` characters are cut into their pieces, packed to `target`; `whole` tells which were not. Keeps all columns."""
     over = F.length("content") > limit
-    packed = chunks.withColumns({"whole": ~over, "p": F.when(over, pieces).otherwise(F.array("content"))})
-    sub = packed.select("*", F.posexplode(pack(F.col("p"), target + len(sep), len(sep))).alias("sub", "g"))
-    sub = sub.withColumn("content", _joined(F.struct("p", "g"), sep)).where(~F.col("content").rlike(_BLANK))
+    rows = chunks.withColumns({"whole": ~over, "p": F.when(over, pieces).otherwise(F.array("content"))})
+    rows = rows.withColumn("g", pack(F.col("p"), target + len(sep), len(sep)))
+    kept = [c for c in chunks.columns if c != "content"]
+    sub = rows.select(*kept, "whole", F.posexplode(_contents("p", "g", sep)).alias("sub", "content")).where(~F.col("content").rlike(_BLANK))
     index = F.row_number().over(W.partitionBy("doc_id").orderBy("chunk_index", "sub")) - 1
-    return sub.withColumn("chunk_index", index.cast("long")).drop("p", "g", "sub")
+    return sub.withColumn("chunk_index", index.cast("long")).drop("sub")
 
 
 def merge_next(chunks: DataFrame, least: int, same: list[str], sums: list[str], never: Column | None = None) -> DataFrame:
@@ -322,8 +332,9 @@ def structural(df: DataFrame, column: str, limit: int = 2000, target: int = 1500
     parts = parts.select("doc_id", "element", "kind", F.substring(F.col("__t"), (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("body"))
     parts = parts.withColumn("head", F.sum((F.col("kind") == "header").cast("int")).over(W.partitionBy("doc_id").orderBy("element")))
     lists = parts.groupBy("doc_id", "head").agg(F.array_sort(F.collect_list(F.struct("element", "kind", "body"))).alias("e"))
-    got = lists.select("doc_id", "head", "e", F.posexplode(pack(F.transform("e", lambda x: x["body"]), limit, 2)).alias("sub", "g"))
-    own = F.slice("e", F.col("g.first"), F.col("g.last") - F.col("g.first") + 1)
+    got = lists.withColumn("g", pack(F.transform("e", lambda x: x["body"]), limit, 2))
+    got = got.select("doc_id", "head", F.posexplode(F.transform("g", lambda g: _group("e", g))).alias("sub", "own"))
+    own = F.col("own")
     kinds = F.array_distinct(F.transform(own, lambda x: x["kind"]))
     kind = F.when(F.array_contains(kinds, "code"), "code").when(F.array_contains(kinds, "table"), "table").when(F.array_contains(kinds, "list"), "list").when(F.array_contains(kinds, "header"), "section").otherwise("mixed")
     index = F.row_number().over(W.partitionBy("doc_id").orderBy("head", "sub")) - 1

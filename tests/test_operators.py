@@ -258,3 +258,18 @@ def test_filter_and_columns_reach_the_scan(spark):
     plan = D.table(spark, SF, "events").where("event_type = 'click'").select("event_id")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,click)]" in plan
     assert "ReadSchema: struct<event_id:bigint,event_type:string>" in plan
+
+
+def test_packing_takes_time_in_proportion_to_the_pieces(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from quern.operators import chunking as C
+
+    text = "".join(f"word{i} alpha beta. " for i in range(40_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, t string")
+    before = time.time()
+    n, last = C.by_sentence_size(df, "t").agg(F.count("*"), F.max("chunk_index")).first()
+    assert n == last + 1 and n > 900
+    assert time.time() - before < 30
