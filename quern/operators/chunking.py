@@ -7,7 +7,6 @@ numbered. Order-dependent packing is a fold over the sizes of pieces (`pack`), r
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -371,27 +370,33 @@ _SENTENCE_END, _PARAGRAPH_END, _RUN = re.compile(rf"[.!?]+[{_SPACE}]+"), re.comp
 def _shifts(text: str, window: int, step: int, alike: float, reach: int):
     """(position, 1 - similarity) where the words of a window and of the next one, `step` characters on, are not alike; moved to the nearest end
     of a sentence within `reach`. The words of a window are counted as it slides: each word comes in once and goes out once."""
-    runs = [(m.start(), m.end(), m.group().lower()) for m in _RUN.finditer(text)]
     stop = set(TOPIC_STOP_WORDS)
-    topical = lambda w: len(w) > 2 and w.isascii() and w.isalpha() and w not in stop
-    counts: Counter = Counter()
+    topical = lambda w: w if len(w) > 2 and w.isascii() and w.isalpha() and w not in stop else None
+    runs = [(m.start(), m.end(), topical(m.group().lower())) for m in _RUN.finditer(text)]
+    counts: dict = {}  # of topical words only
     low = high = 0  # runs from low to high lie inside the window
     before = None
     for at in range(0, len(text) - window, step):
         to = at + window
         while high < len(runs) and runs[high][1] <= to:
-            counts[runs[high][2]] += 1
+            word = runs[high][2]
+            if word:
+                counts[word] = counts.get(word, 0) + 1
             high += 1
         while low < high and runs[low][0] < at:
-            counts[runs[low][2]] -= 1
-            if not counts[runs[low][2]]:
-                del counts[runs[low][2]]
+            word = runs[low][2]
+            if word:
+                counts[word] -= 1
+                if not counts[word]:
+                    del counts[word]
             low += 1
-        edges = [text[max(a, at) : min(b, to)].lower() for a, b, _ in [*runs[max(low - 1, 0) : low], *runs[high : high + 1]] if a < to and b > at]
-        words = {w for w in [*counts, *edges] if topical(w)}
+        words = set(counts)
+        for a, b, _ in (*runs[max(low - 1, 0) : low], *runs[high : high + 1]):  # words that an edge of the window cuts
+            if a < to and b > at and (word := topical(text[max(a, at) : min(b, to)].lower())):
+                words.add(word)
         if before is not None:
-            either = len(before | words)
-            similarity = len(before & words) / either if before and words else 0.0
+            both = len(before & words)
+            similarity = both / (len(before) + len(words) - both) if before and words else 0.0
             if similarity < alike:
                 near = [(abs(m.end() - at), m.end()) for m in _SENTENCE_END.finditer(text, max(0, at - reach), min(len(text), at + reach))]
                 place = min(near, key=lambda x: x[0])[1] if near else at
@@ -412,26 +417,41 @@ def _turns(text: str):
             yield m.start(), strength, text[start : m.start()], following
 
 
-def boundaries(df: DataFrame, column: str, window: int = 200, step: int = 50, alike: float = 0.75, reach: int = 50, side: int = 50) -> DataFrame:
+def _bounds(text: str | None, kinds: tuple, window: int = 200, step: int = 50, alike: float = 0.75, reach: int = 50, side: int = 50) -> list[tuple]:
+    """(position, kind, strength, before, after) of one text."""
+    text, rows = text or "", []
+    if "paragraph" in kinds:
+        for p in (m.end() for m in _PARAGRAPH_END.finditer(text)):
+            rows.append((p, "paragraph", 0.7, text[max(0, p - 100) : p].strip(_SPACE)[-side:], text[p : p + 100].strip(_SPACE)[:side]))
+    if "sentence" in kinds:
+        rows += [(p, "sentence", s, a[-side:], b[:side]) for p, s, a, b in _turns(text)]
+    if "topic_shift" in kinds:
+        rows += [(p, "topic_shift", s, text[max(0, p - side) : p], text[p : p + side]) for p, s in _shifts(text, window, step, alike, reach)]
+    return rows
+
+
+def boundaries(df: DataFrame, column: str, kinds: tuple = tuple(KINDS), **how) -> DataFrame:
     """doc_id, position, kind, strength, before, after: paragraph breaks, sentences that begin with a transition, and shifts of topic, with up to
     `side` characters on both sides. White space is that of ASCII; words are runs of letters, digits and underscores. Null texts have none."""
     key = df.schema["doc_id"].dataType.simpleString()
+    types = (pa.int64(), pa.string(), pa.float64(), pa.string(), pa.string())
+
+    def made(keys, ids, rows):
+        for at in range(0, len(rows), 4096):
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows[at : at + 4096]), types)]
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(ids[at : at + 4096])), *columns], ["doc_id", "position", "kind", "strength", "before", "after"])
 
     def find(batches):
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1).to_pylist()):
-                text = text or ""
-                rows = []
-                for m in _PARAGRAPH_END.finditer(text):
-                    p = m.end()
-                    rows.append((p, "paragraph", 0.7, text[max(0, p - 100) : p].strip(_SPACE)[-side:], text[p : p + 100].strip(_SPACE)[:side]))
-                rows += [(p, "sentence", s, a[-side:], b[:side]) for p, s, a, b in _turns(text)]
-                rows += [(p, "topic_shift", s, text[max(0, p - side) : p], text[p : p + side]) for p, s in _shifts(text, window, step, alike, reach)]
-                for at in range(0, len(rows), 4096):
-                    columns = zip(*rows[at : at + 4096])
-                    kinds = (pa.int64(), pa.string(), pa.float64(), pa.string(), pa.string())
-                    made = [pa.array(c, t) for c, t in zip(columns, kinds)]
-                    yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(made[0]), batch.column(0).type), *made], ["doc_id", "position", "kind", "strength", "before", "after"])
+            ids, rows = [], []
+            for k, text in enumerate(batch.column(1)):
+                own = _bounds(text.as_py(), kinds, **how)
+                rows += own
+                ids += [k] * len(own)
+                if len(rows) >= 4096:
+                    yield from made(batch.column(0), ids, rows)
+                    ids, rows = [], []
+            yield from made(batch.column(0), ids, rows)
 
     return df.select("doc_id", column).mapInArrow(find, f"doc_id {key}, position long, kind string, strength double, before string, after string")
 

@@ -208,7 +208,7 @@ def _(spark, d):
 
 @query("d9_topic_shifts", f"WITH {_BOUNDARIES} SELECT doc_id, position::BIGINT AS position, round(1 - strength, 6) AS similarity FROM bd WHERE kind = 'topic_shift'")
 def _(spark, d):
-    return C.boundaries(D.table(spark, d, "documents"), "text").where("kind = 'topic_shift'").select("doc_id", "position", F.round(1 - F.col("strength"), 6).alias("similarity"))
+    return C.boundaries(D.table(spark, d, "documents"), "text", ("topic_shift",)).select("doc_id", "position", F.round(1 - F.col("strength"), 6).alias("similarity"))
 
 
 @query("d10_boundary_thinning")

@@ -121,3 +121,12 @@ def test_flow_report_counts_while_writing(spark, tmp_path):
     # A stage that fails ends the flow.
     rows, _, last = flow("failed", fail="embeddings")
     assert rows["embeddings"] == ("FAILED", None, False, "no store") and rows["stored"][0] == "SKIPPED" and rows["overall"][0] == "FAILED" and last is None
+
+
+def test_shifts_alone_equal_the_shifts_among_all_boundaries(spark):
+    words = ["alpha", "beta.", "gamma", "however", "delta!", "x1y"]
+    rng = random.Random(9)
+    df = spark.createDataFrame([(k, " ".join(rng.choice(words) + str(rng.randrange(5)) * rng.randrange(2) for _ in range(300))) for k in range(20)] + [(None, "a b " * 200), (50, None)], "doc_id long, t string")
+    alone = C.boundaries(df, "t", ("topic_shift",))
+    rows = lambda x: sorted(map(str, x.collect()))
+    assert rows(alone) == rows(C.boundaries(df, "t").where("kind = 'topic_shift'")) and alone.count() > 20
