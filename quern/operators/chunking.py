@@ -363,6 +363,7 @@ TOPIC_MARKS = ["however", "therefore", "moreover", "furthermore", "nevertheless"
 LIST_STARTS = ["- ", "* ", "1. ", "2. ", "3. "]
 #: The order in which boundaries of one place come.
 KINDS = ["paragraph", "sentence", "topic_shift"]
+_OPENINGS = (*(w + mark for words in TRANSITIONS.values() for w in words for mark in " ,"), *CLOSINGS)
 _SPACE = " \t\n\r\f"
 _SENTENCE_END, _PARAGRAPH_END, _RUN = re.compile(rf"[.!?]+[{_SPACE}]+"), re.compile(rf"\n[{_SPACE}]*\n"), re.compile(r"\w+")
 
@@ -412,6 +413,8 @@ def _turns(text: str):
         start, to = cuts[k - 1].end() if k else 0, cuts[k + 1].start() if k + 1 < len(cuts) else len(text)
         following = text[m.end() : to].strip(_SPACE)
         lead = following.lower()
+        if not lead.startswith(_OPENINGS):
+            continue
         strength = next((TRANSITION_STRENGTH[kind] for kind, words in TRANSITIONS.items() if any(lead.startswith((w + " ", w + ",")) for w in words)), CLOSING_STRENGTH if lead.startswith(tuple(CLOSINGS)) else 0.0)
         if strength:
             yield m.start(), strength, text[start : m.start()], following
@@ -430,22 +433,39 @@ def _bounds(text: str | None, kinds: tuple, window: int = 200, step: int = 50, a
     return rows
 
 
-def boundaries(df: DataFrame, column: str, kinds: tuple = tuple(KINDS), **how) -> DataFrame:
+def _thinned(rows: list[tuple], apart: int) -> list[tuple]:
+    """Boundaries closer than `apart` to the last one kept collapse to the stronger, in order; of one place paragraphs come first, then
+    sentences, then shifts."""
+    kept: list[tuple] = []
+    for b in sorted(rows, key=lambda b: (b[0], KINDS.index(b[1]), *b[2:])):
+        if not kept or b[0] - kept[-1][0] >= apart:
+            kept.append(b)
+        elif b[2] > kept[-1][2]:
+            kept[-1] = b
+    return kept
+
+
+_BOUND = pa.struct([("position", pa.int64()), ("kind", pa.string()), ("strength", pa.float64()), ("before", pa.string()), ("after", pa.string())])
+_BOUND_SQL = "struct<position:bigint,kind:string,strength:double,before:string,after:string>"
+
+
+def boundaries(df: DataFrame, column: str, kinds: tuple = tuple(KINDS), apart: int = 0, **how) -> DataFrame:
     """doc_id, position, kind, strength, before, after: paragraph breaks, sentences that begin with a transition, and shifts of topic, with up to
-    `side` characters on both sides. White space is that of ASCII; words are runs of letters, digits and underscores. Null texts have none."""
+    `side` characters on both sides. White space is that of ASCII; words are runs of letters, digits and underscores. Null texts have none.
+    apart: thinned as by `thin`, text by text, where they are found."""
     key = df.schema["doc_id"].dataType.simpleString()
-    types = (pa.int64(), pa.string(), pa.float64(), pa.string(), pa.string())
 
     def made(keys, ids, rows):
         for at in range(0, len(rows), 4096):
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows[at : at + 4096]), types)]
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(ids[at : at + 4096])), *columns], ["doc_id", "position", "kind", "strength", "before", "after"])
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 4096]), _BOUND)]
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(ids[at : at + 4096])), *columns], ["doc_id", *(f.name for f in _BOUND)])
 
     def find(batches):
         for batch in batches:
             ids, rows = [], []
             for k, text in enumerate(batch.column(1)):
                 own = _bounds(text.as_py(), kinds, **how)
+                own = _thinned(own, apart) if apart else own
                 rows += own
                 ids += [k] * len(own)
                 if len(rows) >= 4096:
@@ -457,35 +477,31 @@ def boundaries(df: DataFrame, column: str, kinds: tuple = tuple(KINDS), **how) -
 
 
 def thin(bounds: DataFrame, apart: int = 50) -> DataFrame:
-    """Boundaries closer than `apart` to the last one kept collapse to the stronger, in order: a fold over each document's sorted boundaries;
-    of one place paragraphs come first, then sentences, then shifts."""
-    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int").alias("order")
-    lists = bounds.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", order, "strength", "kind", "before", "after"))).alias("b"))
+    """`_thinned` for a table of boundaries that is there already: a fold over each document's boundaries."""
+    lists = bounds.groupBy("doc_id").agg(F.collect_list(F.struct(*(f.name for f in _BOUND))).alias("b"))
 
-    def add(kept: Column, b: Column) -> Column:
-        last = F.element_at(kept, -1)
-        close = (F.size(kept) > 0) & (b["position"] - F.when(F.size(kept) > 0, last["position"]).otherwise(-apart) < apart)
-        swap = F.concat(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.array(b))
-        return F.when(~close, F.concat(kept, F.array(b))).when(b["strength"] > last["strength"], swap).otherwise(kept)
+    @F.arrow_udf(f"array<{_BOUND_SQL}>")
+    def fold(b: pa.Array) -> pa.Array:
+        return pa.array([_thinned([tuple(x.values()) for x in own], apart) for own in b.to_pylist()], pa.list_(_BOUND))
 
-    folded = F.aggregate("b", F.expr("cast(array() as array<struct<position:bigint,order:int,strength:double,kind:string,before:string,after:string>>)"), add)
-    return lists.select("doc_id", F.inline(folded)).drop("order")
+    return lists.select("doc_id", F.inline(fold("b")))
 
 
-def adjusted(bounds: DataFrame) -> DataFrame:
-    """bounds with strengths that follow what stands on both sides: +0.2 after a colon, +0.15 before a list, half between quotation marks,
-    +0.1 for a paragraph with a topic word near; 1 at most, in this order."""
+def _strength(strength: Column, kind: Column, before: Column, after: Column) -> Column:
+    """A strength that follows what stands on both sides: +0.2 after a colon, +0.15 before a list, half between quotation marks, +0.1 for a
+    paragraph with a topic word near; 1 at most, in this order."""
     plus = lambda s, when, x: F.when(when, F.least(F.lit(1.0), s + x)).otherwise(s)
     strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    s = plus(F.col("strength"), F.endswith(strip("before"), F.lit(":")), 0.2)
-    starts = strip("after")
-    listed = F.lit(False)
-    for mark in LIST_STARTS:
-        listed = listed | F.startswith(starts, F.lit(mark))
-    s = plus(s, listed, 0.15)
-    s = F.when(F.contains("before", F.lit('"')) & F.contains("after", F.lit('"')), s * 0.5).otherwise(s)
-    s = plus(s, (F.col("kind") == "paragraph") & F.col("after").rlike(rf"(?i)\b(?:{'|'.join(TOPIC_MARKS)})\b"), 0.1)
-    return bounds.select("doc_id", "position", F.round(s, 6).alias("strength"), "kind")
+    s = plus(strength, F.endswith(strip(before), F.lit(":")), 0.2)
+    s = plus(s, strip(after).rlike(rf"\A(?:{'|'.join(map(re.escape, LIST_STARTS))})"), 0.15)
+    s = F.when(F.contains(before, F.lit('"')) & F.contains(after, F.lit('"')), s * 0.5).otherwise(s)
+    s = plus(s, (kind == "paragraph") & after.rlike(rf"(?i)\b(?:{'|'.join(TOPIC_MARKS)})\b"), 0.1)
+    return F.round(s, 6)
+
+
+def adjusted(bounds: DataFrame) -> DataFrame:
+    """bounds with strengths that follow what stands on both sides."""
+    return bounds.select("doc_id", "position", _strength(*(F.col(c) for c in ("strength", "kind", "before", "after"))).alias("strength"), "kind")
 
 
 def semantic(df: DataFrame, column: str, least: float = 0.5, limit: int = 2000, short: int = 200, dropped: int = 100) -> DataFrame:

@@ -213,8 +213,7 @@ def _(spark, d):
 
 @query("d10_boundary_thinning")
 def _(spark, d):
-    md = D.markdown(spark, d)
-    return C.adjusted(C.thin(C.boundaries(md, "md")))
+    return C.adjusted(C.boundaries(D.markdown(spark, d), "md", apart=50))
 
 
 @query(

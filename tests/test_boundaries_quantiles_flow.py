@@ -130,3 +130,12 @@ def test_shifts_alone_equal_the_shifts_among_all_boundaries(spark):
     alone = C.boundaries(df, "t", ("topic_shift",))
     rows = lambda x: sorted(map(str, x.collect()))
     assert rows(alone) == rows(C.boundaries(df, "t").where("kind = 'topic_shift'")) and alone.count() > 20
+
+
+def test_thinning_where_boundaries_are_found_moves_nothing(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(k, " ".join(rng.choice(["alpha", "beta.", "however", "gamma!\n\n", "delta"]) for _ in range(400))) for k in range(9)] + [(50, None)], "doc_id long, t string")
+    found = C.boundaries(df, "t", apart=50)
+    rows = lambda x: sorted(map(str, x.select("doc_id", "position", "kind", "strength").collect()))
+    assert rows(found) == rows(C.thin(C.boundaries(df, "t"))) and found.count() > 50
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
