@@ -504,23 +504,38 @@ def adjusted(bounds: DataFrame) -> DataFrame:
     return bounds.select("doc_id", "position", _strength(*(F.col(c) for c in ("strength", "kind", "before", "after"))).alias("strength"), "kind")
 
 
+_WHITE = " \t\n\x0b\f\r"
+
+
+def _cut_at(text: str, cuts: list[int]) -> list[str]:
+    """The pieces between cuts, trimmed. A cut within a word of less than 200 characters moves to the word's start: a shift of topic without an
+    end of a sentence near may lie anywhere."""
+    marks = {0, len(text)}
+    for at in cuts:
+        start = at
+        while at < len(text) and text[at] not in _WHITE and start and text[start - 1] not in _WHITE and at - start < 200:
+            start -= 1
+        marks.add(start if at - start < 200 else at)
+    places = sorted(marks)
+    return [text[a:b].strip(_WHITE) for a, b in zip(places, places[1:])]
+
+
 def semantic(df: DataFrame, column: str, least: float = 0.5, limit: int = 2000, short: int = 200, dropped: int = 100) -> DataFrame:
     """Cut at thinned and adjusted boundaries of some strength, never within a word; chunks over the limit are cut by sentences, and one under `short` is joined
-    with the next. No text is lost: n_short counts the pieces under `dropped` characters that a chunk holds."""
-    cuts = adjusted(thin(boundaries(df, column))).where(F.col("strength") >= least).groupBy("doc_id").agg(F.array_sort(F.collect_set("position")).alias("cuts"))
-    full = df.select("doc_id", F.col(column).alias("t")).join(cuts, "doc_id", "left")
-
-    def whole_words(at: Column) -> Column:
-        """A cut within a word moves to its start; a shift of topic without an end of a sentence near may lie anywhere."""
-        at = at.cast("int")
-        run = F.length(F.regexp_extract(F.substring(F.col("t"), F.greatest(at - 200, F.lit(0)) + 1, F.least(at, F.lit(200))), r"\S*$", 0))
-        return F.when(F.substring(F.col("t"), at + 1, F.lit(1)).rlike(r"\S") & (run < 200), at - run).otherwise(at).cast("long")
-
-    inner = F.array_sort(F.transform(F.coalesce("cuts", F.expr("cast(array() as array<bigint>)")), whole_words))
-    marks = F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), inner, F.array(F.length("t").cast("long"))))
-    got = full.select("doc_id", "t", marks.alias("m")).select("doc_id", "t", "m", F.posexplode("m").alias("chunk_index", "start")).where(F.col("chunk_index") < F.size("m") - 1)
-    piece = F.substring(F.col("t"), (F.col("start") + 1).cast("int"), (F.element_at("m", F.col("chunk_index") + 2) - F.col("start")).cast("int"))
-    got = got.select("doc_id", "chunk_index", F.regexp_replace(piece, r"^\s+|\s+$", "").alias("content")).where("content <> ''")
+    with the next. No text is lost: n_short counts the pieces under `dropped` characters that a chunk holds. Texts are cut where they are read."""
+
+    @F.arrow_udf(f"array<{_BOUND_SQL}>")
+    def found(texts: pa.Array) -> pa.Array:
+        return pa.array([_thinned(_bounds(t.as_py(), tuple(KINDS)), 50) for t in texts], pa.list_(_BOUND))
+
+    @F.arrow_udf("array<string>")
+    def pieces(texts: pa.Array, cuts: pa.Array) -> pa.Array:
+        return pa.array([_cut_at(t.as_py() or "", at) for t, at in zip(texts, cuts.to_pylist())], pa.list_(pa.string()))
+
+    full = df.select("doc_id", F.col(column).alias("t"), found(F.col(column)).alias("b"))
+    strong = F.filter("b", lambda b: _strength(b["strength"], b["kind"], b["before"], b["after"]) >= least)
+    full = full.select("doc_id", "t", F.transform(strong, lambda b: b["position"]).alias("cuts"))
+    got = full.select("doc_id", F.posexplode(pieces("t", "cuts")).alias("chunk_index", "content")).where("content <> ''")
     cut = recut(got, limit, F.split("content", r"(?<=[.!?])\s+"), limit, " ").withColumn("n_short", (F.length("content") < dropped).cast("long"))
     return merge_next(cut, short, [], ["n_short"]).select("doc_id", "chunk_index", "content", "merged", "n_short")
 

@@ -139,3 +139,8 @@ def test_thinning_where_boundaries_are_found_moves_nothing(spark):
     rows = lambda x: sorted(map(str, x.select("doc_id", "position", "kind", "strength").collect()))
     assert rows(found) == rows(C.thin(C.boundaries(df, "t"))) and found.count() > 50
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_semantic_cuts_keep_words_whole():
+    assert C._cut_at("alpha beta\ngamma delta", [8, 11]) == ["alpha", "beta", "gamma delta"]
+    assert C._cut_at("x" * 500, [300]) == ["x" * 300, "x" * 200] and C._cut_at("", []) == [] and C._cut_at("a  b", [2]) == ["a", "b"]
