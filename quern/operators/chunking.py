@@ -649,11 +649,19 @@ def with_overlap(chunks: DataFrame, ratio: float = 0.1, low: int = 100, high: in
 
 
 def adjacent_repeat(chunks: DataFrame, most: int = 200, least: int = 50) -> DataFrame:
-    """How many characters the end of a chunk and the start of the next share, where over `least`."""
-    before = F.lag("content").over(W.partitionBy("doc_id").orderBy("chunk_index"))
-    rows = chunks.select("doc_id", "chunk_index", "content", before.alias("before")).where("before is not null")
-    fits = F.filter(F.sequence(F.lit(1), F.least(F.lit(most), F.length("content"), F.length("before"))), lambda n: F.substring(F.col("before"), F.length("before") - n + 1, n) == F.substring(F.col("content"), F.lit(1), n))
-    return rows.select("doc_id", "chunk_index", F.coalesce(F.array_max(fits), F.lit(0)).cast("long").alias("shared")).withColumn("dropped", F.when(F.col("shared") > least, F.col("shared")).otherwise(0).cast("long"))
+    """How many characters the end of a chunk and the start of the next share, where over `least`. Only the `most` characters at both ends move on."""
+    n = F.length("content")
+    ends = chunks.select("doc_id", "chunk_index", F.substring("content", 1, most).alias("head"), F.substring(F.col("content"), F.greatest(n - most, F.lit(0)) + 1, F.lit(most)).alias("tail"))
+    before = F.lag("tail").over(W.partitionBy("doc_id").orderBy("chunk_index"))
+    rows = ends.select("doc_id", "chunk_index", "head", before.alias("before")).where("before is not null")
+
+    @F.arrow_udf("long")
+    def shared(heads: pa.Array, tails: pa.Array) -> pa.Array:
+        pairs = ((h.as_py(), t.as_py()) for h, t in zip(heads, tails))
+        return pa.array([next((k for k in range(min(len(h), len(t)), 0, -1) if t.endswith(h[:k])), 0) for h, t in pairs], pa.int64())
+
+    rows = rows.select("doc_id", "chunk_index", F.when(F.col("head").isNull(), 0).otherwise(shared(F.coalesce("head", F.lit("")), "before")).alias("shared"))
+    return rows.withColumn("dropped", F.when(F.col("shared") > least, F.col("shared")).otherwise(0).cast("long"))
 
 
 def coherence(c) -> Column:
