@@ -7,6 +7,7 @@ numbered. Order-dependent packing is a fold over the sizes of pieces (`pack`), r
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -743,12 +744,23 @@ def importance(quality: Column, position: Column, size: Column) -> Column:
     return F.round(F.least(score, F.lit(1.0)), 8)
 
 
+def keywords(column: str, k: int = 10) -> Column:
+    """array<struct<word,n>>: the k most frequent words of four letters or more outside a stop list; ties by first place."""
+    stop = frozenset(T.KEYWORD_STOP_WORDS)
+
+    @F.arrow_udf("array<struct<word:string,n:bigint>>")
+    def best(lists: pa.Array) -> pa.Array:
+        # Counter keeps the order of first places, and so do ties.
+        found = [Counter(w for w in own or () if w not in stop).most_common(k) for own in lists.to_pylist()]
+        return pa.array(found, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))
+
+    return best(T._all(F.lower(F.col(column)), "[a-z]{4,}"))
+
+
 def top_keywords(df: DataFrame, keys: list[str], column: str, k: int = 10) -> DataFrame:
-    """The k most frequent words of four letters or more outside a stop list; ties by first place."""
-    placed = df.select(*keys, F.posexplode(T._all(F.lower(F.col(column)), "[a-z]{4,}")).alias("at", "word")).where(~F.col("word").isin(*T.KEYWORD_STOP_WORDS))
-    counted = placed.groupBy(*keys, "word").agg(F.count("*").alias("n"), F.min("at").alias("at"))
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("n"), "at"))
-    return counted.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select(*keys, "rank", "word", "n")
+    """`keywords` of each row, by rank; keys are those of single rows, so nothing is shuffled."""
+    placed = df.select(*keys, F.posexplode(keywords(column, k)).alias("at", "x"))
+    return placed.select(*keys, (F.col("at") + 1).cast("long").alias("rank"), "x.word", "x.n")
 
 
 def section_of(chunks: DataFrame, found: DataFrame) -> DataFrame:

@@ -304,9 +304,8 @@ def _(spark, d):
 
 @query("d32_retrieval_metadata", f"WITH {CH}, {_KEYWORDS}, k AS (SELECT doc_id, chunk_index, string_agg(word, ',' ORDER BY rank) AS keywords FROM kr WHERE rank <= 10 GROUP BY 1, 2) SELECT c.doc_id, c.chunk_index, coalesce(keywords, '') AS keywords, length(content) AS size FROM chunks c LEFT JOIN k USING (doc_id, chunk_index)")
 def _(spark, d):
-    c = D.chunks(spark, d)
-    k = C.top_keywords(c, ["doc_id", "chunk_index"], "content").groupBy("doc_id", "chunk_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]), ",").alias("keywords"))
-    return c.join(k, ["doc_id", "chunk_index"], "left").select("doc_id", "chunk_index", F.coalesce("keywords", F.lit("")).alias("keywords"), F.length("content").cast("long").alias("size"))
+    words = F.array_join(F.transform(C.keywords("content"), lambda x: x["word"]), ",")
+    return D.chunks(spark, d).select("doc_id", "chunk_index", words.alias("keywords"), F.length("content").cast("long").alias("size"))
 
 
 @query("d33_chunk_document")

@@ -1,5 +1,7 @@
 """What is computed row by row over chunk tables: shared ends, keywords, stems."""
 
+from pyspark.sql import functions as F
+
 from quern.operators import chunking as C
 
 
@@ -13,3 +15,11 @@ def test_shared_ends_of_neighbours(spark):
     got = C.adjacent_repeat(df)
     assert [tuple(r) for r in got.orderBy("chunk_index").select("shared", "dropped").collect()] == [(11, 0), (10, 0), (150, 150), (0, 0), (0, 0)]
     assert "content" not in plan(got).split("Exchange")[0]  # only the ends are shuffled
+
+
+def test_keywords_by_number_and_first_place_without_a_shuffle(spark):
+    df = spark.createDataFrame([(1, "Zeta beta zeta alpha BETA that that that gamma abc"), (2, ""), (3, None)], "k long, t string")
+    got = C.top_keywords(df, ["k"], "t", 3)
+    assert [tuple(r) for r in got.orderBy("k", "rank").collect()] == [(1, 1, "zeta", 2), (1, 2, "beta", 2), (1, 3, "alpha", 1)]
+    assert "Exchange" not in plan(got)
+    assert [r[0] for r in df.select(F.array_join(F.transform(C.keywords("t"), lambda x: x["word"]), ",")).collect()] == ["zeta,beta,alpha,gamma", "", ""]
