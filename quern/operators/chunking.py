@@ -276,8 +276,9 @@ def section_flags(df: DataFrame, column: str) -> DataFrame:
     return body.select("doc_id", "sec", code.alias("has_code"), table.alias("has_table"), items.alias("has_list"), _holds("body").alias("kind"), T.word_count("body").alias("n_words"), F.size(T.lines("body")).cast("long").alias("n_lines"))
 
 
-def elements(df: DataFrame, column: str) -> DataFrame:
-    """Runs of lines of one kind: header, code (a whole fence), list, table, quote, text; with offsets. Blank lines end a run."""
+def elements(df: DataFrame, column: str, bodies: bool = False) -> DataFrame:
+    """Runs of lines of one kind: header, code (a whole fence), list, table, quote, text; with offsets. Blank lines end a run. bodies: with
+    their text, so that no text must be joined back."""
     rows = df.select("doc_id", F.posexplode(T.lines(column)).alias("i", "line"))
     by_doc = W.partitionBy("doc_id").orderBy("i")
     upto = by_doc.rowsBetween(W.unboundedPreceding, 0)
@@ -292,8 +293,10 @@ def elements(df: DataFrame, column: str) -> DataFrame:
     rows = rows.withColumn("kind", kind)
     opens = (fence & (F.col("marks") % 2 == 1)) | (F.col("kind") == "header")
     change = F.coalesce((F.lag("kind").over(by_doc) != F.col("kind")) | opens, F.lit(True))
-    runs = rows.withColumn("run", F.sum(change.cast("int")).over(upto)).groupBy("doc_id", "run", "kind").agg(F.min("start").alias("start"), F.max(F.col("start") + F.length("line")).alias("stop"), F.count("*").alias("n_lines"))
-    return runs.where("kind <> 'blank'").select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("run")).cast("long").alias("element"), "kind", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "n_lines")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n")
+    body = [text.alias("body")] if bodies else []
+    runs = rows.withColumn("run", F.sum(change.cast("int")).over(upto)).groupBy("doc_id", "run", "kind").agg(F.min("start").alias("start"), F.max(F.col("start") + F.length("line")).alias("stop"), F.count("*").alias("n_lines"), *body)
+    return runs.where("kind <> 'blank'").select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("run")).cast("long").alias("element"), "kind", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "n_lines", *(["body"] if bodies else []))
 
 
 def recut(chunks: DataFrame, limit: int, pieces: Column, target: int, sep: str) -> DataFrame:
@@ -328,8 +331,7 @@ def merge_next(chunks: DataFrame, least: int, same: list[str], sums: list[str],
 def structural(df: DataFrame, column: str, limit: int = 2000, target: int = 1500, least: int = 200) -> DataFrame:
     """Elements packed to the limit; a header starts a chunk. What is still over the limit is cut at blank lines and packed to the target;
     a chunk under `least` is joined with the next of its kind and section, but code never is."""
-    parts = elements(df, column).join(df.select("doc_id", F.col(column).alias("__t")), "doc_id")
-    parts = parts.select("doc_id", "element", "kind", F.substring(F.col("__t"), (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("body"))
+    parts = elements(df, column, True).select("doc_id", "element", "kind", "body")
     parts = parts.withColumn("head", F.sum((F.col("kind") == "header").cast("int")).over(W.partitionBy("doc_id").orderBy("element")))
     lists = parts.groupBy("doc_id", "head").agg(F.array_sort(F.collect_list(F.struct("element", "kind", "body"))).alias("e"))
     got = lists.withColumn("g", pack(F.transform("e", lambda x: x["body"]), limit, 2))
@@ -608,7 +610,8 @@ def chosen_strategy(text: str, path: Column | None = None) -> Column:
 def document_chunks(df: DataFrame, column: str, path: Column | None = None, least: int = 200) -> DataFrame:
     """The whole way from documents to a chunk table: every document is analysed, cut by the strategy that suits it, its short chunks joined,
     overlaps taken from the chunk before, ids, neighbours and scores added, and repeated chunks left out. Blank documents have no chunks."""
-    routed = df.where(~F.col(column).rlike(_BLANK)).withColumn("__strategy", chosen_strategy(column, path))
+    routed = df.where(~F.col(column).rlike(_BLANK)).select("doc_id", column, chosen_strategy(column, path).alias("__strategy"))
+    routed = materialize(routed, "routed")  # each text is made and analysed once, for all strategies
     parts = []
     for strategy in ("hybrid", "structural", "semantic"):
         cut = merge_short(chunk(routed.where(F.col("__strategy") == strategy).drop("__strategy"), column, strategy).select("doc_id", "chunk_index", "content"), least)

@@ -23,3 +23,11 @@ def test_keywords_by_number_and_first_place_without_a_shuffle(spark):
     assert [tuple(r) for r in got.orderBy("k", "rank").collect()] == [(1, 1, "zeta", 2), (1, 2, "beta", 2), (1, 3, "alpha", 1)]
     assert "Exchange" not in plan(got)
     assert [r[0] for r in df.select(F.array_join(F.transform(C.keywords("t"), lambda x: x["word"]), ",")).collect()] == ["zeta,beta,alpha,gamma", "", ""]
+
+
+def test_elements_carry_their_text(spark):
+    text = "# One\n\ntext\nmore\n\n- a\n- b\n```\ncode\n\nx\n```\n> q\n"
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, t string")
+    got = C.elements(df, "t", True).orderBy("doc_id", "element").collect()
+    assert [r["body"] for r in got] == [text[r["start"] : r["stop"]] for r in got] and len(got) == 5
+    assert "Join" not in plan(C.structural(df, "t"))
