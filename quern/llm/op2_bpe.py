@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from array import array
 from functools import lru_cache
 from itertools import islice
@@ -31,6 +32,24 @@ MEMO_PIECES, MEMO_LENGTH, MEMO_PAIRS = 200_000, 64, 200_000
 BLOCK = 1 << 16
 #: Bytes of a piece whose matches are held at a time.
 SPAN = 1 << 15
+#: First bytes of a token by which the longest one is known.
+HEAD = 3
+
+
+class Pieces(dict):
+    """Ids of pieces, as little-endian unsigned 32-bit bytes; those of short pieces are kept, and all forgotten when there are too many."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece.encode())
+        ids = struct.pack(f"<{len(ids)}I", *ids) if len(ids) <= MEMO_LENGTH else np.asarray(ids, "<u4").tobytes()
+        if len(piece) <= MEMO_LENGTH:
+            if len(self) >= MEMO_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class Codec:
@@ -46,7 +65,12 @@ class Codec:
         self.longest = max(map(len, self.ranks))
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.fits: dict[int, bool] = {}
-        self.memo: dict[str, bytes] = {}
+        self.memo = Pieces(self.encode_piece)
+        #: Longest token that begins with these HEAD bytes; others are shorter.
+        self.reach: dict[bytes, int] = {}
+        for token in self.ranks:
+            if len(token) >= HEAD:
+                self.reach[token[:HEAD]] = max(self.reach.get(token[:HEAD], 0), len(token))
 
     def split(self, i: int) -> tuple[int, int] | None:
         """The two tokens that merge into token i last; None for a single byte or a token that merging never reaches."""
@@ -93,11 +117,45 @@ class Codec:
                 starts[end - size + 1 - low].append((i, size))  # ends ascend, so lengths ascend
         return starts
 
-    def encode_piece(self, piece: bytes, span: int = SPAN) -> array:
+    def encode_short(self, piece: bytes) -> list[int]:
+        """What encode_piece gives: the same choices in the same order, but the tokens of a place are looked up as they are needed."""
+        ranks, fits, reach = self.ranks, self.fits, self.reach
+        n, at, last, ids, sizes, dead = len(piece), 0, -1, [], [], set()
+        size = min(n, reach.get(piece[:HEAD], HEAD - 1))
+        while at < n:
+            while size:
+                i = ranks.get(piece[at : at + size])
+                if i is not None and (not dead or at + size not in dead):
+                    fit = last < 0 or fits.get(last << 20 | i)
+                    if fit is None:
+                        fit = self.compatible(last, i)
+                    if fit:
+                        ids.append(i)
+                        sizes.append(size)
+                        last = i
+                        at += size
+                        size = reach.get(piece[at : at + HEAD], HEAD - 1)
+                        if size > n - at:
+                            size = n - at
+                        break
+                size -= 1
+            else:  # no token fits after the one before: its place has its shorter ones, this one is closed
+                dead.add(at)
+                ids.pop()
+                size = sizes.pop()
+                at -= size
+                size -= 1
+                last = ids[-1] if ids else -1
+        return ids
+
+    def encode_piece(self, piece: bytes, span: int = SPAN) -> array | list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
-            return array("I", [whole])
-        n, source = len(piece), piece.decode("latin-1")
+            return [whole]
+        n = len(piece)
+        if n <= min(MEMO_LENGTH, span):
+            return self.encode_short(piece)
+        source = piece.decode("latin-1")
         ids, sizes, left = array("I"), array("H"), array("H")  # left: how many choices of a place are still open
         at, dead, low, high = 0, bytearray(n + 1), 0, min(n, span)
         starts = self.matches(source, low, high)
@@ -132,23 +190,9 @@ class Codec:
 
     def ids_of(self, text: str):
         """Blocks of ids, as little-endian unsigned 32-bit bytes."""
-        memo = self.memo
         matches = (m.group() for m in self.find.finditer(text)) if len(text) > 1 << 20 else iter(self.find.findall(text))
         while block := list(islice(matches, BLOCK)):
-            out = list(map(memo.get, block))
-            if None in out:
-                for k, ids in enumerate(out):
-                    if ids is None:
-                        piece = block[k]
-                        ids = memo.get(piece)
-                        if ids is None:
-                            ids = np.asarray(self.encode_piece(piece.encode()), "<u4").tobytes()
-                            if len(piece) <= MEMO_LENGTH:
-                                if len(memo) >= MEMO_PIECES:
-                                    memo.clear()
-                                memo[piece] = ids
-                        out[k] = ids
-            yield b"".join(out)
+            yield b"".join(map(self.memo.__getitem__, block))
 
     def encode(self, text: str | None) -> list[int]:
         return [i for block in self.ids_of(text or "") for i in np.frombuffer(block, "<u4").tolist()]

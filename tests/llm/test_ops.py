@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -163,6 +164,16 @@ def test_bpe_any_text(bpe, t):
     assert own.decode(ids).decode() == t
 
 
+def test_bpe_short_pieces_are_looked_up_without_a_scan(bpe, monkeypatch):
+    own, lib = bpe
+    rng = random.Random(12)
+    pieces = ["".join(rng.choice("abcdeinorst") for _ in range(rng.randint(1, 40))) for _ in range(3000)] + ["é" * 9, "ab" * 30, "zq" * 32]
+    scanned = [list(own.encode_piece(p.encode(), 1)) for p in pieces]  # no piece is short of a span of one byte
+    monkeypatch.setattr(op2_bpe.Codec, "matches", lambda *_: pytest.fail("a short piece was scanned"))
+    assert [own.encode_piece(p.encode()) for p in pieces] == scanned
+    assert scanned == [lib._encode_single_piece(p.encode()) for p in pieces]
+
+
 def test_bpe_any_piece(bpe):
     """Whole texts as one piece: long tokens, repeats, and bytes in any order."""
     import random
