@@ -562,16 +562,19 @@ def hybrid(df: DataFrame, column: str, limit: int = 2000) -> DataFrame:
     return every.select("doc_id", index.cast("long").alias("index"), "kind", "content").withColumnRenamed("index", "chunk_index")
 
 
+def _by_heading(text: str | None) -> list[str]:
+    """What stands before the first heading, and each section with its heading, as `sections` finds them."""
+    starts = [m.start() for m in re.finditer(r"(?m)^#{1,6}[ \t]+[^ \t\n\x0b\f\r]", text or "")]
+    return [(text or "")[a:b] for a, b in zip([0, *starts], [*starts, None])]
+
+
 def adaptive(df: DataFrame, column: str, long: int = 3000) -> DataFrame:
     """By section: code structurally, tables whole, text over `long` characters semantically, the rest structurally. What stands before the
     first heading is section 0."""
-    own = sections(df, column).select("doc_id", "sec", "start", "stop")
-    first = own.groupBy("doc_id").agg(F.min("start").alias("stop"))
-    lead = df.select("doc_id", F.length(column).cast("long").alias("n")).join(first, "doc_id", "left")
-    lead = lead.select("doc_id", F.lit(0).cast("long").alias("sec"), F.lit(0).cast("long").alias("start"), F.coalesce("stop", "n").alias("stop"))
-    spans = own.union(lead.where("stop > 0")).join(df.select("doc_id", F.col(column).alias("t")), "doc_id")
-    body = F.substring(F.col("t"), (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))
-    parts = spans.select("doc_id", "sec", body.alias("content")).where(~F.col("content").rlike(_BLANK)).withColumn("holds", _holds("content"))
+    cut = F.udf(lambda text: _by_heading(text), "array<string>")
+    # A text is cut where it is read, and its sections are written once for all three ways.
+    parts = df.where("doc_id is not null").select("doc_id", F.posexplode(cut(column)).alias("sec", "content")).withColumn("sec", F.col("sec").cast("long"))
+    parts = materialize(parts.where(~F.col("content").rlike(_BLANK)).withColumn("holds", _holds("content")), "parts")
     table, far = F.col("holds") == "table", (F.col("holds") != "code") & (F.length("content") > long)
     whole = parts.where(table).select("doc_id", "sec", F.lit(0).cast("long").alias("sub"), F.lit("table").alias("kind"), "content")
     every = whole.union(_within(parts.where(~table & far), ["doc_id", "sec"], semantic)).union(_within(parts.where(~table & ~far), ["doc_id", "sec"], structural))

@@ -308,3 +308,14 @@ def test_keyword_scores_make_no_table_of_words(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "alpha beta", "x")], "doc_id long, text string, source string")
     terms = spark.createDataFrame([(1, 0, "alpha", "AND", 1.0), (2, 0, "be*", "WILDCARD", 0.9)], "item_id long, pos int, term string, op string, weight double")
     assert sorted(map(tuple, S.keyword_scores(docs, terms).collect())) == [(1, 1, 1.0), (2, 1, 1.35)]
+
+
+def test_adaptive_cuts_texts_where_they_are_read(spark, monkeypatch):
+    texts = ["lead\n# A\nbody\n## B\n| a | b |\n", "# A\n\n#  \t\n#x\n####### no\n###### F f", "", "plain", "a\r\n# H\x0b\n# \xa0"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string")
+    for d, t in enumerate(texts):
+        starts = [r["start"] for r in C.sections(df.where(F.col("doc_id") == d), "t").orderBy("sec").collect()]
+        assert C._by_heading(t) == [t[a:b] for a, b in zip([0, *starts], [*starts, None])], t
+    monkeypatch.setattr(C, "sections", lambda *_: pytest.fail("sections were joined back with their texts"))
+    got = {(r["doc_id"], r["sec"]) for r in C.adaptive(df, "t").collect()}
+    assert {(0, 0), (0, 1), (0, 2), (3, 0)} <= got and all(d != 2 for d, _ in got)
